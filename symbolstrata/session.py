@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,20 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     Call it on something cheap to count (a checkpointed or written frame) with narrow rows.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of the session's executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        here = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="symbolstrata-")
+        target = Path(folder, "symbolstrata.zip")
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in sorted(here.rglob("*.py")):
+                archive.write(source, source.relative_to(here.parent))
+        context.addPyFile(str(target))
+        _shipped[context.applicationId] = str(target)
