@@ -42,6 +42,8 @@ _HASH = re.compile(rf"(?P<s>{_STRING})|(?P<c>\#[^\n]*)", re.S)
 _HASH_EXT = frozenset((".py", ".rb", ".sh", ".pl", ".r", ".yml", ".yaml", ".toml"))
 _WORD = re.compile(r"[^\W\d]\w*|\d[\w.]*")
 _NAME, _NUMBER = re.compile(r"[^\W\d]\w*"), re.compile(r"\d[\w.]*")
+_QUOTED = re.compile(r'"[^"\n]*"?|`[^`\n]*`?')
+_IMPORT = re.compile(r"\s*(?:import|from|use|package|using|require|#include|export \* from)\b")
 _ROW = re.compile(r'\s*(?:(?:[-+]?(?:0[xXbB][0-9a-fA-F_]+|\d[\d._eE+-]*)|"[^"\n]*"|\'[^\'\n]*\'|\{[^{}\n]*\}|\([^()\n]*\)|\[[^\[\]\n]*\]|null|nil|None|true|false|True|False)\s*[,+;]?\s*)+[,;]?\s*')
 
 
@@ -82,7 +84,7 @@ def own_signs(text: str, code: str, comments: list[tuple[int, str]]) -> str:
     """What a file's own text tells: generated, minified, data, copied, or an empty string."""
     lines = [x for x in code.split("\n") if x.strip()]
     size = sum(map(len, lines))
-    if any(_MADE.search(c) and not _DENIED.search(c) for _, c in comments):
+    if any(_MADE.search(c) and not _DENIED.search(c) for c in (_QUOTED.sub("", c) for _, c in comments)):
         return "generated"
     blanks = sum(x.count(" ") + x.count("\t") for x in lines)
     if size >= 200 and size / len(lines) >= 110 and blanks < 0.08 * size:
@@ -92,10 +94,11 @@ def own_signs(text: str, code: str, comments: list[tuple[int, str]]) -> str:
         return "data"
     if any(_COPIED.search(c) for line, c in comments if line < 3):
         return "copied"
-    patterns = Counter(p for p in map(str.strip, _NUMBER.sub("0", _NAME.sub("n", code)).split("\n")) if len(p) > 2)
+    told = "\n".join(x for x in lines if not _IMPORT.match(x))
+    patterns = Counter(p for p in map(str.strip, _NUMBER.sub("0", _NAME.sub("n", told)).split("\n")) if len(p) > 2)
     total = patterns.total()
     common = [n for _, n in patterns.most_common(3)]
-    if total >= 6 and sum(common) >= 0.85 * total and common[0] >= 3:
+    if total >= 8 and sum(common) >= 0.95 * total and common[0] >= 4:
         return "generated"
     return ""
 

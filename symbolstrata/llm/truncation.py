@@ -27,7 +27,7 @@ LITERAL, OPENING = 12, 4
 #: A word is kept if it makes up this share of all tokens, or if one token follows it in this share of its places.
 FREQUENT, FIXED_NEXT, LEAST_SEEN = 0.004, 0.3, 20
 #: An ending counts as unusual below this share of the places where the same words go on.
-RARE_END, RARE_WORD = 0.1, 0.002
+RARE_END, RARE_WORD = 0.1, 0.01
 #: Values shorter than this are not looked up as prefixes of whole values.
 LEAST_PREFIX = 40
 
@@ -35,6 +35,8 @@ LEAST_PREFIX = 40
 _MARK = re.compile(r"\s*(?:…|\.{3,}|[\[(<]\s*(?:\.{3}|…|truncated|cut(?: off)?|continued|more|snip)\s*[\])>])\s*$", re.I)
 _MARK_SQL = r"(?i)\s*(…|\.{3,}|[\[(<]\s*(\.{3}|…|truncated|cut( off)?|continued|more|snip)\s*[\])>])?\s*$"
 _TOKEN = re.compile(r"```|`[^`\n]*`|[^\W\d_](?:[^\W_]|['’](?=\w))*|\d+(?:[.,:]\d+)*|\n+|[^\w\s]|_")
+#: The token of a quote of code that its line doesn't close.
+OPEN = "`?"
 _DIGITS = re.compile(r"\d+")
 
 
@@ -45,8 +47,8 @@ def tokens(text: str) -> list[str]:
         c = t[0]
         if c == "\n":
             out.append("\n")
-        elif c == "`" and t != "```" and len(t) > 1:
-            out.append("`")
+        elif c == "`" and t != "```":
+            out.append("`" if len(t) > 1 else OPEN)
         elif c.isdigit():
             out.append(_DIGITS.sub("0", t))
         else:
@@ -54,6 +56,13 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def unmarked(text: str) -> str:
+    """A text without blanks around it and without a mark of truncation at its end."""
+    text = text.strip()
+    mark = _MARK.search(text)
+    return text[: mark.start()] if mark and mark.start() else text
+
+
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         count: Counter = Counter()
@@ -106,7 +115,7 @@ def _patterns(kept: frozenset[str]):
             ends: Counter = Counter()
             goes: Counter = Counter()
             for text in batch["text"]:
-                parts = tokens(text.strip())
+                parts = tokens(unmarked(text))
                 goes.update([("w", t) for t in parts[:-1] if t[0].isalpha()])
                 for shape, words in sentences(parts, kept):
                     goes.update([tuple(shape[max(0, i - CONTEXT) : i]) for i in range(2, len(shape))])
@@ -127,26 +136,22 @@ def _last(kept: frozenset[str]):
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                text = text.strip()
-                mark = _MARK.search(text)
-                body = text[: mark.start()] if mark and mark.start() else text
-                whole = body is text
                 last = None
-                for last in sentences(tokens(body), kept):
+                for last in sentences(tokens(unmarked(text)), kept):
                     pass
                 if last is None:
                     continue
                 shape, words = last
-                rows.append((doc, "shape", _hash(shape[-CONTEXT:]), whole))
+                rows.append((doc, "shape", _hash(shape[-CONTEXT:]), OPEN in words))
                 if len(shape) > 2:
-                    rows.append((doc, "before", _hash(shape[:-1][-CONTEXT:]), whole))
+                    rows.append((doc, "before", _hash(shape[:-1][-CONTEXT:]), False))
                 if len(words) <= OPENING:
-                    rows.append((doc, "opening", _hash(["l", *words]), whole))
-                if len(words) < LITERAL and (len(words) <= OPENING or "W" in shape):
-                    rows.append((doc, "literal", _hash(["l", *words] if whole else ["l", *words, tokens(mark.group().strip())[0]]), whole))
+                    rows.append((doc, "opening", _hash(["l", *words]), False))
+                if len(words) <= LITERAL and (len(words) <= OPENING or "W" in shape):
+                    rows.append((doc, "literal", _hash(["l", *words]), False))
                 if words[-1][0].isalpha():
-                    rows.append((doc, "word", _hash(["w", words[-1]]), whole))
-            yield pd.DataFrame(rows, columns=["doc_id", "what", "key", "whole"])
+                    rows.append((doc, "word", _hash(["w", words[-1]]), False))
+            yield pd.DataFrame(rows, columns=["doc_id", "what", "key", "open"])
 
     return run
 
@@ -190,7 +195,7 @@ def prefixes_of_others(documents: DataFrame) -> DataFrame:
 def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: float = RARE_WORD) -> DataFrame:
     """Documents whose text lost its end: doc_id, sign.
 
-    sign tells by what: ``prefix`` (a longer copy exists), ``open`` (a code block is not closed), ``phrase`` (the last
+    sign tells by what: ``prefix`` (a longer copy exists), ``open`` (a code block or a quote of code is not closed), ``phrase`` (the last
     sentence goes on almost everywhere else) or ``word`` (its last word stands nowhere else). Endings that recur as they
     stand are closings, hence complete. Null and blank texts are no cases; repeated texts are judged each; an empty
     table gives an empty result.
@@ -198,17 +203,16 @@ def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: f
     texts = documents.select("doc_id", "text").where("trim(text) <> ''")
     kept = kept_words(texts)
     counts = texts.select("text").mapInPandas(_patterns(kept), "key long, ends long, goes long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
-    asked = texts.mapInPandas(_last(kept), "doc_id long, what string, key long, whole boolean")
+    asked = texts.mapInPandas(_last(kept), "doc_id long, what string, key long, open boolean")
     known = asked.join(counts, "key", "left").groupBy("doc_id").agg(
-        F.max("whole").alias("whole"),
+        F.max("open").alias("open"),
         *[F.max(F.when(F.col("what") == what, F.coalesce(n, F.lit(0)))).alias(f"{what}_{n}") for what in ("shape", "before", "opening", "literal", "word") for n in ("ends", "goes")],
     )
-    ends = F.col("shape_ends") - F.col("whole").cast("int")  # without this document's own end
+    ends = F.col("shape_ends") - 1  # without this document's own end
     phrase = (F.col("shape_goes") >= 1) & (ends <= rare_end * F.col("shape_goes"))
     rare = (F.col("before_goes") >= 50) & (ends <= rare_word * F.col("before_goes"))
-    most = F.when(F.col("whole"), 0.5).otherwise(1.2) * F.col("literal_ends")  # before a mark the words themselves go on
-    closing = (F.col("literal_ends") >= 3) & (F.coalesce("opening_goes", F.lit(0)) <= most)
-    sign = F.when(phrase | F.coalesce(rare, F.lit(False)), "phrase").when(F.col("word_goes") == 0, "word")
+    closing = (F.col("literal_ends") >= 3) & (F.coalesce("opening_goes", F.lit(0)) <= 0.5 * F.col("literal_ends"))
+    sign = F.when(F.col("open"), "open").when(phrase | F.coalesce(rare, F.lit(False)), "phrase").when(F.col("word_goes") == 0, "word")
     told = known.where(~F.coalesce(closing, F.lit(False))).select("doc_id", sign.alias("sign")).where("sign is not null")
     opened = texts.where("regexp_count(text, '(?m)^ *```') % 2 = 1").select("doc_id", F.lit("open").alias("sign"))
     longer = prefixes_of_others(texts).withColumn("sign", F.lit("prefix"))
