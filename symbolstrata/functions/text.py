@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def name_tokens(text: Column) -> Column:
@@ -34,10 +35,10 @@ def glob_pattern(glob: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, at least 1; 0 for null."""
-    return F.coalesce(F.greatest(F.lit(1), F.floor(F.length(text) / 4)), F.lit(0)).cast("long")
+    return F.when(text.isNull(), 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("long")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two short strings; null if either is null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -22,11 +22,11 @@ def file_scoped_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def regex_search(spark: SparkSession, root: str) -> DataFrame:
-    return search.regex_search(_symbols(spark, root), "^(get|set)_?[a-z]+.*Lease$").select("sym_id", "name", "path")
+    return search.regex_search(_symbols(spark, root), "^(get|set)_?[a-z]+.*Late$").select("sym_id", "name", "path")
 
 
 def subsequence_search(spark: SparkSession, root: str) -> DataFrame:
-    return search.subsequence_search(_symbols(spark, root), "mrgbkt").select("sym_id", "name", "path")
+    return search.subsequence_search(_symbols(spark, root), "gtpalc").select("sym_id", "name", "path")
 
 
 def context_search(spark: SparkSession, root: str) -> DataFrame:
@@ -55,7 +55,7 @@ _S = "s AS (SELECT DISTINCT sym_id, repo_id, path, ordinal, name, type, line, pa
 
 
 def _tokens(text: str) -> str:
-    return f"list_transform(regexp_extract_all(translate(regexp_replace({text}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_-/\\.', '     '), '[a-zA-Z]{{2,}}'), x -> lower(x))"
+    return f"list_transform(regexp_extract_all(translate(regexp_replace({text}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_-/\\.', '     '), '[a-zA-Z]{{2,}}'), lambda x: lower(x))"
 
 
 _T = f"""t AS (SELECT sym_id, token, count(*) AS n FROM (SELECT sym_id, unnest({_tokens("concat_ws(' ', name, array_to_string(params, ' '), array_to_string(calls, ' '), doc, class_name, framework, type, path)")}) AS token FROM s) GROUP BY 1, 2),
@@ -75,11 +75,11 @@ _CONCEPT = " UNION ALL ".join(
 SQL = {
     "symbol_search": "SELECT DISTINCT sym_id, repo_id, path, ordinal, name, type, line FROM symbols WHERE contains(lower(name), 'manifest') AND type = 'function'",
     "file_scoped_search": "SELECT DISTINCT sym_id, repo_id, path, name FROM symbols WHERE contains(lower(name), 'a') AND contains(lower(path), 'tests/')",
-    "regex_search": "SELECT DISTINCT sym_id, name, path FROM symbols WHERE regexp_matches(name, '^(get|set)_?[a-z]+.*Lease$', 'i')",
-    "subsequence_search": "SELECT DISTINCT sym_id, name, path FROM symbols WHERE regexp_matches(lower(name), 'm.*r.*g.*b.*k.*t')",
+    "regex_search": "SELECT DISTINCT sym_id, name, path FROM symbols WHERE regexp_matches(name, '^(get|set)_?[a-z]+.*Late$', 'i')",
+    "subsequence_search": "SELECT DISTINCT sym_id, name, path FROM symbols WHERE regexp_matches(lower(name), 'g.*t.*p.*a.*l.*c')",
     "context_search": f"""WITH {_S}, e AS (SELECT DISTINCT repo_id, src, dst FROM calls WHERE src <> '' AND dst <> ''), c AS (SELECT repo_id, dst, count(*) AS callers FROM e GROUP BY 1, 2),
       f AS (SELECT s.*, coalesce(c.callers, 0) AS callers FROM s LEFT JOIN c ON c.repo_id = s.repo_id AND c.dst = s.name
-        WHERE contains(lower(name), 'handle') OR coalesce(len(list_filter(calls, x -> contains(lower(x), 'handle'))) > 0, false) OR coalesce(contains(lower(class_name), 'handle'), false) OR coalesce(len(list_filter(params, x -> contains(lower(x), 'handle'))) > 0, false)),
+        WHERE contains(lower(name), 'handle') OR coalesce(len(list_filter(calls, lambda x: contains(lower(x), 'handle'))) > 0, false) OR coalesce(contains(lower(class_name), 'handle'), false) OR coalesce(len(list_filter(params, lambda x: contains(lower(x), 'handle'))) > 0, false)),
       g AS (SELECT *, CASE WHEN lower(name) = 'handle' THEN 100 WHEN starts_with(lower(name), 'handle') THEN 50 WHEN contains(lower(name), 'handle') THEN 10 ELSE 0 END + 5 * least(callers, 5) + 2 * least(coalesce(len(calls), 0), 5)
         + CASE WHEN type = 'class' THEN 15 WHEN type IN ('function', 'method') THEN 10 WHEN type = 'interface' THEN 5 ELSE 0 END AS score FROM f),
       r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path, ordinal, sym_id) AS rank FROM g)
