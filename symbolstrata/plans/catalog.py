@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, problems, profile_queries, quality_queries, search_queries
+from . import graph_queries, problems, profile_queries, quality_queries, search_queries, source_queries
 
-_MODULES = (problems, graph_queries, search_queries, profile_queries, quality_queries)
+_MODULES = (problems, graph_queries, search_queries, profile_queries, quality_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
