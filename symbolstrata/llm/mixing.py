@@ -62,7 +62,7 @@ def _level(seed: int, last: bool):
 
 def targets_and_supply(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: target_share, max_repeats, its documents and tokens (0 if it has none)."""
-    t = targets.where("target_share > 0 and max_repeats > 0").groupBy(source_name().alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    t = targets.where("target_share > 0 and max_repeats > 0").groupBy(source_name().alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
     supply = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
     return t.join(F.broadcast(supply), "source", "left").fillna(0, ["documents", "tokens"])  # a row for each source name
 
