@@ -8,10 +8,11 @@ and lines of all documents. A last sentence that is a prefix of many others and
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ LITERAL, OPENING = 12, 4
 #: A word is kept if it makes up this share of all tokens, or if one token follows it in this share of its places.
 FREQUENT, FIXED_NEXT, LEAST_SEEN = 0.004, 0.3, 20
 #: An ending counts as unusual below this share of the places where the same words go on.
-RARE_END, RARE_WORD = 0.1, 0.01
+RARE_END, RARE_WORD = 0.1, 0.002
 #: Values shorter than this are not looked up as prefixes of whole values.
 LEAST_PREFIX = 40
 
@@ -63,14 +64,96 @@ def unmarked(text: str) -> str:
     return text[: mark.start()] if mark and mark.start() else text
 
 
+class Codes(dict):
+    """Numbers for raw tokens, given as they come, with what the operator needs of each token in arrays."""
+
+    def __init__(self, kept: frozenset[str] = frozenset()):
+        super().__init__()
+        self.kept = kept
+        self.names: list[str] = []
+        self._place: dict[str, int] = {}
+        self._rows: list[tuple[int, int, int]] = []
+
+    def __missing__(self, raw: str) -> int:
+        name = tokens(raw)[0] if raw != "`" else OPEN
+        place = self._place.get(name)
+        if place is None:
+            place = self._place[name] = len(self.names)
+            self.names.append(name)
+            opened = name[0].isalpha() and name not in self.kept
+            flags = (name == "\n") * LINE_END | (name in ".?!") * FULL_STOP | name[0].isalpha() * WORD | opened * OPEN_CLASS | (name == OPEN) * UNCLOSED
+            self._rows.append((xxhash.xxh64_intdigest("W" if opened else name, 1), xxhash.xxh64_intdigest(name, 2), flags))
+        self[raw] = place
+        return place
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        shape, literal, flags = zip(*self._rows, strict=True)
+        return np.array(shape, dtype=np.uint64), np.array(literal, dtype=np.uint64), np.array(flags, dtype=np.int64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all texts one after the other, and where each text ends."""
+        each = [list(map(self.__getitem__, _TOKEN.findall(t))) for t in texts]
+        ends = np.cumsum([len(x) for x in each], dtype=np.int64) if each else np.zeros(0, dtype=np.int64)
+        return np.fromiter(itertools.chain.from_iterable(each), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0), ends
+
+
+LINE_END, FULL_STOP, WORD, OPEN_CLASS, UNCLOSED = 1, 2, 4, 8, 16
+_START = np.uint64(0x9E3779B97F4A7C15)
+_STEP = [pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(max(CONTEXT, LITERAL) + 1)]
+
+
+def _mix(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
+def _looked_at(codes: Codes, texts: list[str]) -> dict[str, np.ndarray] | None:
+    """For each token that is no line end: keys of its pattern and of its sentence so far, and where it stands."""
+    code, ends = codes.of(texts)
+    if not len(code):
+        return None
+    shape, literal, flags = (x[code] for x in codes.arrays())
+    first = np.zeros(len(code), dtype=bool)
+    first[np.concatenate([[0], ends[:-1]])[np.diff(ends, prepend=0) > 0]] = True
+    first[1:] |= (flags[:-1] & (LINE_END | FULL_STOP)) > 0
+    last_of_text = np.zeros(len(code), dtype=bool)
+    last_of_text[ends[np.diff(ends, prepend=0) > 0] - 1] = True
+    owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    stay = (flags & LINE_END) == 0
+    shape, literal, flags, first, last_of_text, owner = (x[stay] for x in (shape, literal, flags, first, last_of_text, owner))
+    if not len(shape):
+        return None
+    at = np.arange(len(shape))
+    begin = np.maximum.accumulate(np.where(first, at, 0))
+    place = at - begin
+    pattern = np.zeros(len(shape), dtype=np.uint64)
+    for k in range(CONTEXT):
+        before = np.where(place >= k, np.roll(shape, k), np.where(place + 1 == k, _START, np.uint64(0)))
+        pattern += before * np.uint64(_STEP[k])
+    powers = np.array(_STEP[:LITERAL], dtype=np.uint64)
+    sums = np.cumsum(np.where(place < LITERAL, literal * powers[np.minimum(place, LITERAL - 1)], np.uint64(0)))
+    so_far = sums - np.where(begin > 0, sums[begin - 1], np.uint64(0))
+    since = lambda flag: (c := np.cumsum((flags & flag) > 0)) - np.where(begin > 0, c[begin - 1], 0)
+    return {
+        "pattern": _mix(pattern, 11), "literal": _mix(so_far, 12), "word": _mix(literal, 13), "is_word": (flags & WORD) > 0, "place": place, "owner": owner,
+        "ends": np.append(first[1:], True), "text_ends": last_of_text, "open_class": since(OPEN_CLASS) > 0, "unclosed": since(UNCLOSED) > 0,
+    }
+
+
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    codes = Codes()
     for batch in batches:
-        count: Counter = Counter()
-        for text in batch["text"]:
-            t = tokens(text)
-            count.update(zip(t, t[1:], strict=False))
-        kept = [(a, b, n) for (a, b), n in count.items() if a[0].isalpha()]
-        yield pd.DataFrame(kept + [("", "", int(count.total()))], columns=["word", "next", "n"])
+        code, ends = codes.of(list(batch["text"]))
+        if len(code) < 2:
+            continue
+        inner = np.ones(len(code) - 1, dtype=bool)
+        inner[ends[(ends > 0) & (ends < len(code))] - 1] = False
+        _, _, flags = codes.arrays()
+        both, n = np.unique((code[:-1] << 32 | code[1:])[inner], return_counts=True)
+        kept = (flags[both >> 32] & WORD) > 0
+        names = np.array(codes.names, dtype=object)
+        yield pd.DataFrame({"word": names[both[kept] >> 32], "next": names[both[kept] & 0xFFFFFFFF], "n": n[kept]})
+        yield pd.DataFrame({"word": [""], "next": [""], "n": [int(n.sum())]})
 
 
 def kept_words(documents: DataFrame, vocabulary: int = VOCABULARY) -> frozenset[str]:
@@ -85,73 +168,46 @@ def kept_words(documents: DataFrame, vocabulary: int = VOCABULARY) -> frozenset[
     return frozenset(r[0] for r in fit.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect())
 
 
-def sentences(parts: list[str], kept: frozenset[str]) -> Iterator[tuple[list[str], list[str]]]:
-    """Sentences and lines of a token list: patterns with a start mark, and the tokens themselves."""
-    shape, words = ["^"], ["^"]
-    for t in parts:
-        if t == "\n":
-            if len(shape) > 1:
-                yield shape, words
-                shape, words = ["^"], ["^"]
-            continue
-        shape.append(t if not t[0].isalpha() or t in kept else "W")
-        words.append(t)
-        if t in ".?!":
-            yield shape, words
-            shape, words = ["^"], ["^"]
-    if len(shape) > 1:
-        yield shape, words
-
-
-def _hash(parts: Iterable[str]) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
-
-
 def _patterns(kept: frozenset[str]):
     """Counts of patterns as ends and as strict prefixes, of literal sentences likewise, and of words inside texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes(kept)
         for batch in batches:
-            ends: Counter = Counter()
-            goes: Counter = Counter()
-            for text in batch["text"]:
-                parts = tokens(unmarked(text))
-                goes.update([("w", t) for t in parts[:-1] if t[0].isalpha()])
-                for shape, words in sentences(parts, kept):
-                    goes.update([tuple(shape[max(0, i - CONTEXT) : i]) for i in range(2, len(shape))])
-                    ends[tuple(shape[-CONTEXT:])] += 1
-                    if len(words) <= LITERAL:
-                        ends[("l", *words)] += 1
-                    goes.update([("l", *words[:i]) for i in range(2, min(OPENING + 1, len(words)))])
-            keys = list(ends.keys() | goes.keys())
-            yield pd.DataFrame({"key": [_hash(k) for k in keys], "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
+            x = _looked_at(codes, [unmarked(t) for t in batch["text"]])
+            if x is None:
+                continue
+            ends, goes = x["ends"], ~x["ends"]
+            short, opening = ends & (x["place"] + 2 <= LITERAL), goes & (x["place"] + 2 <= OPENING)
+            inner = x["is_word"] & ~x["text_ends"]
+            key = np.concatenate([x["pattern"], x["literal"][short], x["literal"][opening], x["word"][inner]])
+            one = np.concatenate([ends, np.ones(short.sum(), dtype=bool), np.zeros(opening.sum() + inner.sum(), dtype=bool)])
+            keys, where = np.unique(key, return_inverse=True)
+            end = np.bincount(where, weights=one, minlength=len(keys)).astype(np.int64)
+            yield pd.DataFrame({"key": keys.view(np.int64), "ends": end, "goes": np.bincount(where, minlength=len(keys)) - end})
 
     return run
 
 
 def _last(kept: frozenset[str]):
-    """What to look up for each document: its last pattern, that without its last token, its words as they stand, the last word."""
+    """What to look up for each document: its last pattern, that without its last token, its words as they stand, the last word.
+
+    A sentence doesn't go past a line end, so the last line is all that is read of a text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes(kept)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                last = None
-                for last in sentences(tokens(unmarked(text)), kept):
-                    pass
-                if last is None:
-                    continue
-                shape, words = last
-                rows.append((doc, "shape", _hash(shape[-CONTEXT:]), OPEN in words))
-                if len(shape) > 2:
-                    rows.append((doc, "before", _hash(shape[:-1][-CONTEXT:]), False))
-                if len(words) <= OPENING:
-                    rows.append((doc, "opening", _hash(["l", *words]), False))
-                if len(words) <= LITERAL and (len(words) <= OPENING or "W" in shape):
-                    rows.append((doc, "literal", _hash(["l", *words]), False))
-                if words[-1][0].isalpha():
-                    rows.append((doc, "word", _hash(["w", words[-1]]), False))
-            yield pd.DataFrame(rows, columns=["doc_id", "what", "key", "open"])
+            x = _looked_at(codes, [unmarked(t).rstrip().rpartition("\n")[2] for t in batch["text"]])
+            if x is None:
+                continue
+            last = np.flatnonzero(x["text_ends"])
+            docs, place, opened = batch["doc_id"].to_numpy()[x["owner"][last]], x["place"][last], x["unclosed"][last]
+            size = place + 2  # tokens of the sentence with its start
+            closing = (size <= LITERAL) & ((size <= OPENING) | x["open_class"][last])
+            parts = [("shape", last, np.ones(len(last), dtype=bool), "pattern"), ("before", last - 1, place > 0, "pattern"), ("opening", last, size <= OPENING, "literal"), ("literal", last, closing, "literal"), ("word", last, x["is_word"][last], "word")]
+            for what, at, on, column in parts:
+                yield pd.DataFrame({"doc_id": docs[on], "what": what, "key": x[column][at[on]].view(np.int64), "open": opened[on] & (what == "shape")})
 
     return run
 
@@ -179,7 +235,10 @@ def prefixes_of_others(documents: DataFrame) -> DataFrame:
     a like share and a value's extensions follow it directly; the edges of the partitions, two values each, are matched
     in a second small step.
     """
-    values = documents.where("text is not null").select("doc_id", F.regexp_replace("text", _MARK_SQL, "").alias("value")).where(F.length("value") >= LEAST_PREFIX)
+    # only the last characters are searched for a mark; the pattern is slow on whole texts
+    tail = F.length(F.regexp_extract(F.right(F.col("text"), F.lit(60)), _MARK_SQL, 0))
+    value = F.when(F.col("tail") > 0, F.expr("left(text, length(text) - tail)")).otherwise(F.col("text"))
+    values = documents.where("text is not null").withColumn("tail", tail).select("doc_id", value.alias("value")).where(F.length("value") >= LEAST_PREFIX)
     values = values.withColumn("key", F.xxhash64("value"))
     distinct = values.groupBy("key").agg(F.first("value").alias("value"))
     ordered = distinct.repartitionByRange("value").sortWithinPartitions("value").select("key", "value")
