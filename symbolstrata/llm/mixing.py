@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -105,6 +106,6 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     copies = sure.unionByName(whole.withColumn("copies", F.lit(1))).groupBy("doc_id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies"))
     used = copies.groupBy("source").agg(F.count("*").alias("mixed_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     report = plan.join(F.broadcast(used), "source", "left").fillna(0, ["mixed_documents", "mixed_tokens", "most_copies"])
-    whole_mix = used.agg(F.sum("mixed_tokens").alias("all"))
-    report = report.join(F.broadcast(whole_mix)).select("source", "target_share", "max_repeats", "documents", "tokens", "mixed_documents", "mixed_tokens", F.round(F.col("mixed_tokens") / F.col("all"), 6).alias("actual_share"), "most_copies", ((F.col("tokens") > 0) & (F.col("goal") >= 0.999999 * F.col("target_share") * float(total_tokens))).alias("met"))
+    report = report.withColumn("all", F.sum("mixed_tokens").over(W.partitionBy()))  # a row for each listed source
+    report = report.select("source", "target_share", "max_repeats", "documents", "tokens", "mixed_documents", "mixed_tokens", F.round(F.col("mixed_tokens") / F.col("all"), 6).alias("actual_share"), "most_copies", ((F.col("tokens") > 0) & (F.col("goal") >= 0.999999 * F.col("target_share") * float(total_tokens))).alias("met"))
     return copies, report

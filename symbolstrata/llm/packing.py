@@ -99,8 +99,12 @@ def containers(documents: DataFrame, budgets: DataFrame, vocabulary: str = VOCAB
     # ids are unique; should one be repeated, its rows are told apart
     sized = sized.withColumn("copy", F.row_number().over(W.partitionBy("doc_id").orderBy("tokens")) - 1)
     sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(blocks)).cast("int"))
-    fixed = budgets.where("capacity_tokens > 0").select("budget_name", "capacity_tokens").distinct()
-    both = sized.join(F.broadcast(fixed))  # a fixed table of container sizes: each text goes to each
+    # the container sizes are a fixed table of a few rows; each text goes to each of them
+    fixed = sorted({(r[0], r[1]) for r in budgets.where("budget_name is not null and capacity_tokens > 0").select("budget_name", "capacity_tokens").distinct().collect()})
+    if not fixed:
+        return documents.sparkSession.createDataFrame([], ASSIGNED)
+    each = F.array(*[F.struct(F.lit(n).alias("budget_name"), F.lit(c).cast("int").alias("capacity_tokens")) for n, c in fixed])
+    both = sized.withColumn("b", F.explode(each)).select("*", "b.*").drop("b")
     pieces = both.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("cast((tokens - 1) div capacity_tokens as int)"))))
     pieces = pieces.withColumn("token_start", F.col("piece").cast("long") * F.col("capacity_tokens"))
     pieces = pieces.withColumn("tokens", F.least(F.col("capacity_tokens").cast("long"), F.col("tokens") - F.col("token_start")))
