@@ -138,13 +138,17 @@ def tfidf_search(symbols: DataFrame, query: list[str], k: int = 10) -> DataFrame
     idf = inverse_frequencies(tokens)
     size = F.sum("n").over(W.partitionBy("sym_id"))
     weights = tokens.withColumn("tf", F.col("n") / size).join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    asked = idf.where(F.col("token").isin(wide)).select("token", (F.col("idf") / len(wide)).alias("q"))  # as many rows as the query has tokens
-    length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    dots = weights.join(F.broadcast(asked), "token", "left").groupBy("sym_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn")).where("dot is not null and dn > 0")
+    # as many rows as the widened query has tokens
+    asked = {r["token"]: r["idf"] / len(wide) for r in idf.where(F.col("token").isin(wide)).collect()}
+    length = sum(v * v for v in asked.values()) ** 0.5
+    q = F.when(F.lit(False), F.lit(0.0))
+    for token, weight in sorted(asked.items()):
+        q = q.when(F.col("token") == token, F.lit(weight))
+    dots = weights.withColumn("q", q).groupBy("sym_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn")).where("dot is not null and dn > 0")
     names = one_per_symbol(symbols, ["sym_id", "repo_id", "name", "type", "path"])
-    scored = dots.join(F.broadcast(length)).join(names, "sym_id")
+    scored = dots.join(names, "sym_id")
     hit = F.when(F.arrays_overlap(name_tokens(F.col("name")), F.array(*map(F.lit, query))), 0.5).when(F.arrays_overlap(name_tokens(F.col("name")), F.array(*map(F.lit, wide))), 0.2).otherwise(0.0)
-    scored = scored.withColumn("score", F.round(F.col("dot") / F.col("dn") / F.col("qn") + hit, 3)).where("score > 0.01")
+    scored = scored.withColumn("score", F.round(F.col("dot") / F.col("dn") / F.lit(length or 1.0) + hit, 3)).where("score > 0.01")
     return scored.orderBy(F.desc("score"), "sym_id").limit(k).select("sym_id", "repo_id", "name", "type", "path", "score")
 
 
