@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, quality
+from ..operators import extract, frameworks, quality
 from ..tables import load
 
 
@@ -73,7 +73,18 @@ def line_counts(spark: SparkSession, root: str) -> DataFrame:
     return n.groupBy("repo_id", "path").agg(F.count("*").alias("lines"), F.count_if(F.trim("text") == "").alias("blank"))
 
 
-QUERIES = (dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
+def detected_frameworks(spark: SparkSession, root: str) -> DataFrame:
+    return frameworks.detected_frameworks(load(spark, root, "symbol_bodies"))
+
+
+def unlabelled_symbols(spark: SparkSession, root: str) -> DataFrame:
+    """Per repository and framework label of the index (none: null): symbols, and how many of them a rule labels."""
+    s = load(spark, root, "symbols").select("sym_id", "repo_id", "framework").distinct()
+    found = frameworks.detected_frameworks(load(spark, root, "symbol_bodies")).select("sym_id", F.lit(1).alias("rule")).distinct()
+    return s.join(found, "sym_id", "left").groupBy("repo_id", "framework").agg(F.count("*").alias("symbols"), F.count("rule").alias("by_rule"))
+
+
+QUERIES = (detected_frameworks, unlabelled_symbols, dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
 
 
 def _q(text: str) -> str:
@@ -115,7 +126,11 @@ _CODE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(reg
 _FIND = " UNION ALL ".join(f"SELECT repo_id, path, line, {i} AS rule, {_q(c)} AS category, {_q(s)} AS severity, {_q(d)} AS description FROM x WHERE regexp_matches(text, {_q(p)}, 'i')" for i, (c, s, d, p) in enumerate(extract.FINDINGS))
 _FINDINGS = rf"""{_L}, x AS (SELECT * FROM l WHERE NOT regexp_matches(trim(text), '^(#|//|\*)')), h AS ({_FIND}), n AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, line, category ORDER BY rule) AS n FROM h WHERE NOT (category = 'unsafe_code' AND regexp_matches(lower(path), 'test|spec'))),
   g AS (SELECT repo_id, path, line, category, severity, description FROM n WHERE n = 1)"""
+_FW = "CASE " + " ".join("WHEN regexp_matches(lower(path), " + _q(e) + ")" + (f" AND regexp_matches(body, {_q(t)})" if t else "") + (f" AND regexp_matches(name, {_q(n)})" if n else "") + f" THEN '{label}'" for label, e, t, n in frameworks.FRAMEWORK_RULES) + " END"
+_D = f"fw AS (SELECT DISTINCT sym_id, {_FW} AS framework FROM symbol_bodies), g AS (SELECT * FROM fw WHERE framework IS NOT NULL)"
 SQL = {
+    "detected_frameworks": f"WITH {_D} SELECT * FROM g",
+    "unlabelled_symbols": f"WITH {_D}, s AS (SELECT DISTINCT sym_id, repo_id, framework FROM symbols) SELECT s.repo_id, s.framework, count(*) AS symbols, count(d.sym_id) AS by_rule FROM s LEFT JOIN (SELECT DISTINCT sym_id FROM g) d ON d.sym_id = s.sym_id GROUP BY 1, 2",
     "dead_code": rf"""WITH {_I}, u AS (SELECT repo_id, split_part(dst, '.', -1) AS name FROM calls WHERE dst <> '' UNION SELECT repo_id, unnest(string_split(imported, ' ')) FROM i WHERE module IS NOT NULL)
       SELECT DISTINCT sym_id, repo_id, path, name, type, line FROM symbols s WHERE name <> '' AND NOT ({_ENTRY}) AND NOT EXISTS (FROM u WHERE u.repo_id = s.repo_id AND u.name = s.name)""",
     "complexity": f"WITH {_M} SELECT sym_id, repo_id, name, params, calls, lines, cyclomatic, nesting, score, rating FROM r",

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from symbolstrata.functions.text import sequence_ratio
-from symbolstrata.operators import diff, extract, filters, graph, quality, resolve, search
+from symbolstrata.operators import diff, extract, filters, frameworks, graph, quality, resolve, search
 from symbolstrata.sources import manifests, tree
 from symbolstrata.streaming import watch
 
@@ -171,3 +171,14 @@ def test_ratio_and_search(spark):
     assert search.symbol_search(s, "PAR").count() == 1
     assert search.subsequence_search(s, "psr").count() == 0 and search.subsequence_search(s, "pr").count() == 0 and search.subsequence_search(s, "pse").count() == 1
     assert {(r["name"], r["score"]) for r in search.fuzzy_search(s, "parse").collect()} == {("parse", 1.0)}
+
+
+def test_frameworks_and_entities(spark):
+    b = spark.createDataFrame(
+        [(1, "r", "a.tsx", "Page", "function", "const [x] = useState(0)"), (2, "r", "a.tsx", "useX", "function", "useEffect(f)"), (3, "r", "b.py", "go", "function", "@app.get('/x')\ndef go(): pass"), (4, "r", "C.java", "C", "class", "@RestController\nclass C {}"),
+         (5, "r", "b.py", "P", "class", "class P(BaseModel):\n    a: int = 1\n    b = 2\n"), (6, "r", "b.py", None, "class", None), (7, "r", "d.go", "x", "function", "useState"), (1, "r", "a.tsx", "Page", "function", "const [x] = useState(0)")],
+        "sym_id long, repo_id string, path string, name string, type string, body string",
+    )
+    assert rows(frameworks.detected_frameworks(b)) == {(1, "react-component"), (2, "react-hook"), (3, "fastapi-endpoint"), (4, "spring-controller")}
+    assert {(r["name"], r["kind"], r["fields"]) for r in frameworks.entities(b).collect()} == {("P", "pydantic", "a b")}
+    assert frameworks.entities(b.limit(0)).count() == 0
