@@ -35,7 +35,7 @@ LEAST_PREFIX = 40
 # ---- fixed values: marks that stand where a text was cut ----
 _MARK = re.compile(r"\s*(?:…|\.{3,}|[\[(<]\s*(?:\.{3}|…|truncated|cut(?: off)?|continued|more|snip)\s*[\])>])\s*$", re.I)
 _MARK_SQL = r"(?i)\s*(…|\.{3,}|[\[(<]\s*(\.{3}|…|truncated|cut( off)?|continued|more|snip)\s*[\])>])?\s*$"
-_TOKEN = re.compile(r"```|`[^`\n]*`|[^\W\d_](?:[^\W_]|['’](?=\w))*|\d+(?:[.,:]\d+)*|\n+|[^\w\s]|_")
+_TOKEN = re.compile(r"[^\W\d_][^\W_]*(?:['’][^\W_]+)*|\d+(?:[.,:]\d+)*|```|`[^`\n]*`|\n+|[^\w\s]|_")
 #: The token of a quote of code that its line doesn't close.
 OPEN = "`?"
 _DIGITS = re.compile(r"\d+")
@@ -183,7 +183,7 @@ def _patterns(kept: frozenset[str]):
             inner = x["is_word"] & ~x["text_ends"]
             key = np.concatenate([x["pattern"], x["literal"][short], x["literal"][opening], x["word"][inner]])
             one = np.concatenate([ends, np.ones(short.sum(), dtype=bool), np.zeros(opening.sum() + inner.sum(), dtype=bool)])
-            keys, where = np.unique(key, return_inverse=True)
+            where, keys = pd.factorize(key)
             end = np.bincount(where, weights=one, minlength=len(keys)).astype(np.int64)
             yield pd.DataFrame({"key": keys.view(np.int64), "ends": end, "goes": np.bincount(where, minlength=len(keys)) - end})
 
