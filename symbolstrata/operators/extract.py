@@ -93,6 +93,38 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.select("repo_id", "path", "line", module.alias("module"), found.alias("imported")).where("module is not null").distinct()
 
 
+# ---- fixed values: what a script line exports, in order; the first rule that fits decides ----
+EXPORTS = [
+    ("function", r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"),
+    ("class", r"^\s*export\s+(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
+    ("type", r"^\s*export\s+(?:declare\s+)?(?:interface|type|enum)\s+(\w+)"),
+    ("variable", r"^\s*export\s+(?:const|let|var)\s+(\w+)"),
+]
+
+
+def exports(files: DataFrame) -> DataFrame:
+    """repo_id, path, name, kind of what scripts export and of what Python's ``__all__`` lists; null contents give nothing."""
+    script = numbered_lines(files).where(F.lower("path").rlike(r"\.(?:js|jsx|ts|tsx)$") & F.col("text").rlike(r"^\s*export\b"))
+    found = F.when(F.lit(False), F.struct(F.lit("").alias("name"), F.lit("").alias("kind")))
+    for kind, pattern in EXPORTS:
+        found = found.when(F.col("text").rlike(pattern), F.struct(F.regexp_extract("text", pattern, 1).alias("name"), F.lit(kind).alias("kind")))
+    single = script.select("repo_id", "path", found.alias("e")).where("e is not null").select("repo_id", "path", "e.name", "e.kind")
+    outside = lambda part: F.trim(F.regexp_replace(part, r"^.*\s+as\s+", ""))
+    clause = F.regexp_extract("text", r"^\s*export\s*\{([^}]*)\}", 1)
+    listed = script.select("repo_id", "path", F.explode(F.transform(F.split(clause, ","), outside)).alias("name"), F.lit("named").alias("kind"))
+    every = F.regexp_extract("content", r"(?m)^__all__\s*=\s*[\[(]([^\])]*)[\])]", 1)
+    python = files.where(F.lower("path").endswith(".py") & F.col("content").contains("__all__"))
+    python = python.select("repo_id", "path", F.explode(F.regexp_extract_all(every, F.lit(r"[\"'](\w+)[\"']"), F.lit(1))).alias("name"), F.lit("named").alias("kind"))
+    return single.unionByName(listed).unionByName(python).where("name <> ''").distinct()
+
+
+def visible_names(symbols: DataFrame, exports_: DataFrame) -> DataFrame:
+    """What other files can name of a file: repo_id, path, name, type; symbols outside classes, then exports that are no such symbol."""
+    own = symbols.where("name <> '' and path is not null and coalesce(class_name, '') = ''").select("repo_id", "path", "name", F.lit(0).alias("o"), "type")
+    rows = own.unionByName(exports_.select("repo_id", "path", "name", F.lit(1).alias("o"), F.col("kind").alias("type")))
+    return rows.groupBy("repo_id", "path", "name").agg(F.min(F.struct("o", "type")).alias("r")).select("repo_id", "path", "name", "r.type")
+
+
 def imported_names(imports_: DataFrame) -> DataFrame:
     return imports_.select("repo_id", F.explode(F.split("imported", " ")).alias("name")).where("name <> ''").distinct()
 

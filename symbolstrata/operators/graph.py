@@ -117,6 +117,39 @@ def cycles(edges: DataFrame, most: int = 5) -> DataFrame:
     return found.withColumn("length", F.size("path"))
 
 
+def shown_ends(edges: DataFrame, key: str, other: str, k: int = 20) -> DataFrame:
+    """Per ``key`` node the number of its other ends and the first ``k`` of them in order: repo_id, key, n, shown (array).
+
+    Counts are aggregated before the shuffle and the window keeps ``k`` rows of a node, so no task gathers a hot node whole.
+    """
+    counts = edges.groupBy("repo_id", key).agg(F.count("*").alias("n"))
+    first = edges.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", key).orderBy(other))).where(F.col("_i") <= k)
+    return counts.join(first.groupBy("repo_id", key).agg(F.array_sort(F.collect_list(other)).alias("shown")), ["repo_id", key])
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Every node with the nodes around it: repo_id, name, other, direction (``to`` or ``from``)."""
+    return edges.select("repo_id", F.col("src").alias("name"), F.col("dst").alias("other"), F.lit("to").alias("direction")).unionByName(
+        edges.select("repo_id", F.col("dst").alias("name"), F.col("src").alias("other"), F.lit("from").alias("direction"))
+    )
+
+
+def nearest(edges: DataFrame, seeds: DataFrame, fan: int = 5, depth: int = 3, nodes: int = 30) -> DataFrame:
+    """The ``nodes`` nearest names out of each seed: repo_id, seed, name, distance.
+
+    Each step takes the first ``fan`` names (in order) that a name calls, up to ``depth`` steps; a name counts at its
+    shortest distance, the seed at 0; ties go by name. Seeds that call nothing stand alone.
+    """
+    step = edges.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", "src").orderBy("dst"))).where(F.col("_i") <= fan).select("repo_id", F.col("src").alias("name"), "dst")
+    frontier = seeds.select("repo_id", F.col("name").alias("seed"), "name").distinct().withColumn("distance", F.lit(0))
+    seen = frontier
+    for d in range(1, depth + 1):
+        frontier = frontier.join(step, ["repo_id", "name"]).select("repo_id", "seed", F.col("dst").alias("name"), F.lit(d).alias("distance")).distinct()
+        seen = seen.unionByName(frontier)
+    shortest = seen.groupBy("repo_id", "seed", "name").agg(F.min("distance").alias("distance"))
+    return shortest.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", "seed").orderBy("distance", "name"))).where(F.col("_i") <= nodes).drop("_i")
+
+
 def quotient(edges: DataFrame, group: DataFrame, key: str, value: str, default: str) -> DataFrame:
     """Edges between the groups of their ends: repo_id, src_group, dst_group, edges; ends without a group get ``default``."""
     g = group.select("repo_id", F.col(key).alias("_k"), F.col(value).alias("_v"))

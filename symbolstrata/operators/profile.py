@@ -90,5 +90,52 @@ def recommendations(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def share_of_max(counts: DataFrame, column: str, by: str) -> DataFrame:
-    """Whole percent of the largest value within each ``by``."""
-    return counts.withColumn("percent", F.floor(F.col(column) * 100 / F.max(column).over(W.partitionBy(by))).cast("int"))
+    """Whole percent of the largest value within each ``by``; the largest are joined, so no task gathers a hot ``by``."""
+    most = counts.groupBy(F.col(by).alias("_by")).agg(F.max(column).alias("_most"))
+    return counts.join(most, F.col(by).eqNullSafe(F.col("_by"))).withColumn("percent", F.floor(F.col(column) * 100 / F.col("_most")).cast("int")).drop("_by", "_most")
+
+
+def file_summaries(files: DataFrame, symbols: DataFrame, calls: DataFrame, file_deps: DataFrame) -> DataFrame:
+    """Per file of any of the tables: symbols, functions, methods, classes, edges, imports, imported_by; paths cleaned, null paths left out."""
+    names = ["symbols", "functions", "methods", "classes", "edges", "imports", "imported_by"]
+
+    def counted(df: DataFrame, path: str, **on: Column) -> DataFrame:
+        return df.where(F.col(path) != "").select("repo_id", clean_path(F.col(path)).alias("path"), *[on.get(n, F.lit(False)).cast("int").alias(n) for n in names])
+
+    one = F.lit(True)
+    kind = lambda k: F.coalesce(F.col("type") == k, F.lit(False))
+    s = symbols.select("sym_id", "repo_id", "path", "type").distinct()
+    e = calls.where("src <> '' and dst <> ''").select("repo_id", "path", "src", "dst").distinct()
+    d = file_deps.where("src_path <> '' and dst_path <> ''").select("repo_id", clean_path(F.col("src_path")).alias("src"), clean_path(F.col("dst_path")).alias("dst")).distinct().where("src <> dst")
+    parts = [
+        counted(files.select("repo_id", "path"), "path"),
+        counted(s, "path", symbols=one, functions=kind("function"), methods=kind("method"), classes=kind("class")),
+        counted(e, "path", edges=one),
+        counted(d, "src", imports=one),
+        counted(d, "dst", imported_by=one),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("repo_id", "path").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def class_callees(symbols: DataFrame) -> DataFrame:
+    """The names that any method of a class calls, once each: repo_id, path, class_name, callee."""
+    s = symbols.where("class_name <> ''").select("repo_id", "path", "class_name", F.explode("calls").alias("callee"))
+    return s.where("callee <> ''").distinct()
+
+
+def shared_names(symbols: DataFrame, least: int = 2) -> DataFrame:
+    """Names with symbols in at least ``least`` repositories: name, repositories, symbols; null and empty names are left out."""
+    pairs = symbols.where("name <> ''").select("name", "repo_id", "sym_id").distinct()
+    per = pairs.groupBy("name", "repo_id").agg(F.count("*").alias("n"))  # hot names shrink to a row for each repository
+    return per.groupBy("name").agg(F.count("repo_id").alias("repositories"), F.sum("n").alias("symbols")).where(F.col("repositories") >= least)
+
+
+def within_budget(rows: DataFrame, tokens: str, by: list[str], order: list[str], budget: int) -> DataFrame:
+    """The rows of each ``by`` whose predecessors in ``order`` hold fewer than ``budget`` tokens; a budget of 0 keeps all."""
+    if budget <= 0:
+        return rows
+    before = F.sum(tokens).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < budget).drop("_before")

@@ -128,3 +128,16 @@ def doc_coverage(symbols: DataFrame) -> DataFrame:
     """Per repository and extension: symbols, those with a doc, percent rounded to one place."""
     s = symbols.select("sym_id", "repo_id", extension(F.col("path")).alias("ext"), (F.coalesce(F.trim("doc"), F.lit("")) != "").alias("has")).distinct()
     return s.groupBy("repo_id", "ext").agg(F.count("*").alias("symbols"), F.count_if("has").alias("documented")).withColumn("percent", F.round(F.col("documented") * 100.0 / F.col("symbols"), 1))
+
+
+def brace_depth(files: DataFrame) -> DataFrame:
+    """Per distinct content of a file: repo_id, path, lines, deepest (most braces open after a line), left_open.
+
+    The running depth is folded over a file's lines where the row stands, without a shuffle but the one that makes
+    deliveries one. Null and empty contents are left out.
+    """
+    opened = lambda t: F.length(F.regexp_replace(t, r"[^{]", "")) - F.length(F.regexp_replace(t, r"[^}]", ""))
+    rows = files.where("content <> '' and path is not null").withColumn("t", F.transform(F.split("content", "\n"), opened))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"))
+    step = lambda a, x: F.struct((a["depth"] + x).alias("depth"), F.greatest(a["deepest"], a["depth"] + x).alias("deepest"))
+    return rows.select("repo_id", "path", F.xxhash64("content").alias("_c"), F.size("t").alias("lines"), F.aggregate("t", start, step).alias("d")).select("repo_id", "path", "_c", "lines", "d.deepest", F.col("d.depth").alias("left_open")).distinct().drop("_c")

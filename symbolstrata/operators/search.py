@@ -163,3 +163,51 @@ def concept_index(symbols: DataFrame, k: int = 15) -> DataFrame:
     hits = s.select("sym_id", "repo_id", "name", F.explode(F.filter(scores, lambda x: x["score"] > 0)).alias("c")).select("sym_id", "repo_id", "name", "c.concept", "c.score")
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("repo_id", "concept").orderBy(F.desc("score"), "sym_id")))
     return ranked.where(F.col("rank") <= k)
+
+
+# ---- fixed values: codes of symbol kinds in editors; anything else is a variable ----
+KIND_CODES = {"class": 5, "method": 6, "enum": 10, "interface": 11, "function": 12, "type": 26}
+VARIABLE = 13
+
+
+def outline(symbols: DataFrame) -> DataFrame:
+    """The symbols of each file for an editor: sym_id, repo_id, path, position, name, kind, line (0-based, 0 where unknown)."""
+    s = one_per_symbol(symbols, ["sym_id", "repo_id", "path", "ordinal", "name", "type", "line"])
+    kind = F.lit(VARIABLE)
+    for name, code in KIND_CODES.items():
+        kind = F.when(F.col("type") == name, code).otherwise(kind)
+    return s.select("sym_id", "repo_id", "path", F.col("ordinal").alias("position"), F.coalesce("name", F.lit("?")).alias("name"), kind.alias("kind"), F.greatest(F.lit(0), F.coalesce(F.col("line") - 1, F.lit(0))).alias("line"))
+
+
+def anywhere(files: DataFrame, symbols: DataFrame, query: str) -> DataFrame:
+    """Files and symbols with ``query`` in their path or name, whatever the case: what, repo_id, path, name; null paths match nothing."""
+    q = query.lower()
+    f = files.where(F.lower("path").contains(q)).select(F.lit("file").alias("what"), "repo_id", "path", F.element_at(F.split("path", r"[/\\\\]"), -1).alias("name"))
+    s = symbols.where(F.lower("name").contains(q) | F.lower("path").contains(q)).select(F.lit("symbol").alias("what"), "repo_id", "path", "name")
+    return f.unionByName(s).distinct()
+
+
+def concept_points(query: str) -> dict[str, int]:
+    """What a question's words give each concept: 10 for its name, 8 for any of its keywords, 3 for each shared word."""
+    q = query.lower().strip()
+    words = set(q.replace(",", " ").split())
+    out = {}
+    for concept, keywords in CONCEPTS.items():
+        plain = concept.replace("_", " ")
+        out[concept] = 10 * (plain in q) + 8 * any(k in words for k in keywords) + 3 * len(words & {concept})
+    return out
+
+
+def concepts_of_query(symbols: DataFrame, query: str) -> DataFrame:
+    """Concepts that a question is about in each repository: repo_id, concept, score.
+
+    To ``concept_points`` each of a repository's ten best symbols of the concept adds 1 for every word of the question,
+    longer than two letters, in its name. Concepts without symbols in a repository or without points are left out.
+    """
+    best = concept_index(symbols, 10)
+    low = F.lower("name")
+    hits = sum((low.contains(w).cast("int") for w in sorted(set(query.lower().split())) if len(w) > 2), F.lit(0))
+    points = F.lit(0)
+    for concept, n in concept_points(query).items():
+        points = F.when(F.col("concept") == concept, n).otherwise(points)
+    return best.groupBy("repo_id", "concept").agg(F.sum(hits).alias("hits")).select("repo_id", "concept", (F.col("hits") + points).alias("score")).where("score > 0")

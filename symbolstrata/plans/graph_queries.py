@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -71,9 +70,8 @@ def file_degrees(spark: SparkSession, root: str) -> DataFrame:
 
 def importers(spark: SparkSession, root: str) -> DataFrame:
     """Per imported file: the files that import it, sorted, at most 20 shown, and how many there are."""
-    e = _files(spark, root).withColumn("n", F.row_number().over(W.partitionBy("repo_id", "dst").orderBy("src")))
-    shown = F.array_sort(F.collect_list(F.when(F.col("n") <= 20, F.col("src"))))
-    return e.groupBy("repo_id", F.col("dst").alias("path")).agg(F.max("n").alias("n"), F.array_join(shown, " ").alias("importers"))
+    out = graph.shown_ends(_files(spark, root), "dst", "src")
+    return out.select("repo_id", F.col("dst").alias("path"), "n", F.array_join("shown", " ").alias("importers"))
 
 
 def trace_paths(spark: SparkSession, root: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from symbolstrata.functions.text import sequence_ratio
-from symbolstrata.operators import diff, extract, filters, frameworks, graph, quality, resolve, search
+from symbolstrata.operators import diff, extract, filters, frameworks, graph, profile, quality, resolve, search
 from symbolstrata.sources import manifests, tree
 from symbolstrata.streaming import watch
 
@@ -182,3 +182,81 @@ def test_frameworks_and_entities(spark):
     assert rows(frameworks.detected_frameworks(b)) == {(1, "react-component"), (2, "react-hook"), (3, "fastapi-endpoint"), (4, "spring-controller")}
     assert {(r["name"], r["kind"], r["fields"]) for r in frameworks.entities(b).collect()} == {("P", "pydantic", "a b")}
     assert frameworks.entities(b.limit(0)).count() == 0
+
+
+def test_shown_ends_counts_all_and_shows_some(spark):
+    e = edges(spark, [(f"n{i:03d}", "hot") for i in range(50)] + [("a", "b")])
+    got = {r["dst"]: (r["n"], r["shown"]) for r in graph.shown_ends(e, "dst", "src", 3).collect()}
+    assert got == {"hot": (50, ["n000", "n001", "n002"]), "b": (1, ["a"])}
+    assert graph.shown_ends(e.limit(0), "dst", "src").count() == 0
+
+
+def test_nearest_against_brute_force(spark):
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(15)}", f"n{rng.randrange(15)}") for _ in range(40)}
+    calls = {}
+    for a, b in sorted(pairs):
+        calls.setdefault(a, []).append(b)
+    want = set()
+    for seed in ("n1", "n2", "alone"):
+        at, level = {seed: 0}, [seed]
+        for d in (1, 2, 3):
+            level = sorted({b for a in level for b in calls.get(a, [])[:2]})
+            for b in level:
+                at.setdefault(b, d)
+        want |= {(seed, n, d) for d, n in sorted((d, n) for n, d in at.items())[:4]}
+    seeds = spark.createDataFrame([("r", n) for n in ("n1", "n2", "alone")], "repo_id string, name string")
+    got = graph.nearest(edges(spark, pairs), seeds, 2, 3, 4).select("seed", "name", "distance")
+    assert rows(got) == want
+
+
+def test_both_ways(spark):
+    assert rows(graph.both_ways(edges(spark, [("a", "b")])).select("name", "other", "direction")) == {("a", "b", "to"), ("b", "a", "from")}
+
+
+FILE = "repo_id string, path string, content string"
+
+
+def test_exports_of_scripts_and_python(spark):
+    f = spark.createDataFrame(
+        [
+            ("r", "a.ts", "export default async function go() {}\nexport abstract class Box {}\nexport type T = 1\r\nexport const x = 1\nexport { p, q as z }\nconst hidden = 2"),
+            ("r", "b.py", "__all__ = [\n    'one',\n    \"two\",\n]\nthree = 3"),
+            ("r", "c.py", None), ("r", "d.js", ""), (None, None, "export const y = 1"),
+        ],
+        FILE,
+    )
+    got = extract.exports(f)
+    assert rows(got) == {("r", "a.ts", "go", "function"), ("r", "a.ts", "Box", "class"), ("r", "a.ts", "T", "type"), ("r", "a.ts", "x", "variable"), ("r", "a.ts", "p", "named"), ("r", "a.ts", "z", "named"), ("r", "b.py", "one", "named"), ("r", "b.py", "two", "named")}
+    s = spark.createDataFrame([("r", "a.ts", "go", None, "method"), ("r", "a.ts", "m", "Box", "method"), ("r", None, "q", None, "class"), ("r", "a.ts", "", None, "class")], "repo_id string, path string, name string, class_name string, type string")
+    seen = extract.visible_names(s, got.where("path = 'a.ts'"))
+    assert rows(seen.where("name in ('go', 'm', 'Box', 'q')")) == {("r", "a.ts", "go", "method"), ("r", "a.ts", "Box", "class")}
+
+
+def test_brace_depth(spark):
+    f = spark.createDataFrame([("r", "a", "a {\n b { {\n }\n"), ("r", "b", "} } {"), ("r", "c", None), ("r", "d", ""), ("r", "a", "a {\n b { {\n }\n")], FILE)
+    assert sorted(map(tuple, quality.brace_depth(f).collect())) == [("r", "a", 4, 3, 2), ("r", "b", 1, 0, -1)]
+
+
+def test_budget_keeps_the_row_that_overflows(spark):
+    t = spark.createDataFrame([("f", i, n) for i, n in enumerate([3, 4, 5, 6])] + [("g", 0, None), ("g", 1, 9), (None, 0, 2)], "path string, ordinal int, tokens int")
+    kept = profile.within_budget(t, "tokens", ["path"], ["ordinal"], 7)
+    assert rows(kept.select("path", "ordinal")) == {("f", 0), ("f", 1), ("g", 0), ("g", 1), (None, 0)}
+    assert profile.within_budget(t, "tokens", ["path"], ["ordinal"], 0).count() == 7
+
+
+def test_shares_and_names_across_repositories(spark):
+    n = spark.createDataFrame([("r", 1), ("r", 3), (None, 2), (None, 4)], "repo_id string, n int")
+    assert rows(profile.share_of_max(n, "n", "repo_id")) == {("r", 1, 33), ("r", 3, 100), (None, 2, 50), (None, 4, 100)}
+    s = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (3, "b", "y"), (4, "c", None), (5, "d", "")], "sym_id long, repo_id string, name string")
+    assert rows(profile.shared_names(s)) == {("x", 2, 2)}
+    c = spark.createDataFrame([("r", "p", "K", ["a", "b", ""]), ("r", "p", "K", ["b", None]), ("r", "p", None, ["z"]), ("r", "p", "L", None)], "repo_id string, path string, class_name string, calls array<string>")
+    assert rows(profile.class_callees(c)) == {("r", "p", "K", "a"), ("r", "p", "K", "b")}
+
+
+def test_outline_and_concept_points(spark):
+    s = spark.createDataFrame([(1, "r", "p", 0, "f", "function", 5), (1, "r", "p", 0, "f", "function", 5), (2, "r", "p", None, None, None, None)], "sym_id long, repo_id string, path string, ordinal int, name string, type string, line int")
+    assert rows(search.outline(s)) == {(1, "r", "p", 0, "f", 12, 4), (2, "r", "p", None, "?", 13, 0)}
+    points = search.concept_points("error handling of the cache")
+    assert (points["error_handling"], points["caching"], points["search"]) == (18, 8, 0)
+    assert search.concept_points("search it")["search"] == 21
