@@ -23,8 +23,8 @@ from ..session import cut_lineage
 
 #: Tokens of context; words kept as they are at most (the most frequent ones that are no open-class words).
 CONTEXT, VOCABULARY = 6, 20_000
-#: Sentences of up to LITERAL tokens can be closings; as openings of longer ones, up to OPENING tokens are counted.
-LITERAL, OPENING = 12, 4
+#: Sentences of up to LITERAL tokens, their start included, can be closings; openings of that length are counted as they stand.
+LITERAL = 8
 #: A word is kept if it makes up this share of all tokens, or if one token follows it in this share of its places.
 FREQUENT, FIXED_NEXT, LEAST_SEEN = 0.004, 0.3, 20
 #: An ending counts as unusual below this share of the places where the same words go on.
@@ -82,7 +82,7 @@ class Codes(dict):
             place = self._place[name] = len(self.names)
             self.names.append(name)
             opened = name[0].isalpha() and name not in self.kept
-            flags = (name == "\n") * LINE_END | (name in ".?!") * FULL_STOP | name[0].isalpha() * WORD | opened * OPEN_CLASS | (name == OPEN) * UNCLOSED
+            flags = (name == "\n") * LINE_END | (name in ".?!") * FULL_STOP | name[0].isalpha() * WORD | (name == OPEN) * UNCLOSED
             self._rows.append((xxhash.xxh64_intdigest("W" if opened else name, 1), xxhash.xxh64_intdigest(name, 2), flags))
         self[raw] = place
         return place
@@ -98,7 +98,7 @@ class Codes(dict):
         return np.fromiter(itertools.chain.from_iterable(each), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0), ends
 
 
-LINE_END, FULL_STOP, WORD, OPEN_CLASS, UNCLOSED = 1, 2, 4, 8, 16
+LINE_END, FULL_STOP, WORD, UNCLOSED = 1, 2, 4, 8
 _START = np.uint64(0x9E3779B97F4A7C15)
 _STEP = [pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(max(CONTEXT, LITERAL) + 1)]
 
@@ -137,7 +137,7 @@ def _looked_at(codes: Codes, texts: list[str]) -> dict[str, np.ndarray] | None:
     since = lambda flag: (c := np.cumsum((flags & flag) > 0)) - np.where(begin > 0, c[begin - 1], 0)
     return {
         "pattern": _mix(pattern, 11), "literal": _mix(so_far, 12), "word": _mix(literal, 13), "is_word": (flags & WORD) > 0, "place": place, "owner": owner,
-        "ends": np.append(first[1:], True), "text_ends": last_of_text, "open_class": since(OPEN_CLASS) > 0, "unclosed": since(UNCLOSED) > 0,
+        "ends": np.append(first[1:], True), "text_ends": last_of_text, "unclosed": since(UNCLOSED) > 0,
     }
 
 
@@ -179,7 +179,7 @@ def _patterns(kept: frozenset[str]):
             if x is None:
                 continue
             ends, goes = x["ends"], ~x["ends"]
-            short, opening = ends & (x["place"] + 2 <= LITERAL), goes & (x["place"] + 2 <= OPENING)
+            short, opening = ends & (x["place"] + 2 <= LITERAL), goes & (x["place"] + 2 <= LITERAL)
             inner = x["is_word"] & ~x["text_ends"]
             key = np.concatenate([x["pattern"], x["literal"][short], x["literal"][opening], x["word"][inner]])
             one = np.concatenate([ends, np.ones(short.sum(), dtype=bool), np.zeros(opening.sum() + inner.sum(), dtype=bool)])
@@ -204,9 +204,8 @@ def _last(kept: frozenset[str]):
                 continue
             last = np.flatnonzero(x["text_ends"])
             docs, place, opened = batch["doc_id"].to_numpy()[x["owner"][last]], x["place"][last], x["unclosed"][last]
-            size = place + 2  # tokens of the sentence with its start
-            closing = (size <= LITERAL) & ((size <= OPENING) | x["open_class"][last])
-            parts = [("shape", last, np.ones(len(last), dtype=bool), "pattern"), ("before", last - 1, place > 0, "pattern"), ("opening", last, size <= OPENING, "literal"), ("literal", last, closing, "literal"), ("word", last, x["is_word"][last], "word")]
+            closing = place + 2 <= LITERAL  # tokens of the sentence with its start
+            parts = [("shape", last, np.ones(len(last), dtype=bool), "pattern"), ("before", last - 1, place > 0, "pattern"), ("literal", last, closing, "literal"), ("word", last, x["is_word"][last], "word")]
             for what, at, on, column in parts:
                 yield pd.DataFrame({"doc_id": docs[on], "what": what, "key": x[column][at[on]].view(np.int64), "open": opened[on] & (what == "shape")})
 
@@ -266,12 +265,13 @@ def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: f
     asked = texts.mapInPandas(_last(kept), "doc_id long, what string, key long, open boolean")
     known = asked.join(counts, "key", "left").groupBy("doc_id").agg(
         F.max("open").alias("open"),
-        *[F.max(F.when(F.col("what") == what, F.coalesce(n, F.lit(0)))).alias(f"{what}_{n}") for what in ("shape", "before", "opening", "literal", "word") for n in ("ends", "goes")],
+        *[F.max(F.when(F.col("what") == what, F.coalesce(n, F.lit(0)))).alias(f"{what}_{n}") for what in ("shape", "before", "literal", "word") for n in ("ends", "goes")],
     )
     ends = F.col("shape_ends") - 1  # without this document's own end
     phrase = (F.col("shape_goes") >= 1) & (ends <= rare_end * F.col("shape_goes"))
     rare = (F.col("before_goes") >= 50) & (ends <= rare_word * F.col("before_goes"))
-    closing = (F.col("literal_ends") >= 3) & (F.coalesce("opening_goes", F.lit(0)) <= 0.5 * F.col("literal_ends"))
+    # a sentence that also goes on more than half as often as it ends was cut at the same place in several texts
+    closing = (F.col("literal_ends") >= 3) & (F.col("literal_goes") <= 0.5 * F.col("literal_ends"))
     sign = F.when(F.col("open"), "open").when(phrase | F.coalesce(rare, F.lit(False)), "phrase").when(F.col("word_goes") == 0, "word")
     told = known.where(~F.coalesce(closing, F.lit(False))).select("doc_id", sign.alias("sign")).where("sign is not null")
     opened = texts.where("regexp_count(text, '(?m)^ *```') % 2 = 1").select("doc_id", F.lit("open").alias("sign"))

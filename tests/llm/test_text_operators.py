@@ -123,6 +123,15 @@ def test_truncation(spark):
     assert [(r["source"], r["documents"]) for r in share] == [("a", len(rows))]
 
 
+def test_same_cut_in_several_texts_is_no_closing(spark):
+    """A sentence cut at one place in three texts goes on in the others; a closing that stands in three texts never does."""
+    whole = [(i, f"Case {i} is open. Please split this method: the part that reads item number {i} has nothing to do with part {i + 1}.\n\n-- the amber tooling group") for i in range(200)]
+    cut = [(1000 + i, f"Case {i} is closed. Please split this method: the part that rea") for i in range(3)]
+    short = [(2000 + i, f"Case {i} is closed. Please split this method") for i in range(3)]
+    df = spark.createDataFrame(whole + cut + short, "doc_id long, text string")
+    assert {r["doc_id"] for r in truncation.cut_documents(df).collect()} == {1000, 1001, 1002, 2000, 2001, 2002}
+
+
 def test_prefixes_across_partitions(spark):
     texts = [f"{i:03d} " + "long enough to be looked up as a prefix " * 2 for i in range(50)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " and more") for i, t in enumerate(texts[:20])] + [(200, texts[3])], "doc_id long, text string").repartition(8)
