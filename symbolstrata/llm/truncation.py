@@ -29,6 +29,8 @@ LITERAL = 8
 FREQUENT, FIXED_NEXT, LEAST_SEEN = 0.004, 0.3, 20
 #: An ending counts as unusual below this share of the places where the same words go on.
 RARE_END, RARE_WORD = 0.1, 0.002
+#: A sentence that goes on in more than this share of the places where it ends is no closing.
+GOES_ON = 0.5
 #: Values shorter than this are not looked up as prefixes of whole values.
 LEAST_PREFIX = 40
 
@@ -109,7 +111,7 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _looked_at(codes: Codes, texts: list[str]) -> dict[str, np.ndarray] | None:
-    """For each token that is no line end: keys of its pattern and of its sentence so far, and where it stands."""
+    """For each token that is no line end: keys of its pattern and of its sentence before it, and where it stands."""
     code, ends = codes.of(texts)
     if not len(code):
         return None
@@ -121,7 +123,7 @@ def _looked_at(codes: Codes, texts: list[str]) -> dict[str, np.ndarray] | None:
     last_of_text[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
     stay = (flags & LINE_END) == 0
-    shape, literal, flags, first, last_of_text, owner = (x[stay] for x in (shape, literal, flags, first, last_of_text, owner))
+    code, shape, literal, flags, first, last_of_text, owner = (x[stay] for x in (code, shape, literal, flags, first, last_of_text, owner))
     if not len(shape):
         return None
     at = np.arange(len(shape))
@@ -132,11 +134,12 @@ def _looked_at(codes: Codes, texts: list[str]) -> dict[str, np.ndarray] | None:
         before = np.where(place >= k, np.roll(shape, k), np.where(place + 1 == k, _START, np.uint64(0)))
         pattern += before * np.uint64(_STEP[k])
     powers = np.array(_STEP[:LITERAL], dtype=np.uint64)
-    sums = np.cumsum(np.where(place < LITERAL, literal * powers[np.minimum(place, LITERAL - 1)], np.uint64(0)))
-    so_far = sums - np.where(begin > 0, sums[begin - 1], np.uint64(0))
+    terms = np.where(place < LITERAL, literal * powers[np.minimum(place, LITERAL - 1)], np.uint64(0))
+    sums = np.cumsum(terms)
+    context = sums - terms - np.where(begin > 0, sums[begin - 1], np.uint64(0))
     since = lambda flag: (c := np.cumsum((flags & flag) > 0)) - np.where(begin > 0, c[begin - 1], 0)
     return {
-        "pattern": _mix(pattern, 11), "literal": _mix(so_far, 12), "word": _mix(literal, 13), "is_word": (flags & WORD) > 0, "place": place, "owner": owner,
+        "pattern": _mix(pattern, 11), "context": _mix(context, 12), "code": code, "word": _mix(literal, 13), "is_word": (flags & WORD) > 0, "place": place, "owner": owner,
         "ends": np.append(first[1:], True), "text_ends": last_of_text, "unclosed": since(UNCLOSED) > 0,
     }
 
@@ -169,8 +172,21 @@ def kept_words(documents: DataFrame, vocabulary: int = VOCABULARY) -> frozenset[
     return frozenset(r[0] for r in fit.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect())
 
 
+def _counted(key: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct key: its first place, how often it ends and how often it goes on."""
+    where, keys = pd.factorize(key)
+    first = np.zeros(len(keys), dtype=np.int64)
+    first[where[::-1]] = np.arange(len(key))[::-1]
+    end = np.bincount(where, weights=ends, minlength=len(keys)).astype(np.int64)
+    return first, end, np.bincount(where, minlength=len(keys)) - end
+
+
 def _patterns(kept: frozenset[str]):
-    """Counts of patterns as ends and as strict prefixes, of literal sentences likewise, and of words inside texts."""
+    """Counts of patterns as ends and as strict prefixes, of literal sentences likewise, and of words inside texts.
+
+    A literal sentence is named by the key of what stands before its last token and by that token, so that sentences whose
+    last word is longer are found beside it; patterns and words have no name.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = Codes(kept)
@@ -181,11 +197,13 @@ def _patterns(kept: frozenset[str]):
             ends, goes = x["ends"], ~x["ends"]
             short, opening = ends & (x["place"] + 2 <= LITERAL), goes & (x["place"] + 2 <= LITERAL)
             inner = x["is_word"] & ~x["text_ends"]
-            key = np.concatenate([x["pattern"], x["literal"][short], x["literal"][opening], x["word"][inner]])
-            one = np.concatenate([ends, np.ones(short.sum(), dtype=bool), np.zeros(opening.sum() + inner.sum(), dtype=bool)])
-            where, keys = pd.factorize(key)
-            end = np.bincount(where, weights=one, minlength=len(keys)).astype(np.int64)
-            yield pd.DataFrame({"key": keys.view(np.int64), "ends": end, "goes": np.bincount(where, minlength=len(keys)) - end})
+            key = np.concatenate([x["pattern"], x["word"][inner]])
+            first, end, goes = _counted(key, np.concatenate([ends, np.zeros(inner.sum(), dtype=bool)]))
+            yield pd.DataFrame({"key": key[first].view(np.int64), "name": "", "ends": end, "goes": goes})
+            at = np.flatnonzero(short | opening)
+            context, code = x["context"][at], x["code"][at]
+            first, end, goes = _counted(context + code.astype(np.uint64) * np.uint64(_STEP[LITERAL]), ends[at])
+            yield pd.DataFrame({"key": context[first].view(np.int64), "name": np.array(codes.names, dtype=object)[code[first]], "ends": end, "goes": goes})
 
     return run
 
@@ -205,9 +223,10 @@ def _last(kept: frozenset[str]):
             last = np.flatnonzero(x["text_ends"])
             docs, place, opened = batch["doc_id"].to_numpy()[x["owner"][last]], x["place"][last], x["unclosed"][last]
             closing = place + 2 <= LITERAL  # tokens of the sentence with its start
-            parts = [("shape", last, np.ones(len(last), dtype=bool), "pattern"), ("before", last - 1, place > 0, "pattern"), ("literal", last, closing, "literal"), ("word", last, x["is_word"][last], "word")]
+            parts = [("shape", last, np.ones(len(last), dtype=bool), "pattern"), ("before", last - 1, place > 0, "pattern"), ("literal", last, closing, "context"), ("word", last, x["is_word"][last], "word")]
             for what, at, on, column in parts:
-                yield pd.DataFrame({"doc_id": docs[on], "what": what, "key": x[column][at[on]].view(np.int64), "open": opened[on] & (what == "shape")})
+                name = np.array(codes.names, dtype=object)[x["code"][at[on]]] if what == "literal" else ""
+                yield pd.DataFrame({"doc_id": docs[on], "what": what, "key": x[column][at[on]].view(np.int64), "name": name, "open": opened[on] & (what == "shape")})
 
     return run
 
@@ -251,27 +270,48 @@ def prefixes_of_others(documents: DataFrame) -> DataFrame:
     return values.select("doc_id", "key").join(hits, "key", "left_semi").select("doc_id").distinct()
 
 
+def longer_words(counts: DataFrame, sentences: DataFrame) -> DataFrame:
+    """How often sentences (key, name) go on after a longer word that starts with their last one: key, name, longer.
+
+    A self-join by prefix of last words against inner words behind the same words. Each counted word is cut to the lengths
+    asked for behind these words, so the join is by equality and no task compares all words of one place.
+    """
+    lengths = sentences.groupBy("key").agg(F.collect_set(F.length("name")).alias("lengths"))
+    inner = counts.where("name <> '' and goes > 0").join(lengths, "key").select("key", "name", "goes", F.explode("lengths").alias("n"))
+    starts = inner.where(F.col("n") < F.length("name")).select("key", F.expr("left(name, n)").alias("name"), "goes")
+    return starts.join(sentences, ["key", "name"]).groupBy("key", "name").agg(F.sum("goes").alias("longer"))
+
+
 def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: float = RARE_WORD) -> DataFrame:
     """Documents whose text lost its end: doc_id, sign.
 
     sign tells by what: ``prefix`` (a longer copy exists), ``open`` (a code block or a quote of code is not closed), ``phrase`` (the last
     sentence goes on almost everywhere else) or ``word`` (its last word stands nowhere else). Endings that recur as they
-    stand are closings, hence complete. Null and blank texts are no cases; repeated texts are judged each; an empty
-    table gives an empty result.
+    stand are closings, hence complete, unless they go on elsewhere, be it only inside their last word. Null and blank
+    texts are no cases; repeated texts are judged each; an empty table gives an empty result.
     """
     texts = documents.select("doc_id", "text").where("trim(text) <> ''")
     kept = kept_words(texts)
-    counts = texts.select("text").mapInPandas(_patterns(kept), "key long, ends long, goes long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
-    asked = texts.mapInPandas(_last(kept), "doc_id long, what string, key long, open boolean")
-    known = asked.join(counts, "key", "left").groupBy("doc_id").agg(
+    counts = texts.select("text").mapInPandas(_patterns(kept), "key long, name string, ends long, goes long").groupBy("key", "name").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    counts = cut_lineage(counts)
+    asked = texts.mapInPandas(_last(kept), "doc_id long, what string, key long, name string, open boolean")
+    known = asked.join(counts, ["key", "name"], "left").groupBy("doc_id").agg(
         F.max("open").alias("open"),
+        F.max(F.when(F.col("what") == "literal", F.col("key"))).alias("key"),
+        F.max("name").alias("name"),
         *[F.max(F.when(F.col("what") == what, F.coalesce(n, F.lit(0)))).alias(f"{what}_{n}") for what in ("shape", "before", "literal", "word") for n in ("ends", "goes")],
     )
+    known = cut_lineage(known)
+    recurs = (F.col("literal_ends") >= 3) & (F.col("literal_goes") <= GOES_ON * F.col("literal_ends"))
+    longer = longer_words(counts, known.where(recurs & F.col("word_goes").isNotNull()).select("key", "name").distinct())
+    known = known.join(longer, ["key", "name"], "left").withColumn("longer", F.coalesce("longer", F.lit(0)))
     ends = F.col("shape_ends") - 1  # without this document's own end
     phrase = (F.col("shape_goes") >= 1) & (ends <= rare_end * F.col("shape_goes"))
     rare = (F.col("before_goes") >= 50) & (ends <= rare_word * F.col("before_goes"))
-    # a sentence that also goes on more than half as often as it ends was cut at the same place in several texts
-    closing = (F.col("literal_ends") >= 3) & (F.col("literal_goes") <= 0.5 * F.col("literal_ends"))
+    # a sentence that also goes on, by a token or inside its last word, more than half as often as it ends was cut at the same
+    # place in several texts; so was one whose last word goes on nowhere but where it is longer
+    inside = (F.col("longer") > 0) & (F.col("word_goes") == 0)
+    closing = recurs & (F.col("literal_goes") + F.col("longer") <= GOES_ON * F.col("literal_ends")) & ~F.coalesce(inside, F.lit(False))
     sign = F.when(F.col("open"), "open").when(phrase | F.coalesce(rare, F.lit(False)), "phrase").when(F.col("word_goes") == 0, "word")
     told = known.where(~F.coalesce(closing, F.lit(False))).select("doc_id", sign.alias("sign")).where("sign is not null")
     opened = texts.where("regexp_count(text, '(?m)^ *```') % 2 = 1").select("doc_id", F.lit("open").alias("sign"))

@@ -132,6 +132,15 @@ def test_same_cut_in_several_texts_is_no_closing(spark):
     assert {r["doc_id"] for r in truncation.cut_documents(df).collect()} == {1000, 1001, 1002, 2000, 2001, 2002}
 
 
+@pytest.mark.parametrize("n", [3, 30, 300])
+def test_fragment_of_a_word_is_no_closing_however_often_it_recurs(spark, n):
+    """Three sentences cut inside a word in n texts each; a closing that recurs as often stays one, though its last word has a plural."""
+    whole = [(i, f"Case {i} is open. Drain the valve of part {i} first. The amber tooling groups of part {i} meet at noon.\n\n-- the amber tooling group") for i in range(100 + n)]
+    cut = [(10_000 * k + i, f"Case {i} is closed by step {k}.\n\n{end}") for i in range(n) for k, end in enumerate(("Drain the val", "D", "The amber tooling groups of pa"), 1)]
+    df = spark.createDataFrame(whole + cut, "doc_id long, text string")
+    assert {r["doc_id"] for r in truncation.cut_documents(df).collect()} == {i for i, _ in cut}
+
+
 def test_prefixes_across_partitions(spark):
     texts = [f"{i:03d} " + "long enough to be looked up as a prefix " * 2 for i in range(50)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " and more") for i, t in enumerate(texts[:20])] + [(200, texts[3])], "doc_id long, text string").repartition(8)
