@@ -247,27 +247,39 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": [first[0], last[0]], "edge": ["first", "last"], "value": [first[1], last[1]]})
 
 
-def prefixes_of_others(documents: DataFrame) -> DataFrame:
-    """doc_id of documents whose text, without a mark at its end, is a strict prefix of another document's text.
-
-    Equal values are made one before the shuffle. The distinct values are range-partitioned and sorted, so each task gets
-    a like share and a value's extensions follow it directly; the edges of the partitions, two values each, are matched
-    in a second small step.
-    """
+def unmarked_values(documents: DataFrame) -> DataFrame:
+    """doc_id, value (its text without a mark at its end) and key (the value's hash) of all documents whose text isn't null."""
     # only the last characters are searched for a mark; the pattern is slow on whole texts
     tail = F.length(F.regexp_extract(F.right(F.col("text"), F.lit(60)), _MARK_SQL, 0))
-    value = F.when(F.col("tail") > 0, F.expr("left(text, length(text) - tail)")).otherwise(F.col("text"))
-    values = documents.where("text is not null").withColumn("tail", tail).select("doc_id", value.alias("value")).where(F.length("value") >= LEAST_PREFIX)
-    values = values.withColumn("key", F.xxhash64("value"))
-    distinct = values.groupBy("key").agg(F.first("value").alias("value"))
-    ordered = distinct.repartitionByRange("value").sortWithinPartitions("value").select("key", "value")
+    value = F.when((F.col("tail") > 0) & (F.col("tail") < F.length("text")), F.expr("left(text, length(text) - tail)")).otherwise(F.col("text"))
+    values = documents.where("text is not null").withColumn("tail", tail).select("doc_id", value.alias("value"))
+    return values.withColumn("key", F.xxhash64("value"))
+
+
+def distinct_values(values: DataFrame) -> DataFrame:
+    """key, value: equal values are made one before the shuffle."""
+    return values.groupBy("key").agg(F.first("value").alias("value"))
+
+
+def strict_prefixes(distinct: DataFrame) -> DataFrame:
+    """key of the distinct values (key, value) that are a strict prefix of another one.
+
+    They are range-partitioned and sorted, so each task gets a like share and a value's extensions follow it directly; the
+    edges of the partitions, two values each, are matched in a second small step.
+    """
+    ordered = distinct.where(F.length("value") >= LEAST_PREFIX).repartitionByRange("value").sortWithinPartitions("value").select("key", "value")
     seen = cut_lineage(ordered.mapInPandas(_neighbours, "key long, edge string, value string").withColumn("part", F.spark_partition_id()))
     edges = seen.where("edge <> 'hit'")
     follows = F.lag("part").over(W.orderBy("part"))  # a row for each partition
     nexts = edges.where("edge = 'first'").select(follows.alias("part"), F.col("value").alias("next_value"))
     over = edges.where("edge = 'last'").join(nexts, "part").where(F.col("next_value").startswith(F.col("value"))).select("key")
-    hits = seen.where("edge = 'hit'").select("key").unionByName(over)
-    return values.select("doc_id", "key").join(hits, "key", "left_semi").select("doc_id").distinct()
+    return seen.where("edge = 'hit'").select("key").unionByName(over)
+
+
+def prefixes_of_others(documents: DataFrame) -> DataFrame:
+    """doc_id of documents whose text, without a mark at its end, is a strict prefix of another document's text."""
+    values = unmarked_values(documents)
+    return values.select("doc_id", "key").join(strict_prefixes(distinct_values(values)), "key", "left_semi").select("doc_id").distinct()
 
 
 def longer_words(counts: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -287,10 +299,13 @@ def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: f
 
     sign tells by what: ``prefix`` (a longer copy exists), ``open`` (a code block or a quote of code is not closed), ``phrase`` (the last
     sentence goes on almost everywhere else) or ``word`` (its last word stands nowhere else). Endings that recur as they
-    stand are closings, hence complete, unless they go on elsewhere, be it only inside their last word. Null and blank
-    texts are no cases; repeated texts are judged each; an empty table gives an empty result.
+    stand are closings, hence complete, unless they go on elsewhere, be it only inside their last word. Null and blank texts
+    are no cases; copies of one text count once and are judged alike; an empty
+    table gives an empty result.
     """
-    texts = documents.select("doc_id", "text").where("trim(text) <> ''")
+    values = unmarked_values(documents.select("doc_id", "text").where("trim(text) <> ''"))
+    distinct = cut_lineage(distinct_values(values))
+    texts = distinct.select(F.col("key").alias("doc_id"), F.col("value").alias("text"))
     kept = kept_words(texts)
     counts = texts.select("text").mapInPandas(_patterns(kept), "key long, name string, ends long, goes long").groupBy("key", "name").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
     counts = cut_lineage(counts)
@@ -305,7 +320,7 @@ def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: f
     recurs = (F.col("literal_ends") >= 3) & (F.col("literal_goes") <= GOES_ON * F.col("literal_ends"))
     longer = longer_words(counts, known.where(recurs & F.col("word_goes").isNotNull()).select("key", "name").distinct())
     known = known.join(longer, ["key", "name"], "left").withColumn("longer", F.coalesce("longer", F.lit(0)))
-    ends = F.col("shape_ends") - 1  # without this document's own end
+    ends = F.col("shape_ends") - 1  # without this text's own end
     phrase = (F.col("shape_goes") >= 1) & (ends <= rare_end * F.col("shape_goes"))
     rare = (F.col("before_goes") >= 50) & (ends <= rare_word * F.col("before_goes"))
     # a sentence that also goes on, by a token or inside its last word, more than half as often as it ends was cut at the same
@@ -315,8 +330,9 @@ def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: f
     sign = F.when(F.col("open"), "open").when(phrase | F.coalesce(rare, F.lit(False)), "phrase").when(F.col("word_goes") == 0, "word")
     told = known.where(~F.coalesce(closing, F.lit(False))).select("doc_id", sign.alias("sign")).where("sign is not null")
     opened = texts.where("regexp_count(text, '(?m)^ *```') % 2 = 1").select("doc_id", F.lit("open").alias("sign"))
-    longer = prefixes_of_others(texts).withColumn("sign", F.lit("prefix"))
-    return told.unionByName(opened).unionByName(longer).groupBy("doc_id").agg(F.min("sign").alias("sign"))
+    longer = strict_prefixes(distinct).select(F.col("key").alias("doc_id"), F.lit("prefix").alias("sign"))
+    judged = told.unionByName(opened).unionByName(longer).groupBy(F.col("doc_id").alias("key")).agg(F.min("sign").alias("sign"))
+    return values.select("doc_id", "key").join(judged, "key").groupBy("doc_id").agg(F.min("sign").alias("sign"))
 
 
 def source_name(column: str = "source"):

@@ -141,6 +141,16 @@ def test_fragment_of_a_word_is_no_closing_however_often_it_recurs(spark, n):
     assert {r["doc_id"] for r in truncation.cut_documents(df).collect()} == {i for i, _ in cut}
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
+    """50 copies of texts cut inside a word, behind a word and with a mark are found, as one of them is; copies of whole texts are not."""
+    whole = [(i, f"Case {i} is open. Please drain the valve of part number {i} and then close the gate behind it.\n\n-- the amber tooling group") for i in range(60)]
+    cut = ["The case is closed.\n\nPlease drain the valve of part num", "The case was closed early. Please drain the valve of part number 7 and then close", "Nobody knows.\n\nUnlike the qua"]
+    copies = [(1000 + 100 * k + i, text + (" …" if i % 2 else "")) for k, text in enumerate(cut) for i in range(50)] + [(5000 + i, whole[0][1]) for i in range(50)]
+    schema = "doc_id long, text string"
+    assert {r["doc_id"] for r in truncation.cut_documents(spark.createDataFrame(whole + copies[:150:50], schema)).collect()} == {1000, 1100, 1200}
+    assert {r["doc_id"] for r in truncation.cut_documents(spark.createDataFrame(whole + copies, schema)).collect()} == set(range(1000, 1050)) | set(range(1100, 1150)) | set(range(1200, 1250))
+
+
 def test_prefixes_across_partitions(spark):
     texts = [f"{i:03d} " + "long enough to be looked up as a prefix " * 2 for i in range(50)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " and more") for i, t in enumerate(texts[:20])] + [(200, texts[3])], "doc_id long, text string").repartition(8)
