@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..tables import clean_path
 
 
@@ -117,6 +118,57 @@ def cycles(edges: DataFrame, most: int = 5) -> DataFrame:
     return found.withColumn("length", F.size("path"))
 
 
+def _ends_of_paths(edges: DataFrame) -> DataFrame:
+    """Every node with an edge, the smallest node it can be reached from and the smallest it reaches: repo_id, name, low_from, low_to.
+
+    Both labels go one step a round, checkpointed, until none changes; a round keeps a row for each node and joins its edges.
+    """
+    ends = edges.select("repo_id", F.col("src").alias("name")).unionByName(edges.select("repo_id", F.col("dst").alias("name"))).distinct()
+    at = cut_lineage(ends.select("repo_id", "name", F.col("name").alias("low_from"), F.col("name").alias("low_to"), F.lit(True).alias("changed")))
+    while at.where("changed").limit(1).count():
+        # only labels that have just changed are sent on
+        new = at.where("changed")
+        down = edges.join(new.withColumnRenamed("name", "src"), ["repo_id", "src"]).select("repo_id", F.col("dst").alias("name"), "low_from", F.lit(None).cast("string").alias("low_to"))
+        up = edges.join(new.withColumnRenamed("name", "dst"), ["repo_id", "dst"]).select("repo_id", F.col("src").alias("name"), F.lit(None).cast("string").alias("low_from"), "low_to")
+        sent = down.unionByName(up).groupBy("repo_id", "name").agg(F.min("low_from").alias("_from"), F.min("low_to").alias("_to"))
+        both = at.join(sent, ["repo_id", "name"], "left").select("repo_id", "name", F.col("low_from").alias("a"), F.col("low_to").alias("b"), F.least("low_from", "_from").alias("low_from"), F.least("low_to", "_to").alias("low_to"))
+        at = cut_lineage(both.select("repo_id", "name", "low_from", "low_to", ((F.col("low_from") < F.col("a")) | (F.col("low_to") < F.col("b"))).alias("changed")))
+    return at.drop("changed")
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """Every node that lies on a cycle of any length: repo_id, name, component, size.
+
+    Components are the strongly connected ones, named by their smallest node; nodes on no cycle are left out, and so are
+    edges without a repository. Nodes without an edge on either side are trimmed; then each node gets the smallest node that
+    reaches it and the smallest that it reaches. Where both are one node, it names the component; edges whose ends differ in a
+    label are on no cycle and fall away; the rest goes through it again until no edge is left.
+    """
+    edges = edges.where("repo_id is not null")
+    rest = cut_lineage(edges.where("src <> dst").select("repo_id", "src", "dst").distinct())
+    found = edges.where("src = dst").select("repo_id", F.col("src").alias("name"), F.col("src").alias("component"), F.lit(True).alias("loop"))
+    while True:
+        left = rest.count()
+        while left:
+            called, calling = rest.select("repo_id", F.col("dst").alias("src")).distinct(), rest.select("repo_id", F.col("src").alias("dst")).distinct()
+            rest = cut_lineage(rest.join(called, ["repo_id", "src"], "left_semi").join(calling, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"))
+            before, left = left, rest.count()
+            if left == before:
+                break
+        if not left:
+            break
+        labels = _ends_of_paths(rest)
+        found = found.unionByName(labels.where("low_from = low_to").select("repo_id", "name", F.col("low_from").alias("component"), F.lit(False).alias("loop")))
+        open_nodes = labels.where("low_from <> low_to")
+        a, b = (open_nodes.select("repo_id", F.col("name").alias(end), F.struct("low_from", "low_to").alias(mark)) for end, mark in (("src", "_a"), ("dst", "_b")))
+        rest = cut_lineage(rest.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"]).where("_a = _b").select("repo_id", "src", "dst"))
+    # a self loop inside a larger component has that one's name, which is the smaller
+    found = found.groupBy("repo_id", "name").agg(F.min("component").alias("component"), F.max("loop").alias("loop"))
+    sized = found.join(found.groupBy("repo_id", "component").agg(F.count("*").alias("size")), ["repo_id", "component"])
+    # a node between two components is the smallest both ways, too, if they only have larger ones
+    return sized.where("size > 1 or loop").select("repo_id", "name", "component", "size")
+
+
 def shown_ends(edges: DataFrame, key: str, other: str, k: int = 20) -> DataFrame:
     """Per ``key`` node the number of its other ends and the first ``k`` of them in order: repo_id, key, n, shown (array).
 

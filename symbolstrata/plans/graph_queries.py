@@ -89,6 +89,11 @@ def file_cycles(spark: SparkSession, root: str) -> DataFrame:
     return out.select("repo_id", F.array_join("path", " > ").alias("path"), "length", severity.alias("severity"))
 
 
+def file_cycle_components(spark: SparkSession, root: str) -> DataFrame:
+    """Per file on an import cycle of any length: its strongly connected component, named by its smallest file, and that one's size."""
+    return graph.cycle_components(_files(spark, root)).select("repo_id", F.col("name").alias("path"), "component", "size")
+
+
 def layer_graph(spark: SparkSession, root: str) -> DataFrame:
     roles = load(spark, root, "files").where("path is not null").groupBy("repo_id", clean_path(F.col("path")).alias("path")).agg(F.max("role").alias("role"))
     return graph.quotient(_files(spark, root), roles, "path", "role", "core")
@@ -102,7 +107,7 @@ def path_tree(spark: SparkSession, root: str) -> DataFrame:
     return graph.path_tree(load(spark, root, "files"))
 
 
-QUERIES = (fan_in_top10, fan_out_top10, node_degrees, reverse_edges, call_roots, call_sinks, self_loops, edge_counts, change_impact, file_degrees, importers, trace_paths, neighbourhood, file_cycles, layer_graph, display_graph, path_tree)
+QUERIES = (fan_in_top10, fan_out_top10, node_degrees, reverse_edges, call_roots, call_sinks, self_loops, edge_counts, change_impact, file_degrees, importers, trace_paths, neighbourhood, file_cycles, file_cycle_components, layer_graph, display_graph, path_tree)
 _SEEDS = "seeds AS (SELECT DISTINCT repo_id, name FROM symbols WHERE sym_id % 100 = 0 AND name <> '')"
 SQL = {
     "fan_in_top10": f"WITH {_E} SELECT dst AS name, count(*) AS degree FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
@@ -136,6 +141,9 @@ SQL = {
         SELECT repo_id, src, [src], src FROM (SELECT DISTINCT repo_id, src FROM d)
         UNION ALL SELECT p.repo_id, p.start, list_append(p.path, d.dst), d.dst FROM p JOIN d ON d.repo_id = p.repo_id AND d.src = p.at_ WHERE d.dst > p.start AND NOT list_contains(p.path, d.dst) AND len(p.path) < 5)
       SELECT p.repo_id, array_to_string(path, ' > ') AS path, len(path) AS length, CASE WHEN len(path) <= 2 THEN 'high' ELSE 'medium' END AS severity FROM p JOIN d ON d.repo_id = p.repo_id AND d.src = p.at_ AND d.dst = p.start""",
+    "file_cycle_components": f"""WITH RECURSIVE {_D}, r(repo_id, a, b) AS (
+        SELECT repo_id, src, dst FROM d UNION SELECT r.repo_id, r.a, d.dst FROM r JOIN d ON d.repo_id = r.repo_id AND d.src = r.b)
+      SELECT x.repo_id, x.a AS path, min(x.b) AS component, count(*) AS size FROM r x JOIN r y ON y.repo_id = x.repo_id AND y.a = x.b AND y.b = x.a GROUP BY 1, 2""",
     "layer_graph": f"""WITH {_D}, g AS (SELECT repo_id, {_P.format('path')} AS path, max(role) AS role FROM files WHERE path IS NOT NULL GROUP BY 1, 2)
       SELECT d.repo_id, coalesce(a.role, 'core') AS src_group, coalesce(b.role, 'core') AS dst_group, count(*) AS edges FROM d LEFT JOIN g a ON a.repo_id = d.repo_id AND a.path = d.src LEFT JOIN g b ON b.repo_id = d.repo_id AND b.path = d.dst
       WHERE coalesce(a.role, 'core') <> coalesce(b.role, 'core') GROUP BY 1, 2, 3""",

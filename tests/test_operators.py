@@ -34,6 +34,25 @@ def test_cycles_against_brute_force(spark):
         assert {tuple(r["path"]) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_components_hold_cycles_of_every_length(spark):
+    ring = [(f"n{i:02d}", f"n{(i + 1) % 15:02d}") for i in range(15)]  # too long for cycles()
+    e = edges(spark, [*ring, ("n03", "tail"), ("head", "n05"), ("p", "q"), ("q", "p"), ("n00", "p"), ("s", "s"), ("x", "y"), ("q", "a"), ("a", "u"), ("u", "v"), ("v", "u")])
+    got = rows(graph.cycle_components(e))
+    assert got == {("r", a, "n00", 15) for a, _ in ring} | {("r", "p", "p", 2), ("r", "q", "p", 2), ("r", "u", "u", 2), ("r", "v", "u", 2), ("r", "s", "s", 1)}
+    assert {tuple(r["path"]) for r in graph.cycles(e).collect()} == {("p", "q"), ("u", "v"), ("s",)}
+
+
+def test_components_against_brute_force(spark):
+    rng = random.Random(5)
+    nodes = [f"{i:02d}" for i in range(24)]
+    pairs = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(34)}
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    mutual = {a: {b for b in nodes if (a, b) in reach and (b, a) in reach} for a in nodes}
+    assert rows(graph.cycle_components(edges(spark, pairs))) == {("r", a, min(m), len(m)) for a, m in mutual.items() if m}
+
+
 def test_trace_drops_what_does_not_end(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("b", "z")])
     got = graph.trace_paths(e, spark.createDataFrame([("r", "a"), ("r", "q")], "repo_id string, name string"), 5)
