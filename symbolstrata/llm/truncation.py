@@ -19,20 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
-#: Tokens of context; words kept as they are at most (the most frequent ones that are no open-class words).
-CONTEXT, VOCABULARY = 6, 20_000
+#: Tokens of context.
+CONTEXT = 6
 #: Sentences of up to LITERAL tokens, their start included, can be closings; openings of that length are counted as they stand.
 LITERAL = 8
-#: A word is kept if it makes up this share of all tokens, or if one token follows it in this share of its places.
-FREQUENT, FIXED_NEXT, LEAST_SEEN = 0.004, 0.3, 20
+#: A word is kept if it makes up FREQUENT of all tokens, or SEEN of them while one token follows it in FIXED_NEXT of its places.
+#: At most 1 / SEEN words can make up that share, so the kept ones are a bounded set at every size of the table.
+FREQUENT, FIXED_NEXT, SEEN = 0.004, 0.3, 8e-6
 #: An ending counts as unusual below this share of the places where the same words go on.
 RARE_END, RARE_WORD = 0.1, 0.002
 #: A sentence that goes on in more than this share of the places where it ends is no closing.
 GOES_ON = 0.5
-#: Values shorter than this are not looked up as prefixes of whole values.
-LEAST_PREFIX = 40
+#: A value shorter than this is cut only if a longer one goes on inside its last word; "LGTM" is whole beside "LGTM, thanks".
+SHORT = 40
+#: Characters by which values are range-partitioned, and those of prefixes that more than HOT_PREFIX values share.
+RANGE_KEY, LONG_KEY, HOT_PREFIX = 512, 8_192, 50_000
 
 # ---- fixed values: marks that stand where a text was cut ----
 _MARK = re.compile(r"\s*(?:…|\.{3,}|[\[(<]\s*(?:\.{3}|…|truncated|cut(?: off)?|continued|more|snip)\s*[\])>])\s*$", re.I)
@@ -40,6 +43,8 @@ _MARK_SQL = r"(?i)\s*(…|\.{3,}|[\[(<]\s*(\.{3}|…|truncated|cut( off)?|contin
 _TOKEN = re.compile(r"[^\W\d_][^\W_]*(?:['’][^\W_]+)*|\d+(?:[.,:]\d+)*|```|`[^`\n]*`|\n+|[^\w\s]|_")
 #: The token of a quote of code that its line doesn't close.
 OPEN = "`?"
+#: Narrow sides of up to this many rows are broadcast.
+BROADCAST_ROWS = 2_000_000
 _DIGITS = re.compile(r"\d+")
 
 
@@ -160,16 +165,17 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": [""], "next": [""], "n": [int(n.sum())]})
 
 
-def kept_words(documents: DataFrame, vocabulary: int = VOCABULARY) -> frozenset[str]:
+def kept_words(documents: DataFrame) -> frozenset[str]:
     """Words that stay themselves in a pattern: frequent ones and those that one token mostly follows.
 
-    Counted over all documents; the ``vocabulary`` most frequent are returned to the driver, a fixed bound.
+    Counted over all documents. Only shares decide, so the answer doesn't shift with the size of the table, and at most
+    1 / SEEN words (125,000) can come to the driver.
     """
     pairs = documents.select("text").where("text is not null").mapInPandas(_pairs, "word string, next string, n long").groupBy("word", "next").agg(F.sum("n").alias("n"))
     words = cut_lineage(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
     total = (words.where("word = ''").agg(F.sum("n")).first() or [0])[0] or 0
-    fit = words.where("word <> ''").where((F.col("n") >= FREQUENT * total) | ((F.col("n") >= LEAST_SEEN) & (F.col("most") >= FIXED_NEXT * F.col("n"))))
-    return frozenset(r[0] for r in fit.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect())
+    fit = words.where("word <> ''").where((F.col("n") >= FREQUENT * total) | ((F.col("n") >= SEEN * total) & (F.col("most") >= FIXED_NEXT * F.col("n"))))
+    return frozenset(r[0] for r in fit.select("word").collect())
 
 
 def _counted(key: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,19 +267,44 @@ def distinct_values(values: DataFrame) -> DataFrame:
     return values.groupBy("key").agg(F.first("value").alias("value"))
 
 
-def strict_prefixes(distinct: DataFrame) -> DataFrame:
-    """key of the distinct values (key, value) that are a strict prefix of another one.
+def short_prefixes(distinct: DataFrame) -> DataFrame:
+    """key of the values under SHORT characters that go on inside their last word in another value: hashed prefixes, joined.
+
+    The heads of all values are made distinct first, so a head that many share asks once.
+    """
+    short = distinct.where(F.length("value").between(1, SHORT - 1)).select("key", F.length("value").alias("n"), F.col("value").alias("head"))
+    lengths = sorted(r[0] for r in short.select("n").distinct().collect())  # fewer than SHORT numbers
+    if not lengths:
+        return short.select("key")
+    heads = distinct.select(F.left("value", F.lit(SHORT)).alias("whole")).distinct()
+    word = r"[\\p{L}\\p{N}]"
+    longer = heads.select("whole", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where("n < length(whole)")
+    longer = longer.where(F.expr(f"substr(whole, n, 1) rlike '{word}' and substr(whole, n + 1, 1) rlike '{word}'"))
+    return short.join(longer.select("n", F.expr("left(whole, n)").alias("head")).distinct(), ["n", "head"], "left_semi").select("key")
+
+
+def strict_prefixes(distinct: DataFrame, range_key: int = RANGE_KEY, long_key: int = LONG_KEY, hot_prefix: int = HOT_PREFIX) -> DataFrame:
+    """key of the distinct values (key, value) that are a strict prefix of another one; short ones only inside a word.
 
     They are range-partitioned and sorted, so each task gets a like share and a value's extensions follow it directly; the
-    edges of the partitions, two values each, are matched in a second small step.
+    edges of the partitions, two values each, are matched in a second small step. The ranges are drawn from the first
+    ``range_key`` characters, so the sample that Spark takes to the driver has no long texts in it; only values that share
+    these with more than ``hot_prefix`` others are told apart by ``long_key`` characters.
     """
-    ordered = distinct.where(F.length("value") >= LEAST_PREFIX).repartitionByRange("value").sortWithinPartitions("value").select("key", "value")
+    values = distinct.where(F.length("value") >= SHORT)
+    start = F.xxhash64(F.left("value", F.lit(range_key)))
+    hot = values.groupBy(start.alias("start")).count().where(F.col("count") > hot_prefix)
+    # at most one start for each hot_prefix values
+    hot = small_side(cut_lineage(hot.select("start", F.lit(True).alias("hot"))), BROADCAST_ROWS)
+    keyed = values.withColumn("start", start).join(hot, "start", "left")
+    keyed = keyed.withColumn("range", F.when(F.col("hot"), F.left("value", F.lit(long_key))).otherwise(F.left("value", F.lit(range_key))))
+    ordered = keyed.repartitionByRange("range").sortWithinPartitions("value").select("key", "value")
     seen = cut_lineage(ordered.mapInPandas(_neighbours, "key long, edge string, value string").withColumn("part", F.spark_partition_id()))
     edges = seen.where("edge <> 'hit'")
     follows = F.lag("part").over(W.orderBy("part"))  # a row for each partition
     nexts = edges.where("edge = 'first'").select(follows.alias("part"), F.col("value").alias("next_value"))
     over = edges.where("edge = 'last'").join(nexts, "part").where(F.col("next_value").startswith(F.col("value"))).select("key")
-    return seen.where("edge = 'hit'").select("key").unionByName(over)
+    return seen.where("edge = 'hit'").select("key").unionByName(over).unionByName(short_prefixes(distinct))
 
 
 def prefixes_of_others(documents: DataFrame) -> DataFrame:
