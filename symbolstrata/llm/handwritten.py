@@ -1,19 +1,19 @@
 """Generated, minified or vendored source files (problem 1).
 
-Method: token streams, freed of comments, literals and layout, are fingerprinted by winnowing; a file is a vendored copy
-if most of its fingerprints recur in several repositories. Files that a tool made, that were compressed or that hold
-data are told by their own text: by a statement of their origin in a comment, by lines that all follow a few patterns,
-by the lack of blanks, by the share of literal rows.
+Method: winnowed fingerprints of normalized token streams. A file is a vendored copy if its fingerprints recur in several
+repositories. The same stream with names and literals made equal (its shape) tells the rest: a file that a tool wrote
+repeats a few of its own shingles over and over, a minified one has hardly two characters to a token, a data file is
+runs of literals. What a file says of itself in comments only decides between these limits and half of them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,15 @@ from ..session import cut_lineage, small_side
 
 #: Words of a shingle, fingerprints per winnowing window, share of a file's fingerprints that must recur, in how many repositories.
 WORDS, WINDOW, SIMILARITY, REPOSITORIES = 5, 4, 0.8, 3
+#: Fewer fingerprints than this (a few lines of imports) recur by chance and are no evidence of a copy.
+LEAST_PRINTS = 3
+#: Tokens of a shingle of the shape; share of its windows that the SHAPE most frequent repeated shingles must hold, share of distinct ones at most.
+#: Fewer distinct ones than FEW are enough by themselves.
+SHAPE, REPEATED, DISTINCT, FEW = 12, 0.53, 0.62, 0.35
+#: Literals that make a run; share of a file's tokens in runs. Characters to a token and letters to a name of minified code, its least tokens.
+RUN, IN_RUNS, TOKEN_CHARS, NAME_CHARS, LEAST_TOKENS = 8, 0.85, 2.2, 3.0, 60
+#: Between these and the limits above (for copies: two repositories) the file's own words decide; so they do below SHORT_SHAPE tokens.
+REPEATED_STATED, IN_RUNS_STATED, SHORT_SHAPE = 0.27, 0.6, 80
 BROADCAST_ROWS = 2_000_000
 
 # ---- fixed values: phrases by which files tell their origin ----
@@ -40,11 +49,15 @@ _STRING = r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*
 _SLASH = re.compile(rf"(?P<s>{_STRING})|(?P<c>/\*.*?(?:\*/|\Z)|//[^\n]*)", re.S)
 _HASH = re.compile(rf"(?P<s>{_STRING})|(?P<c>\#[^\n]*)", re.S)
 _HASH_EXT = frozenset((".py", ".rb", ".sh", ".pl", ".r", ".yml", ".yaml", ".toml"))
-_WORD = re.compile(r"[^\W\d]\w*|\d[\w.]*")
-_NAME, _NUMBER = re.compile(r"[^\W\d]\w*"), re.compile(r"\d[\w.]*")
+_TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _QUOTED = re.compile(r'"[^"\n]*"?|`[^`\n]*`?')
-_IMPORT = re.compile(r"\s*(?:import|from|use|package|using|require|#include|export \* from)\b")
 _ROW = re.compile(r'\s*(?:(?:[-+]?(?:0[xXbB][0-9a-fA-F_]+|\d[\d._eE+-]*)|"[^"\n]*"|\'[^\'\n]*\'|\{[^{}\n]*\}|\([^()\n]*\)|\[[^\[\]\n]*\]|null|nil|None|true|false|True|False)\s*[,+;]?\s*)+[,;]?\s*')
+# ---- fixed values: words that keep their place in a shape, and those that are literals ----
+_KEYWORDS = frozenset(
+    "if for while switch return else do try new throw this self with await yield def func fn fun function class struct enum interface type const let var static "
+    "public private import from package use export in of is not and or int string void".split()
+)
+_LITERALS = frozenset("null nil None true false True False".split())
 
 
 def parted(text: str, ext: str) -> tuple[str, str, list[tuple[int, str]]]:
@@ -65,75 +78,123 @@ def parted(text: str, ext: str) -> tuple[str, str, list[tuple[int, str]]]:
     return text, "".join(code), comments
 
 
-def fingerprints(code: str) -> np.ndarray:
-    """Winnowed hashes of five-word shingles of a code text, numbers made equal, distinct and sorted."""
-    words = ["0" if w[0].isdigit() else w for w in _WORD.findall(code)]
-    if len(words) < WORDS:
-        return np.zeros(0, dtype=np.int64)
-    ids = pd.util.hash_array(np.array(words, dtype=object), categorize=True)
-    h = np.zeros(len(ids) - WORDS + 1, dtype=np.uint64)
-    for k in range(WORDS):
+class Tokens(dict):
+    """Numbers for tokens, given as they come, with what the operator needs of each token in arrays."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._rows: list[tuple[int, int, int, bool, bool]] = []
+
+    def __missing__(self, raw: str) -> int:
+        number, name = raw[0].isdigit() or raw in _LITERALS, raw[0].isalpha() or raw[0] == "_"
+        shape = "0" if number else raw if raw in _KEYWORDS or not name else "n"
+        word = xxhash.xxh64_intdigest("0" if raw[0].isdigit() else raw, 1) if name or number else 0
+        self._rows.append((word, xxhash.xxh64_intdigest(shape, 2), len(raw), name and not number, number or raw == '"'))
+        self[raw] = len(self._rows) - 1
+        return len(self._rows) - 1
+
+    def of(self, codes: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each code text, of each of its tokens: the hash of the word (0 for signs) and of the shape, its length, whether it is a name, a literal."""
+        each = [np.fromiter(map(self.__getitem__, _TOKEN.findall(c)), dtype=np.int64) for c in codes]
+        columns = zip(*self._rows, strict=True) if self._rows else ((),) * 5
+        arrays = [np.array(c, dtype=kind) for c, kind in zip(columns, (np.uint64, np.uint64, np.int64, bool, bool), strict=True)]
+        for at in each:
+            yield tuple(x[at] for x in arrays)
+
+
+def _shingles(ids: np.ndarray, width: int) -> np.ndarray:
+    h = np.zeros(max(0, len(ids) - width + 1), dtype=np.uint64)
+    for k in range(width if len(h) else 0):
         h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(h)]
-    h ^= h >> np.uint64(32)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(words: np.ndarray) -> np.ndarray:
+    """Winnowed hashes of five-word shingles of a stream of word hashes, distinct and sorted."""
+    h = _shingles(words, WORDS)
     if len(h) > WINDOW:
         h = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)
     return np.unique(h).view(np.int64)
 
 
-def own_signs(text: str, code: str, comments: list[tuple[int, str]]) -> str:
-    """What a file's own text tells: generated, minified, data, copied, or an empty string."""
-    lines = [x for x in code.split("\n") if x.strip()]
-    size = sum(map(len, lines))
-    if any(_MADE.search(c) and not _DENIED.search(c) for c in (_QUOTED.sub("", c) for _, c in comments)):
-        return "generated"
-    blanks = sum(x.count(" ") + x.count("\t") for x in lines)
-    if size >= 200 and size / len(lines) >= 110 and blanks < 0.08 * size:
+def self_similarity(shape: np.ndarray, name: np.ndarray, literal: np.ndarray) -> tuple[float, float, float]:
+    """Of a token stream: its share in runs of literals; then, runs made one token, the share of windows that the most frequent
+    repeated shingles hold, and the share of distinct shingles."""
+    if not len(shape):
+        return 0.0, 0.0, 1.0
+    # stretches without a name; those with enough literals are runs
+    block = np.cumsum(name)
+    run = ~name & (np.bincount(block, weights=literal & ~name)[block] >= RUN)
+    first = run & np.concatenate([[True], ~run[:-1]])
+    h = _shingles(np.where(run, np.uint64(7), shape)[~run | first], SHAPE)
+    if not len(h):
+        return float(run.mean()), 0.0, 1.0
+    counts = np.sort(np.unique(h, return_counts=True)[1])[::-1]
+    most = counts[:SHAPE]
+    return float(run.mean()), float(most[most > 1].sum() / len(h)), len(counts) / len(h)
+
+
+def says_made(comments: list[tuple[int, str]]) -> bool:
+    return any(_MADE.search(c) and not _DENIED.search(c) for c in (_QUOTED.sub("", c) for _, c in comments))
+
+
+def own_sign(text: str, code: str, comments: list[tuple[int, str]], stream: tuple[np.ndarray, ...]) -> str:
+    """What the shape of a file's token stream tells: generated, minified, data or an empty string."""
+    _, shape, size, name, literal = stream
+    runs, repeated, distinct = self_similarity(shape, name, literal)
+    if len(shape) >= LEAST_TOKENS and len(code.strip()) < TOKEN_CHARS * len(shape) and name.any() and size[name].mean() < NAME_CHARS:
         return "minified"
-    raw = text.split("\n")
-    if len(text) >= 200 and sum(len(x) + 1 for x in raw if _ROW.fullmatch(x)) >= 0.6 * len(text):
+    if runs >= IN_RUNS:
         return "data"
-    if any(_COPIED.search(c) for line, c in comments if line < 3):
-        return "copied"
-    told = "\n".join(x for x in lines if not _IMPORT.match(x))
-    patterns = Counter(p for p in map(str.strip, _NUMBER.sub("0", _NAME.sub("n", told)).split("\n")) if len(p) > 2)
-    total = patterns.total()
-    common = [n for _, n in patterns.most_common(3)]
-    if total >= 8 and sum(common) >= 0.95 * total and common[0] >= 4:
+    if runs >= IN_RUNS_STATED:  # a table inside code, or short rows: the characters of whole rows decide
+        rows = sum(len(x) + 1 for x in text.split("\n") if _ROW.fullmatch(x))
+        return "data" if rows >= 0.6 * len(text) else ""
+    if distinct <= FEW or (distinct <= DISTINCT and repeated >= REPEATED):
+        return "generated"
+    if (repeated >= REPEATED_STATED or len(shape) < SHORT_SHAPE) and says_made(comments):
         return "generated"
     return ""
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tokens = Tokens()
     for batch in batches:
+        ext = [p[p.rfind(".") :].lower() if p and "." in p else "" for p in batch["path"]]
+        parts = [parted(content, e) for content, e in zip(batch["content"], ext, strict=True)]
         rows = []
-        for repo, path, content in zip(batch["repo_id"], batch["path"], batch["content"], strict=True):
-            ext = path[path.rfind(".") :].lower() if path and "." in path else ""
-            text, code, comments = parted(content, ext)
-            prints = fingerprints(code)
-            rows.append((repo, path, own_signs(text, code, comments), prints))
-        yield pd.DataFrame(rows, columns=["repo_id", "path", "sign", "prints"])
+        for file, (text, code, comments), stream in zip(batch["content_id"].tolist(), parts, tokens.of([code for _, code, _ in parts]), strict=True):
+            words = stream[0]
+            rows.append((file, own_sign(text, code, comments, stream), any(_COPIED.search(c) for line, c in comments if line < 3), fingerprints(words[words > 0])))
+        yield pd.DataFrame(rows, columns=["content_id", "sign", "says_copied", "prints"])
 
 
 def judge_files(files: DataFrame, similarity: float = SIMILARITY, repositories: int = REPOSITORIES) -> DataFrame:
     """Every file with its finding: repo_id, path, kind.
 
-    kind is ``generated``, ``minified``, ``data``, ``copied`` (says so itself), ``vendored`` (at least ``similarity`` of
-    its fingerprints occur in ``repositories`` or more repositories) or null for hand-written files. Repeated deliveries
-    of (repo_id, path) are one file. Files with null or empty content, or null keys, are hand-written until known
-    better; an empty table gives an empty result. Names of folders and files are no evidence.
+    kind is ``vendored`` (at least ``similarity`` of its fingerprints occur in ``repositories`` or more repositories, or in
+    two and the file says where it comes from), ``generated``, ``minified``, ``data`` or null for hand-written files. A content is
+    read once, however many files hold it. Repeated deliveries of (repo_id, path) are one file. Files with null or
+    empty content, or null keys, are hand-written until known better, and so are those with fewer than ``LEAST_PRINTS``
+    fingerprints unless their shape tells more; an empty table gives an empty result. Names of folders and files are no evidence.
     """
-    seen = files.select("repo_id", "path", "content").where("content <> ''")
-    told = cut_lineage(seen.mapInPandas(_features, "repo_id string, path string, sign string, prints array<long>"))
-    file = F.xxhash64("repo_id", "path").alias("file")
-    prints = told.select(file, F.xxhash64("repo_id").alias("repo"), F.explode("prints").alias("print"))
-    wide = prints.groupBy("print").agg(F.count_distinct("repo").alias("n")).where(F.col("n") >= repositories).select("print")
-    wide = small_side(cut_lineage(wide), BROADCAST_ROWS)
-    shares = prints.join(wide, "print", "left_semi").groupBy("file").agg(F.count_distinct("print").alias("known"))
-    one = told.groupBy("repo_id", "path").agg(F.max("sign").alias("sign"), F.max(F.size("prints")).alias("all")).withColumn("file", F.xxhash64("repo_id", "path"))
-    vendored = (F.col("all") >= 3) & (F.col("known") >= similarity * F.col("all"))
-    judged = one.join(shares, "file", "left").select("repo_id", "path", F.when(F.col("sign") != "", F.col("sign")).when(vendored, "vendored").alias("kind"))
+    ext = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"(\.[^.]*)$", 1))
+    seen = files.select("repo_id", "path", "content").where("content <> ''").withColumn("content_id", F.xxhash64("content", ext))
+    holders = cut_lineage(seen.select("repo_id", "path", "content_id").distinct())
+    once = seen.groupBy("content_id").agg(F.first("content").alias("content"), F.min("path").alias("path"))
+    told = cut_lineage(once.mapInPandas(_features, "content_id long, sign string, says_copied boolean, prints array<long>"))
+    # per content the repositories that hold it, then per fingerprint those of its contents: hot contents and prints shrink first
+    repos = holders.select("content_id", F.xxhash64("repo_id").alias("repo")).distinct()
+    prints = told.select("content_id", F.explode("prints").alias("print"))
+    spread = prints.join(repos, "content_id").select("print", "repo").distinct().groupBy("print").agg(F.count("*").alias("n")).where("n >= 2")
+    spread = small_side(cut_lineage(spread), BROADCAST_ROWS)
+    known = prints.join(spread, "print").groupBy("content_id").agg(F.count_if(F.col("n") >= repositories).alias("wide"), F.count("*").alias("twice"))
+    all_ = F.size("prints")
+    copied = (F.col("wide") >= similarity * all_) | (F.col("says_copied") & (F.col("twice") >= similarity * all_))
+    kind = F.when((all_ >= LEAST_PRINTS) & copied, "vendored").when(F.col("sign") != "", F.col("sign"))
+    judged = told.join(known, "content_id", "left").select("content_id", kind.alias("kind")).where("kind is not null")
+    marked = holders.join(judged, "content_id").groupBy("repo_id", "path").agg(F.max("kind").alias("kind"))
     every = files.select("repo_id", "path").distinct()
-    return every.join(judged, every["repo_id"].eqNullSafe(judged["repo_id"]) & every["path"].eqNullSafe(judged["path"]), "left").select(every["repo_id"], every["path"], "kind")
+    return every.join(marked, every["repo_id"].eqNullSafe(marked["repo_id"]) & every["path"].eqNullSafe(marked["path"]), "left").select(every["repo_id"], every["path"], "kind")
 
 
 def not_handwritten(files: DataFrame, **parameters) -> DataFrame:

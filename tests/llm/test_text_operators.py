@@ -14,12 +14,12 @@ def test_files_by_their_own_signs(spark):
     rows = [
         ("r1", "a.py", "# Code generated by x. DO NOT EDIT.\n" + hand), ("r1", "b.py", getter), ("r1", "vendor/c.py", hand), ("r1", "min.js", "function a(b){" + "b?c(d):e;" * 40 + "}"),
         ("r1", "data.py", "T = [\n" + "    1, 2, 3, 0xff,\n" * 40 + "]\n"), ("r1", "l.py", lib), ("r2", "m.py", "\r\n# moved\r\n" + lib.replace("\n", "\r\n")), ("r3", "n.py", lib), ("r1", "a.py", "# Code generated by x. DO NOT EDIT.\n" + hand),
-        ("r1", "up.py", "# Upstream: thing, release 1.2.3\n" + hand), ("r1", "null.py", None), ("r1", "empty.py", ""), (None, None, "x = 1"), ("r4", "two.py", hand + "x = [1, 2]\n" + "y" * 300),
+        ("r1", "up.py", "# Upstream: thing, release 1.2.3\n" + lib.replace("row", "cell")), ("r2", "up2.py", "# Upstream: thing, release 1.2.3\n" + lib.replace("row", "cell")), ("r1", "own.py", lib.replace("text", "line")), ("r2", "own2.py", lib.replace("text", "line")), ("r1", "null.py", None), ("r1", "empty.py", ""), (None, None, "x = 1"), ("r4", "two.py", hand + "x = [1, 2]\n" + "y" * 300),
     ]
     got = handwritten.judge_files(spark.createDataFrame([(*r, "clash", "clash") for r in rows], FILE))
     kinds = {r["path"]: r["kind"] for r in got.collect()}
     assert got.count() == len({r[:2] for r in rows})
-    assert kinds == {"a.py": "generated", "b.py": "generated", "vendor/c.py": None, "min.js": "minified", "data.py": "data", "l.py": "vendored", "m.py": "vendored", "n.py": "vendored", "up.py": "copied", "null.py": None, "empty.py": None, None: None, "two.py": None}
+    assert kinds == {"a.py": "generated", "b.py": "generated", "vendor/c.py": None, "min.js": "minified", "data.py": "data", "l.py": "vendored", "m.py": "vendored", "n.py": "vendored", "up.py": "vendored", "up2.py": "vendored", "own.py": None, "own2.py": None, "null.py": None, "empty.py": None, None: None, "two.py": None}
     assert handwritten.not_handwritten(spark.createDataFrame([], FILE)).count() == 0
 
 
@@ -108,6 +108,25 @@ def test_mix(spark):
     assert copies.count() == 0 and report.count() == 4
 
 
+def test_long_generated_files_need_no_statement(spark):
+    rows = [("r1", "g.py", "".join(f"def get_{'abcdefgh'[i % 8]}{i}(o):\n    return o._f[{i}].v{i}\n\n" for i in range(60)))]
+    kinds = {r["path"]: r["kind"] for r in handwritten.judge_files(spark.createDataFrame(rows, "repo_id string, path string, content string")).collect()}
+    assert kinds == {"g.py": "generated"}
+
+
+def test_prefixes_of_any_length_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["alpha", "al", "alphabet", "be", "beta", "gamma"]
+    values = sorted({v[: rng.randint(2, len(v))] for v in (" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(800))})
+    inside = lambda v, w: v[-1].isalnum() and w[len(v)].isalnum()
+    want = {i for i, v in enumerate(values) for w in values if w != v and w.startswith(v) and (len(v) >= truncation.SHORT or inside(v, w))}
+    df = spark.createDataFrame(list(enumerate(values)), "key long, value string").repartition(5)
+    assert {r[0] for r in truncation.strict_prefixes(df).collect()} == want
+    assert {r[0] for r in truncation.strict_prefixes(df, range_key=8, long_key=30, hot_prefix=20).collect()} == want
+
+
 def test_truncation(spark):
     words = ["pump", "valve", "gate", "wheel", "lamp", "rope", "crate", "shelf"]
     full = [f"The {a} holds the {b} until the {c} is read. Nothing depends on the order of the {a}s, except the {b}.\n\nFixes #12" for a in words for b in words for c in words[:3]]
