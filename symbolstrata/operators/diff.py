@@ -37,13 +37,29 @@ def insert_if_absent(base: DataFrame, extra: DataFrame, keys: list[str]) -> Data
 
 
 def parse_hunks(diffs: DataFrame) -> DataFrame:
-    """Ranges of changed lines from unified diffs (repo_id, diff): repo_id, path, start, end (one past the last)."""
-    rows = diffs.where("diff <> ''").select("repo_id", F.posexplode(F.split("diff", "\r?\n")).alias("at", "text")).where(F.col("text").rlike(r"^(\+\+\+ |@@ )"))
-    path = F.when(F.col("text").startswith("+++ "), F.regexp_extract("text", r"^\+\+\+ (?:b/)?(\S+)", 1))
-    head = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    rows = rows.withColumn("path", F.last(path, True).over(W.partitionBy("repo_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
-    start, count = F.regexp_extract("text", head, 1).try_cast("int"), F.regexp_extract("text", head, 2)
-    return rows.where(F.col("text").rlike(head)).select("repo_id", "path", start.alias("start"), (start + F.when(count == "", 1).otherwise(count.try_cast("int"))).alias("end"))
+    """Ranges of changed lines from unified diffs (repo_id, diff): repo_id, path, start, end (one past the last); distinct.
+
+    Each diff is folded where its row stands, so diffs of one repository don't mix. Deleted files (``/dev/null``) give none.
+    """
+    head = r"^@@ -\\d+(?:,\\d+)? \\+(\\d+)(?:,(\\d+))? @@"
+    folded = F.expr(f"""
+        aggregate(filter(split(diff, '\\r?\\n'), x -> x rlike '^([+][+][+] |@@ )'),
+          named_struct('path', cast(null as string), 'out', cast(array() as array<struct<path: string, start: int, count: int>>)),
+          (a, x) -> if(startswith(x, '+++ '),
+            named_struct('path', regexp_extract(x, '^[+][+][+] (?:b/)?([^\\t]+)', 1), 'out', a.out),
+            named_struct('path', a.path, 'out', if(x rlike '{head}' and a.path <> '/dev/null',
+              concat(a.out, array(named_struct('path', a.path, 'start', cast(regexp_extract(x, '{head}', 1) as int), 'count', if(regexp_extract(x, '{head}', 2) = '', 1, cast(nullif(regexp_extract(x, '{head}', 2), '') as int))))), a.out))),
+          a -> a.out)""")
+    return diffs.where("diff <> ''").select("repo_id", F.explode(folded).alias("h")).select("repo_id", "h.path", "h.start", (F.col("h.start") + F.col("h.count")).alias("end")).distinct()
+
+
+def changed_paths(*lists: DataFrame) -> DataFrame:
+    """Distinct (repo_id, path) of several lists of changed files (against a revision, staged, untracked); slashes made equal."""
+    out = None
+    for part in lists:
+        rows = part.where("path <> ''").select("repo_id", clean_path(F.col("path")).alias("path"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
 
 
 def changed_symbols(symbols: DataFrame, hunks: DataFrame) -> DataFrame:

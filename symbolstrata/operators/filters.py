@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_pattern
+from ..session import small_side
 from ..tables import clean_path
 
 # ---- fixed values: folders and endings that are never indexed; what marks a test ----
@@ -34,11 +35,20 @@ def ignored_by_default(path: Column) -> Column:
     return F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, IGNORED_FOLDERS))) | ends
 
 
+#: Repositories whose patterns are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
 def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Distinct (repo_id, path) that a pattern of its repository fits: as a part of the path, or as a glob."""
+    """Distinct (repo_id, path) that a pattern of its repository fits: as a part of the path, or as a glob.
+
+    A repository's patterns become one row, globs one expression, so a file meets them all at once and a large repository
+    isn't one task: up to BROADCAST_ROWS repositories their rows go to the files.
+    """
     f = files.where("path is not null").select("repo_id", "path").distinct().withColumn("p", clean_path(F.col("path")))
     g = patterns.where("pattern <> ''").select("repo_id", F.translate("pattern", "\\", "/").alias("pattern")).distinct().withColumn("glob", glob_pattern(F.col("pattern")))
-    return f.join(g, "repo_id").where(F.col("p").contains(F.col("pattern")) | F.expr("p rlike glob")).select("repo_id", "path").distinct()
+    g = g.groupBy("repo_id").agg(F.array_sort(F.collect_list("pattern")).alias("parts"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("(?:"), "glob", F.lit(")")))), "|").alias("globs"))
+    return f.join(small_side(g, BROADCAST_ROWS), "repo_id").where(F.exists("parts", lambda x: F.col("p").contains(x)) | F.expr("p rlike globs")).select("repo_id", "path")
 
 
 def ignore_reasons(files: DataFrame, excludes: DataFrame, includes: DataFrame | None = None, include_tests: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -78,3 +88,18 @@ def dry_run(files: DataFrame, excludes: DataFrame) -> DataFrame:
 def first_of(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group, in order."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def dry_run_sample(files: DataFrame, excludes: DataFrame, k: int = 20) -> DataFrame:
+    """The first ``k`` paths of each repository that would be indexed, in order: repo_id, rank, path."""
+    kept = ignore_reasons(files, excludes).where("reason is null").select("repo_id", "path")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy("path"))).where(F.col("rank") <= k).select("repo_id", "rank", "path")
+
+
+# ---- fixed values: folders that a scan of code for doubtful patterns passes over ----
+SCAN_FOLDERS = ["node_modules", "venv", ".venv", "__pycache__", ".git", "dist", "build"]
+
+
+def scanned(path: Column) -> Column:
+    """Whether a scan for doubtful code reads a path: not below a folder of installed or built files."""
+    return ~F.arrays_overlap(F.split(clean_path(path), "/"), F.array(*map(F.lit, SCAN_FOLDERS)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, split_join
 from ..tables import clean_path
 
 
@@ -58,12 +58,12 @@ def self_loops(edges: DataFrame) -> DataFrame:
 def change_impact(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """What a change of each called name reaches: direct callers, their callers, the files that define them, the risk.
 
-    Columns repo_id, name, direct, indirect, affected_files, test_files, risk. Indirect callers are neither direct ones
+    Callers of hot names are joined by parts. Columns repo_id, name, direct, indirect, affected_files, test_files, risk. Indirect callers are neither direct ones
     nor the name itself. Risk counts the name too: over 10 high, over 3 medium, else low.
     """
     e = edges.where("src <> dst")
     direct = e.select("repo_id", F.col("dst").alias("name"), F.col("src").alias("by"), F.lit(1).alias("hop"))
-    second = direct.join(e.select("repo_id", F.col("dst").alias("by"), F.col("src").alias("by2")), ["repo_id", "by"]).where("by2 <> name").select("repo_id", "name", F.col("by2").alias("by"), F.lit(2).alias("hop"))
+    second = split_join(direct, e.select("repo_id", F.col("dst").alias("by"), F.col("src").alias("by2")), ["repo_id", "by"]).where("by2 <> name").select("repo_id", "name", F.col("by2").alias("by"), F.lit(2).alias("hop"))
     reached = direct.unionByName(second).groupBy("repo_id", "name", "by").agg(F.min("hop").alias("hop"))
     counts = reached.groupBy("repo_id", "name").agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count_if(F.col("hop") == 2).alias("indirect"))
     places = symbols.select("repo_id", F.col("name").alias("by"), "path").distinct()
@@ -89,7 +89,7 @@ def trace_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataF
         longer = longer.select("repo_id", "start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")).join(calling, ["repo_id", "at"], "left")
         ended = longer.where("calls is null").select("repo_id", "start", "path")
         done = ended if done is None else done.unionByName(ended)
-        open_paths = longer.where("calls").drop("calls")
+        open_paths = cut_lineage(longer.where("calls").drop("calls"))  # each step reads the last one, not all before
     return done
 
 
@@ -107,14 +107,18 @@ def cycles(edges: DataFrame, most: int = 5) -> DataFrame:
 
     The paths grow only through nodes larger than their start, so each cycle is met exactly once.
     """
-    step = edges.select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to"))
-    grow = step.where("at <> to").select("repo_id", F.col("at").alias("start"), F.array("at", "to").alias("path"), F.col("to").alias("at")).where("at > start")
-    found = step.where("at = to").select("repo_id", F.array("at").alias("path"))
+    found = edges.where("src = dst").select("repo_id", F.array("src").alias("path"))
+    rest = edges.where("src <> dst")
+    for _ in range(2):  # nodes that nothing leads to, or that lead nowhere, are on no cycle
+        called, calling = rest.select("repo_id", F.col("dst").alias("src")).distinct(), rest.select("repo_id", F.col("src").alias("dst")).distinct()
+        rest = cut_lineage(rest.join(called, ["repo_id", "src"], "left_semi").join(calling, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"))
+    step = rest.select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to"))
+    grow = step.select("repo_id", F.col("at").alias("start"), F.array("at", "to").alias("path"), F.col("to").alias("at")).where("at > start")
     for k in range(2, most + 1):
         wider = grow.join(step, ["repo_id", "at"])
         found = found.unionByName(wider.where("to = start").select("repo_id", "path"))
         if k < most:
-            grow = wider.where((F.col("to") > F.col("start")) & ~F.array_contains("path", F.col("to"))).select("repo_id", "start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
+            grow = cut_lineage(wider.where((F.col("to") > F.col("start")) & ~F.array_contains("path", F.col("to"))).select("repo_id", "start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")))
     return found.withColumn("length", F.size("path"))
 
 
@@ -223,3 +227,83 @@ def path_tree(paths: DataFrame) -> DataFrame:
     parts = paths.where("path <> ''").select("repo_id", clean_path(F.col("path")).alias("path")).distinct().withColumn("parts", F.split("path", "/"))
     above = parts.where("size(parts) > 1").select("repo_id", "parts", F.explode(F.expr("sequence(1, size(parts) - 1)")).alias("depth"))
     return above.groupBy("repo_id", F.array_join(F.expr("slice(parts, 1, depth)"), "/").alias("folder"), "depth").agg(F.count("*").alias("files"))
+
+
+def symbol_files(symbols: DataFrame, which: str = "last") -> DataFrame:
+    """The one file that stands for a name: repo_id, name, path; of several the ``first`` or ``last`` by path and ordinal.
+
+    Names that two files define get one of them, as a lookup of a name does. Null names and paths are left out.
+    """
+    best = F.min if which == "first" else F.max
+    return symbols.where("name <> '' and path is not null").groupBy("repo_id", "name").agg(best(F.struct("path", "ordinal")).alias("f")).select("repo_id", "name", "f.path")
+
+
+def importing_files(edges: DataFrame, symbols: DataFrame, deps: DataFrame) -> DataFrame:
+    """Files that import a file affected by the change of a name and are not affected themselves: repo_id, name, importing_files.
+
+    Affected are the files (by ``symbol_files``) of the name, its direct and indirect callers; test files among them lead
+    no further. ``deps`` are file edges. Names without importing files are left out.
+    """
+    e = edges.where("src <> dst")
+    direct = e.select("repo_id", F.col("dst").alias("name"), F.col("src").alias("by"))
+    second = split_join(direct, e.select("repo_id", F.col("dst").alias("by"), F.col("src").alias("by2")), ["repo_id", "by"]).select("repo_id", "name", F.col("by2").alias("by"))
+    reached = direct.unionByName(second).unionByName(direct.select("repo_id", "name", F.col("name").alias("by")))
+    places = symbol_files(symbols).select("repo_id", F.col("name").alias("by"), clean_path(F.col("path")).alias("path"))
+    affected = cut_lineage(reached.distinct().join(places, ["repo_id", "by"]).select("repo_id", "name", "path").distinct())
+    test = F.lower("path").contains("test") | F.lower("path").contains("spec")
+    importing = split_join(affected.where(~test).withColumnRenamed("path", "dst"), deps, ["repo_id", "dst"]).select("repo_id", "name", F.col("src").alias("path")).distinct()
+    return importing.join(affected, ["repo_id", "name", "path"], "left_anti").groupBy("repo_id", "name").agg(F.count("*").alias("importing_files"))
+
+
+def participants(edges: DataFrame, seeds: DataFrame, first: int = 10, fan: int = 3, depth: int = 4, nodes: int = 15) -> DataFrame:
+    """Who takes part in what each seed starts: repo_id, seed, place, name, distance; at most ``nodes`` with the seed.
+
+    The first ``first`` names that the seed calls, then the first ``fan`` of each of those, and so on, ``depth`` steps;
+    nearer ones come first, ties by name.
+    """
+    ranked = edges.where("src <> dst").withColumn("_i", F.row_number().over(W.partitionBy("repo_id", "src").orderBy("dst")))
+    step = ranked.where(F.col("_i") <= fan).select("repo_id", F.col("src").alias("name"), "dst")
+    start = seeds.select("repo_id", F.col("name").alias("seed")).distinct()
+    frontier = start.join(ranked.where(F.col("_i") <= first).select("repo_id", F.col("src").alias("seed"), F.col("dst").alias("name")), ["repo_id", "seed"]).withColumn("distance", F.lit(1))
+    seen = start.select("repo_id", "seed", F.col("seed").alias("name"), F.lit(0).alias("distance")).unionByName(frontier)
+    for d in range(2, depth + 1):
+        frontier = frontier.join(step, ["repo_id", "name"]).select("repo_id", "seed", F.col("dst").alias("name"), F.lit(d).alias("distance")).distinct()
+        seen = seen.unionByName(frontier)
+    nearest_ = seen.groupBy("repo_id", "seed", "name").agg(F.min("distance").alias("distance"))
+    return nearest_.withColumn("place", F.row_number().over(W.partitionBy("repo_id", "seed").orderBy("distance", "name"))).where(F.col("place") <= nodes)
+
+
+def entity_relations(symbols: DataFrame, words: tuple[str, ...] = ("model", "entity", "schema")) -> DataFrame:
+    """Relations between entity classes that method names tell: repo_id, class_name, other, relation (``one`` or ``many``).
+
+    Entities are classes with one of ``words`` in their name. A method of one whose name holds the name of another relates
+    them; ``many`` if it also says many or list. Method names are looked up by their parts as long as an entity's name, so
+    no class meets every method.
+    """
+    s = symbols.where("name <> ''").select("repo_id", "name", "type", "class_name", "path").distinct()
+    low = F.lower("name")
+    named = F.lit(False)
+    for w in words:
+        named = named | low.contains(w)
+    entities = s.where((F.col("type") == "class") & named).select("repo_id", F.col("name").alias("class_name"), "path").distinct()
+    methods = s.where("type = 'method' and class_name <> ''").select("repo_id", "path", "class_name", F.col("name").alias("method")).join(entities, ["repo_id", "path", "class_name"], "left_semi")
+    others = entities.select("repo_id", F.col("class_name").alias("other"), F.lower("class_name").alias("part"), F.length("class_name").alias("n")).distinct()
+    lengths = others.groupBy("repo_id").agg(F.collect_set("n").alias("lengths"))  # as many as names have lengths
+    parts = methods.join(lengths, "repo_id").withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length("method"))
+    parts = parts.withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("method") - F.col("n") + 1), lambda i: F.lower(F.substring("method", i, F.col("n")))))))
+    many = F.lower("method").contains("many") | F.lower("method").contains("list") | F.col("method").contains("[]")
+    hit = parts.join(others.drop("n"), ["repo_id", "part"]).where("other <> class_name")
+    return hit.select("repo_id", "class_name", "other", F.when(many, "many").otherwise("one").alias("relation")).distinct()
+
+
+def most_called(edges: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` most called names of each repository: repo_id, rank, name, callers; ties by name."""
+    n = edges.groupBy("repo_id", F.col("dst").alias("name")).agg(F.count("*").alias("callers"))
+    return n.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy(F.desc("callers"), "name"))).where(F.col("rank") <= k).select("repo_id", "rank", "name", "callers")
+
+
+def top_level_flows(edges: DataFrame, k: int = 10, callees: int = 5) -> DataFrame:
+    """The first ``k`` names (in order) of each repository that call and are never called, with the first ``callees`` names that they call: repo_id, rank, name, shown (array)."""
+    top = roots(edges).withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy("name"))).where(F.col("rank") <= k)
+    shown = shown_ends(edges, "src", "dst", callees).select("repo_id", F.col("src").alias("name"), "shown")
+    return top.join(shown, ["repo_id", "name"]).select("repo_id", "rank", "name", "shown")

@@ -2,7 +2,7 @@
 
 Method: every input split encodes its keys with a dictionary of its own and counts them with ``numpy.bincount``, so a task's
 work depends only on the size of its split. The distinct keys get global dense codes (block, place); the splits' counts
-are scattered into dense arrays per block, and the arrays of a block are summed in a two-level distributed reduction.
+are scattered into dense arrays per block, and the arrays of a block are summed in a distributed reduction tree.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Keys per block, so bytes of a dense array / 8; parallel partial arrays per block in the first level.
-BLOCK_KEYS, FAN = 65_536, 16
+#: Keys per block, so bytes of a dense array / 8; counts scattered into one array, about; arrays summed in one group of a level.
+BLOCK_KEYS, SCATTER_ROWS, FAN = 65_536, 262_144, 16
 
 
 def _split_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,29 +37,37 @@ def _split_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _scatter(block: pd.DataFrame) -> pd.DataFrame:
     dense = np.bincount(block["place"], weights=block["n"], minlength=0).astype(np.int64)
-    return pd.DataFrame({"block": [int(block["block"].iloc[0])], "totals": [dense]})
+    return pd.DataFrame({"block": [int(block["block"].iloc[0])], "fan": [int(block["fan"].iloc[0])], "totals": [dense]})
 
 
 def _add(blocks: pd.DataFrame) -> pd.DataFrame:
     dense = np.zeros(max(map(len, blocks["totals"])), dtype=np.int64)
     for part in blocks["totals"]:
         dense[: len(part)] += part
-    return pd.DataFrame({"block": [int(blocks["block"].iloc[0])], "totals": [dense]})
+    return pd.DataFrame({"block": [int(blocks["block"].iloc[0])], "fan": [int(blocks["fan"].iloc[0])], "totals": [dense]})
 
 
-def dense_counts(keys: DataFrame, column: str, block_keys: int = BLOCK_KEYS, fan: int = FAN) -> DataFrame:
+def dense_counts(keys: DataFrame, column: str, block_keys: int = BLOCK_KEYS, scatter_rows: int = SCATTER_ROWS, fan: int = FAN) -> DataFrame:
     """Rows per value of a string ``column``: key, n. Nulls and empty strings are not counted; empty input, empty result.
 
-    The counts are exact. A key that fills a third of all rows costs each split one more entry, nothing else.
+    The counts are exact. A key that fills a third of all rows costs each split one more entry, nothing else. The more
+    splits there are, the more arrays a block starts with, so a group scatters about ``scatter_rows`` counts at every
+    size; each level of the tree sums groups of ``fan`` arrays until one is left.
     """
     part = keys.select(F.col(column).cast("string").alias("key")).where("key <> ''").mapInPandas(_split_counts, "key string, n long")
-    part = cut_lineage(part.withColumn("fan", F.pmod(F.spark_partition_id(), F.lit(fan))))
+    part = cut_lineage(part.withColumn("split", F.spark_partition_id()))
     # codes: the block by hash, the place by order within it; about block_keys keys fall to a block
-    blocks = max(1, -(-int(part.agg(F.approx_count_distinct("key")).first()[0]) // block_keys))
+    distinct, rows = part.agg(F.approx_count_distinct("key"), F.count("*")).first()
+    blocks = max(1, -(-int(distinct) // block_keys))
+    arrays = max(1, -(-int(rows) // (blocks * scatter_rows)))
     coded = part.groupBy("key").agg(F.lit(1).alias("one")).select("key", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
     coded = coded.withColumn("place", F.row_number().over(W.partitionBy("block").orderBy("key")) - 1)
-    dense = part.join(coded, "key").groupBy("block", "fan").applyInPandas(_scatter, "block int, totals array<long>")
-    dense = dense.groupBy("block").applyInPandas(_add, "block int, totals array<long>")
+    shape = "block int, fan int, totals array<long>"
+    placed = part.withColumn("fan", F.pmod("split", F.lit(arrays))).join(coded, "key").select("block", "fan", "place", "n")
+    dense = placed.groupBy("block", "fan").applyInPandas(_scatter, shape)
+    while arrays > 1:
+        arrays = -(-arrays // fan)
+        dense = dense.withColumn("fan", F.pmod("fan", F.lit(arrays))).groupBy("block", "fan").applyInPandas(_add, shape)
     counts = dense.select("block", F.posexplode("totals").alias("place", "n"))
     return coded.join(counts, ["block", "place"]).select("key", "n")
 

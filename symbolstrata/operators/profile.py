@@ -139,3 +139,63 @@ def within_budget(rows: DataFrame, tokens: str, by: list[str], order: list[str],
         return rows
     before = F.sum(tokens).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < budget).drop("_before")
+
+
+# ---- fixed values: files by which a program is entered ----
+ENTRY_FILES = ["main.py", "app.py", "server.py", "cli.py", "__main__.py", "manage.py", "main.ts", "main.js", "index.ts", "index.js"]
+
+
+def content_roles(files: DataFrame, symbols: DataFrame, routes: DataFrame, entities: DataFrame) -> DataFrame:
+    """The role of each file by its path and by what it holds: repo_id, path, role.
+
+    In this order: cli by path; api by routes or path; data by entities (those of a known kind) or path; ui by frontend
+    frameworks or path; services and infra by path; else core.
+    """
+    flag = lambda df, name: df.where("path is not null").select("repo_id", "path", F.lit(True).alias(name)).distinct()
+    front = symbols.where(normal_framework(F.col("framework")).isin(FRONTEND))
+    f = files.where("path is not null").select("repo_id", "path").distinct()
+    f = f.join(flag(routes, "api"), ["repo_id", "path"], "left").join(flag(entities.where("kind <> 'unknown'"), "data"), ["repo_id", "path"], "left").join(flag(front, "ui"), ["repo_id", "path"], "left")
+    by_path = role_of(F.col("path"))
+    rank = {r: i for i, r in enumerate(["cli", "api", "data", "ui", "services", "infra", "core"])}
+    place = F.least(*[F.when(F.col(c), rank[c]).otherwise(rank["core"]) for c in ("api", "data", "ui")], *[F.when(by_path == r, i).otherwise(rank["core"]) for r, i in rank.items()])
+    role = F.element_at(F.array(*map(F.lit, rank)), place + 1)
+    return f.select("repo_id", "path", role.alias("role"))
+
+
+def layer_totals(roles: DataFrame, symbols: DataFrame, routes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Per repository and role: files, symbols, routes and entities."""
+    count = lambda df, name, key: df.select("repo_id", "path", key).distinct().groupBy("repo_id", "path").agg(F.count("*").alias(name))
+    r = roles
+    for part in (count(symbols, "symbols", "sym_id"), count(routes.withColumn("_e", F.struct("method", "route")), "routes", "_e"), count(entities, "entities", "sym_id")):
+        r = r.join(part, ["repo_id", "path"], "left")
+    return r.groupBy("repo_id", "role").agg(F.count("*").alias("files"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("symbols", "routes", "entities")])
+
+
+def reasoned_entry_points(symbols: DataFrame, edges: DataFrame, routes: DataFrame, per_file: int = 8, most: int = 12) -> DataFrame:
+    """Where each repository is entered: repo_id, place, name, path, reason; at most ``most`` of each.
+
+    Of a file first up to three functions or classes outside classes if its name is one of ENTRY_FILES (``entry_file``), then up to five
+    routes (``api_route``), then functions that nothing calls (``top_level``), up to ``per_file`` in all. The same name in
+    the same file counts once; files go by path.
+    """
+    s = symbols.where("name <> '' and path is not null and coalesce(class_name, '') = ''").select("repo_id", "path", "ordinal", "sym_id", "name", "type").distinct()
+    entered = F.lower(F.element_at(F.split(clean_path(F.col("path")), "/"), -1)).isin(ENTRY_FILES)
+    by_order = W.partitionBy("repo_id", "path").orderBy("ordinal", "sym_id")
+    first = s.where(entered & F.col("type").isin("function", "class")).withColumn("n", F.row_number().over(by_order)).where("n <= 3").select("repo_id", "path", "name", F.lit(0).alias("turn"), "n", F.lit("entry_file").alias("reason"))
+    each = routes.select("repo_id", "path", "line", F.concat_ws(" ", "method", "route").alias("name")).distinct()
+    each = each.withColumn("n", F.row_number().over(W.partitionBy("repo_id", "path").orderBy("line", "name"))).where("n <= 5").select("repo_id", "path", "name", F.lit(1).alias("turn"), "n", F.lit("api_route").alias("reason"))
+    called = edges.select("repo_id", F.col("dst").alias("name")).distinct()
+    free = s.where("type = 'function'").join(called, ["repo_id", "name"], "left_anti").withColumn("n", F.row_number().over(by_order)).where(F.col("n") <= per_file).select("repo_id", "path", "name", F.lit(2).alias("turn"), "n", F.lit("top_level").alias("reason"))
+    rows = first.unionByName(each).unionByName(free).groupBy("repo_id", "path", "name").agg(F.min(F.struct("turn", "n", "reason")).alias("r")).select("repo_id", "path", "name", "r.*")
+    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", "path").orderBy("turn", "n", "name"))).where(F.col("_i") <= per_file)
+    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("repo_id").orderBy("path", "turn", "n", "name")))
+    return ranked.where(F.col("place") <= most).select("repo_id", "place", "name", "path", "reason")
+
+
+def output_recommendations(files: DataFrame, symbols: DataFrame, routes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Which outputs a repository calls for: repo_id, outputs (joined by a blank): docs, diagrams and report always, dashboard with routes or entities, viz up to 500 symbols."""
+    f = files.select("repo_id").where("repo_id is not null").distinct()
+    n = symbols.select("repo_id", "sym_id").distinct().groupBy("repo_id").agg(F.count("*").alias("n"))
+    has = routes.select("repo_id").unionByName(entities.select("repo_id")).distinct().withColumn("has", F.lit(True))
+    out = F.array(F.lit("docs"), F.lit("diagrams"), F.lit("report"), F.when(F.col("has"), "dashboard"), F.when(F.col("n").between(1, 500), "viz"))
+    return f.join(n, "repo_id", "left").join(has, "repo_id", "left").select("repo_id", F.array_join(F.array_compact(out), " ").alias("outputs"))

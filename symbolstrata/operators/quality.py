@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from ..session import cut_lineage
+from ..session import cut_lineage, split_join
 from ..tables import clean_path, extension
 
 # ---- fixed values: names that nothing in the code calls although they are in use ----
@@ -53,8 +53,11 @@ def source_metrics(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """
     s = symbols.where("type in ('function', 'method') and line >= 1 and end_line >= line").select("sym_id", "repo_id", clean_path(F.col("path")).alias("path"), "name", "line", "end_line", F.greatest(F.coalesce(F.size("params"), F.lit(0)), F.lit(0)).alias("params"), F.greatest(F.coalesce(F.size(F.array_distinct("calls")), F.lit(0)), F.lit(0)).alias("calls")).distinct()
     f = files.where("content <> '' and path is not null").groupBy("repo_id", clean_path(F.col("path")).alias("path")).agg(F.min("content").alias("content"))
-    j = s.join(f, ["repo_id", "path"]).withColumn("all", lines(F.col("content"))).where("line <= size(all)")
-    j = j.withColumn("head", F.expr("all[line - 1]")).withColumn("body", F.expr("slice(all, line + 1, end_line - line)"))
+    # a file's text is split once; its symbols, a list as long as the file declares, take their lines from it
+    by_file = s.groupBy("repo_id", "path").agg(F.collect_list(F.struct("sym_id", "name", "params", "calls", "line", "end_line")).alias("s"))
+    j = f.join(by_file, ["repo_id", "path"]).withColumn("all", lines(F.col("content"))).drop("content")
+    cut = F.expr("transform(filter(s, x -> x.line <= size(all)), x -> struct(x.sym_id, x.name, x.params, x.calls, all[x.line - 1] as head, slice(all, x.line + 1, x.end_line - x.line) as body))")
+    j = j.select("repo_id", F.explode(cut).alias("x")).select("repo_id", "x.*")
     code = F.filter("body", lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(#|//|\*)"))
     j = j.select("sym_id", "repo_id", "name", "params", "calls", "head", code.alias("code"))
     indent = lambda x: F.length(F.regexp_extract(x, "^([ \t]*)", 1))
@@ -113,9 +116,18 @@ def near_duplicates(bodies: DataFrame, words: int = 5, similarity: float = 0.8)
     frequency = each.groupBy("s").agg(F.count("*").alias("df"))
     ranked = each.join(frequency, "s").withColumn("r", F.row_number().over(W.partitionBy("class_id").orderBy("df", "s")))
     # sets of n and m alike by t share ceil(t n) shingles at least, so one stands among the first n - ceil(t n) + 1
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).where("df > 1").select("s", "class_id", "n")
-    a, c = prefix.toDF("s", "a", "na"), prefix.toDF("s", "b", "nb")
-    pairs = a.join(c, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).where("df > 1")
+    # sets that alike have sizes within a factor of t: they fall to one band or to neighbouring ones
+    band = F.floor(F.log("n") / -F.log(F.lit(similarity)) + 1e-9).cast("int")
+    prefix = cut_lineage(prefix.select("s", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), band.alias("band")))
+    other = prefix.select("s", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    pairs = split_join(prefix, other, ["s", "band"], 2_000)
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)  # shared shingles of sets that alike
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    pairs = pairs.where(smaller & (F.col("na") >= similarity * F.col("nb") - 1e-9))
+    # shingles are ranked alike everywhere, so what is left after the first common one bounds the rest
+    first = pairs.groupBy("a", "b").agg(F.min(F.struct("ra", "rb", "na", "nb")).alias("p")).select("a", "b", "p.*")
+    pairs = first.where(1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= least).select("a", "b")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")

@@ -2,7 +2,7 @@
 
 Method: references and the validity intervals of their targets are co-partitioned by key and sorted by time; one linear
 pass over the merged streams (a window with running sums) counts the targets alive at each reference. Keys with more
-references than one task should get are split by a salt, with their (pre-aggregated) intervals copied to each part.
+references than one task should get are split by a salt, with their distinct intervals copied to each part.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS, cut_lineage, small_side
 from ..tables import clean_path, extension, one_per_key
 
 #: A key with more references than this is split into parts of about this size.
@@ -67,8 +68,8 @@ def classify_references(symbols: DataFrame, calls: DataFrame, file_deps: DataFra
     """
     refs = references(symbols, calls, file_deps)
     builtin = builtin_names.where("ext is not null and name is not null").select(F.lit("n").alias("space"), "ext", F.col("name").alias("key")).distinct().withColumn("builtin", F.lit(True))
-    refs = refs.join(F.broadcast(builtin), ["space", "ext", "key"], "left")  # a fixed table of 43 rows
-    hot = F.broadcast(_hot_keys(symbols, calls, file_deps, hot_rows))
+    refs = refs.join(small_side(builtin, BROADCAST_ROWS), ["space", "ext", "key"], "left")  # a fixed table of 43 rows
+    hot = small_side(cut_lineage(_hot_keys(symbols, calls, file_deps, hot_rows)), BROADCAST_ROWS)
     keys = ["repo_id", "space", "key"]
     refs = refs.join(hot, keys, "left").select(*keys, F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("parts")), F.lit(0)).cast("int").alias("part"), "t", F.lit(1).alias("turn"), F.lit(0).alias("change"), F.lit(0).alias("start"), "table_name", "row_id", "ref", "indexed_at", "builtin")
     targets = target_intervals(symbols, files).join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))

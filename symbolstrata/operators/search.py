@@ -6,6 +6,8 @@ have a fixed order with ties by repository, path and ordinal; the others are who
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,37 +17,75 @@ from ..functions.text import name_tokens, sequence_ratio, subsequence_pattern
 # ---- fixed values: synonyms by which a query is widened ----
 SYNONYMS = {
     "auth": ["authentication", "authorize", "login", "signin", "credentials", "session", "token", "jwt"],
+    "authentication": ["auth", "login", "signin", "credentials"],
     "login": ["auth", "signin", "authentication", "credentials"],
     "handler": ["handle", "controller", "action", "endpoint", "route", "api"],
+    "controller": ["handler", "endpoint", "route"],
     "database": ["db", "model", "entity", "schema", "orm", "query", "repository", "store"],
     "model": ["entity", "schema", "database", "db"],
+    "user": ["account", "profile", "member", "customer"],
     "create": ["add", "new", "insert", "post", "register", "save"],
     "delete": ["remove", "destroy", "drop"],
     "update": ["edit", "modify", "patch", "put", "save"],
     "get": ["fetch", "read", "find", "query", "retrieve", "list", "load"],
     "list": ["get", "fetch", "all", "index", "browse"],
+    "component": ["widget", "ui", "view", "page", "screen"],
+    "page": ["screen", "view", "route", "component"],
     "api": ["endpoint", "route", "handler", "rest"],
     "route": ["endpoint", "api", "path", "handler"],
     "test": ["spec", "assert", "expect", "mock"],
     "error": ["exception", "catch", "throw", "fail"],
     "config": ["configuration", "settings", "options", "env"],
+    "nav": ["navigation", "menu", "sidebar", "header"],
+    "button": ["btn", "click", "action"],
+    "submit": ["send", "post", "save", "confirm"],
     "validate": ["check", "verify", "assert", "sanitize"],
     "search": ["find", "query", "filter", "lookup"],
     "file": ["upload", "download", "document", "attachment"],
+    "notification": ["alert", "message", "toast", "notify"],
+    "schedule": ["calendar", "booking", "appointment", "time"],
+    "interview": ["meeting", "call", "session", "conversation"],
+    "candidate": ["applicant", "user", "profile"],
+    "job": ["position", "role", "posting", "vacancy"],
 }
-# ---- fixed values: concepts and the keywords that point to them ----
+# ---- fixed values: concepts and the keywords that point to them in names, docs and paths ----
 CONCEPTS = {
-    "authentication": ["auth", "login", "logout", "signin", "credential", "token", "jwt", "oauth", "session", "password"],
-    "database": ["model", "schema", "migration", "query", "repository", "orm", "entity", "table", "column", "database"],
-    "api": ["route", "endpoint", "controller", "handler", "middleware", "request", "response", "graphql", "grpc"],
-    "file_handling": ["upload", "download", "file", "storage", "blob", "attachment", "media", "image", "asset"],
-    "configuration": ["config", "setting", "environment", "dotenv", "option", "constant", "default"],
-    "error_handling": ["error", "exception", "catch", "throw", "raise", "fault", "retry", "fallback"],
+    "authentication": ["auth", "login", "logout", "signin", "signout", "sign_in", "sign_out", "authenticate", "credential", "token", "jwt", "oauth", "session", "password", "passwd", "verify_token", "refresh_token"],
+    "authorization": ["permission", "role", "rbac", "acl", "authorize", "guard", "policy", "can_access", "is_admin", "has_permission", "access_control"],
+    "database": ["model", "schema", "migration", "query", "repository", "orm", "entity", "table", "column", "database", "db", "mongo", "postgres", "mysql", "sqlite", "prisma", "sequelize", "typeorm", "sqlalchemy", "django_model"],
+    "api": ["route", "endpoint", "controller", "handler", "middleware", "request", "response", "rest", "graphql", "grpc", "api"],
+    "payment": ["payment", "billing", "invoice", "subscription", "charge", "stripe", "paypal", "checkout", "cart", "order", "price", "refund"],
+    "user_management": ["user", "profile", "account", "register", "registration", "signup", "sign_up", "onboarding", "settings", "preferences"],
+    "email": ["email", "mail", "smtp", "notification", "send_email", "mailer", "template_email", "newsletter"],
+    "file_handling": ["upload", "download", "file", "storage", "s3", "blob", "attachment", "media", "image", "asset"],
+    "testing": ["test", "spec", "mock", "fixture", "assert", "expect", "jest", "pytest", "unittest", "cypress", "playwright"],
+    "configuration": ["config", "setting", "env", "environment", "dotenv", "option", "constant", "default"],
+    "error_handling": ["error", "exception", "catch", "throw", "raise", "fault", "retry", "fallback", "handler_error", "error_handler"],
     "logging": ["log", "logger", "logging", "debug", "trace", "audit", "monitor"],
     "caching": ["cache", "redis", "memcache", "memoize", "invalidate", "ttl"],
-    "scheduling": ["cron", "schedule", "job", "queue", "worker", "task", "celery", "background"],
-    "search": ["search", "index", "elasticsearch", "fulltext", "filter", "facet"],
+    "scheduling": ["cron", "schedule", "job", "queue", "worker", "task", "celery", "background", "async_task"],
+    "search": ["search", "index", "elasticsearch", "algolia", "fulltext", "query_search", "filter", "facet"],
+}
+# ---- fixed values: what questions call these concepts ----
+ALIASES = {
+    "authentication": ["how does login work", "how does authentication work", "sign in", "user login", "how do users authenticate", "session management"],
+    "authorization": ["who can access what", "permissions", "roles", "access control"],
+    "database": ["where is data stored", "database", "data model", "how is data structured"],
+    "api": ["api endpoints", "routes", "how does the api work", "rest api"],
+    "payment": ["how do payments work", "billing", "checkout flow", "payment processing"],
+    "user_management": ["user management", "user accounts", "registration", "how do users sign up"],
+    "email": ["email sending", "notifications", "how are emails sent"],
+    "file_handling": ["file uploads", "file storage", "how are files handled"],
+    "testing": ["testing", "how are tests organized", "test suite"],
+    "configuration": ["configuration", "settings", "environment variables", "how is the app configured"],
+    "error_handling": ["error handling", "how are errors handled", "exception handling"],
+    "logging": ["logging", "how is logging done", "monitoring"],
+    "caching": ["caching", "how does caching work", "cache invalidation"],
+    "scheduling": ["background jobs", "scheduling", "task queue", "how are tasks scheduled"],
+    "search": ["search functionality", "how does search work"],
 }
+# ---- fixed values: words of a question that point to nothing ----
+STOP_WORDS = ["how", "does", "work", "the", "in", "what", "is", "a", "an"]
 
 _COLUMNS = ["sym_id", "repo_id", "path", "ordinal", "name", "type", "line", "params", "calls", "class_name", "doc", "framework"]
 
@@ -187,14 +227,19 @@ def anywhere(files: DataFrame, symbols: DataFrame, query: str) -> DataFrame:
     return f.unionByName(s).distinct()
 
 
+def query_words(query: str) -> list[str]:
+    """The distinct words of a question, lower-case, in order."""
+    return sorted({w for w in re.split(r"\W+", query.lower()) if w})
+
+
 def concept_points(query: str) -> dict[str, int]:
-    """What a question's words give each concept: 10 for its name, 8 for any of its keywords, 3 for each shared word."""
+    """What a question's words give each concept: 10 for its name, 8 if an alias holds the question or stands in it, 3 for each word of its name."""
     q = query.lower().strip()
-    words = set(q.replace(",", " ").split())
     out = {}
-    for concept, keywords in CONCEPTS.items():
-        plain = concept.replace("_", " ")
-        out[concept] = 10 * (plain in q) + 8 * any(k in words for k in keywords) + 3 * len(words & {concept})
+    for concept in CONCEPTS:
+        named = 10 * (concept.replace("_", " ") in q)
+        called = 8 * any(alias in q or q in alias for alias in ALIASES[concept])
+        out[concept] = named + called + 3 * len({concept} & set(query_words(q)))
     return out
 
 
@@ -206,8 +251,110 @@ def concepts_of_query(symbols: DataFrame, query: str) -> DataFrame:
     """
     best = concept_index(symbols, 10)
     low = F.lower("name")
-    hits = sum((low.contains(w).cast("int") for w in sorted(set(query.lower().split())) if len(w) > 2), F.lit(0))
+    hits = sum((low.contains(w).cast("int") for w in query_words(query) if len(w) > 2), F.lit(0))
     points = F.lit(0)
     for concept, n in concept_points(query).items():
         points = F.when(F.col("concept") == concept, n).otherwise(points)
     return best.groupBy("repo_id", "concept").agg(F.sum(hits).alias("hits")).select("repo_id", "concept", (F.col("hits") + points).alias("score")).where("score > 0")
+
+
+def concept_files(symbols: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
+    """The best ``k`` files of each repository and concept: repo_id, concept, path, score, rank.
+
+    A file scores 2 for each keyword in its path; where none is, the highest score of its symbols (3 for each keyword in the
+    name, 1 in the doc). Null paths are left out; ties go by path.
+    """
+    low, name, doc = F.lower("path"), F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("doc", F.lit("")))
+    hit = lambda text, w, points: F.when(text.contains(w), points).otherwise(0)
+    scored = lambda points: F.array(*[F.struct(F.lit(c).alias("concept"), sum((points(w) for w in words), F.lit(0)).alias("score")) for c, words in CONCEPTS.items()])
+    named = files.where("path is not null").select("repo_id", "path").unionByName(symbols.where("path is not null").select("repo_id", "path")).distinct()
+    by_path = named.select("repo_id", "path", F.explode(scored(lambda w: hit(low, w, 2))).alias("c")).select("repo_id", "path", "c.concept", F.col("c.score").alias("own"), F.lit(0).alias("best"))
+    s = symbols.where("path is not null").select("repo_id", "path", "name", "doc").distinct()
+    hits = F.filter(scored(lambda w: hit(name, w, 3) + hit(doc, w, 1)), lambda x: x["score"] > 0)
+    by_symbol = s.select("repo_id", "path", F.explode(hits).alias("c")).select("repo_id", "path", "c.concept", F.lit(0).alias("own"), F.col("c.score").alias("best"))
+    both = by_path.where("own > 0").unionByName(by_symbol).groupBy("repo_id", "concept", "path").agg(F.max("own").alias("own"), F.max("best").alias("best"))
+    score = F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("best"))
+    ranked = both.withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy("repo_id", "concept").orderBy(F.desc("score"), "path")))
+    return ranked.where(F.col("rank") <= k).select("repo_id", "concept", "path", "score", "rank")
+
+
+def concept_flows(symbols: DataFrame, edges: DataFrame, k: int = 5, callees: int = 5) -> DataFrame:
+    """For each of the best ``k`` symbols of a repository's concept the first ``callees`` names it calls: repo_id, concept, rank, name, shown (array)."""
+    best = concept_index(symbols, k)
+    ranked = edges.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", "src").orderBy("dst"))).where(F.col("_i") <= callees)
+    shown = ranked.groupBy("repo_id", F.col("src").alias("name")).agg(F.array_sort(F.collect_list("dst")).alias("shown"))
+    return best.join(shown, ["repo_id", "name"]).select("repo_id", "concept", "rank", "name", "shown")
+
+
+def answer_symbols(symbols: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """Names for a question that fits no concept: the first ``k`` (by name) of each repository with one of its words in them.
+
+    Stop words and those of two letters or fewer are left out. Columns repo_id, rank, name, type, path, doc (100 characters);
+    of a name's symbols the first by path and ordinal stands for it.
+    """
+    words = [w for w in query_words(query) if w not in STOP_WORDS and len(w) > 2]
+    any_ = F.lit(False)
+    for w in words:
+        any_ = any_ | F.lower("name").contains(w)
+    found = symbols.where(any_).groupBy("repo_id", "name").agg(F.min(F.struct(F.coalesce("path", F.lit("")).alias("path"), "ordinal", "sym_id", "type", F.left(F.coalesce("doc", F.lit("")), F.lit(100)).alias("doc"))).alias("s"))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy("name")))
+    return ranked.where(F.col("rank") <= k).select("repo_id", "rank", "name", "s.type", "s.path", "s.doc")
+
+
+def explanation_context(symbols: DataFrame, edges: DataFrame, query: str, concepts: int = 3, names: int = 8, shown: int = 4) -> DataFrame:
+    """What a question is answered from: repo_id, concept, place, name, path, callers, callees (arrays).
+
+    The ``concepts`` best concepts of each repository for the question, their ``names`` best symbols (place), each with the
+    first ``shown`` names that call it and that it calls.
+    """
+    fit = concepts_of_query(symbols, query)
+    fit = fit.withColumn("place", F.row_number().over(W.partitionBy("repo_id").orderBy(F.desc("score"), "concept"))).where(F.col("place") <= concepts).select("repo_id", "concept", "place")
+    best = concept_index(symbols, names).join(fit, ["repo_id", "concept"])
+    places = symbols.select("sym_id", F.coalesce("path", F.lit("")).alias("path")).groupBy("sym_id").agg(F.min("path").alias("path"))
+
+    def first(near: str, far: str, column: str) -> DataFrame:
+        ranked = edges.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", near).orderBy(far))).where(F.col("_i") <= shown)
+        return ranked.groupBy("repo_id", F.col(near).alias("name")).agg(F.array_sort(F.collect_list(far)).alias(column))
+
+    out = best.join(places, "sym_id").join(first("dst", "src", "callers"), ["repo_id", "name"], "left").join(first("src", "dst", "callees"), ["repo_id", "name"], "left")
+    none = F.array().cast("array<string>")
+    return out.select("repo_id", "concept", "place", "rank", "sym_id", "name", "path", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+
+def scoped_query(text: str) -> tuple[str | None, str]:
+    """The file and the symbol of a query ``file:symbol``, parted at its first colon; without one the file is None."""
+    path, colon, symbol = text.partition(":")
+    return (path, symbol) if colon else (None, text)
+
+
+def scoped_search(symbols: DataFrame, text: str) -> DataFrame:
+    """Symbols for ``file:symbol``: of files with the first part in their path, those with the second in their name, all where it is empty."""
+    path, name = scoped_query(text)
+    s = one_per_symbol(symbols, ["sym_id", "repo_id", "path", "ordinal", "name", "type", "line"])
+    if path is not None:
+        s = s.where(F.lower("path").contains(path.lower()))
+    return s if name == "" else s.where(F.lower("name").contains(name.lower()))
+
+
+def with_imports(found: DataFrame, imports: DataFrame, query: str) -> DataFrame:
+    """``found`` (repo_id, path, name, type) and a row of type ``import`` for every imported module with ``query`` in it."""
+    rows = imports.where(F.lower("module").contains(query.lower())).select("repo_id", "path", F.col("module").alias("name"), F.lit("import").alias("type")).distinct()
+    return found.select("repo_id", "path", "name", "type").unionByName(rows)
+
+
+def flow_by_file(edges: DataFrame, symbols: DataFrame, query: str, k: int = 5, callees: int = 3) -> DataFrame:
+    """Calling names with a word of ``query`` in them, the first ``k`` of each file: repo_id, path, name, calls (number), shown (array).
+
+    The file is that of the name's first symbol by path and ordinal, ``unknown`` without one.
+    """
+    words = [w for w in query.lower().split() if w]
+    any_ = F.lit(False)
+    for w in words:
+        any_ = any_ | F.lower("src").contains(w)
+    wanted = edges.where(any_)
+    counts = wanted.groupBy("repo_id", F.col("src").alias("name")).agg(F.count("*").alias("calls"))
+    ranked = wanted.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", "src").orderBy("dst"))).where(F.col("_i") <= callees)
+    shown = ranked.groupBy("repo_id", F.col("src").alias("name")).agg(F.array_sort(F.collect_list("dst")).alias("shown"))
+    first = symbols.where("name <> '' and path is not null").groupBy("repo_id", "name").agg(F.min(F.struct("path", "ordinal")).alias("f")).select("repo_id", "name", "f.path")
+    out = counts.join(shown, ["repo_id", "name"]).join(first, ["repo_id", "name"], "left").withColumn("path", F.coalesce("path", F.lit("unknown")))
+    return out.withColumn("_n", F.row_number().over(W.partitionBy("repo_id", "path").orderBy("name"))).where(F.col("_n") <= k).select("repo_id", "path", "name", "calls", "shown")

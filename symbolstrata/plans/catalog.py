@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse_queries, graph_queries, problems, profile_queries, quality_queries, search_queries, source_queries
+from . import browse_queries, graph_queries, problems, profile_queries, quality_queries, question_queries, search_queries, source_queries
 
-_MODULES = (problems, graph_queries, search_queries, profile_queries, quality_queries, source_queries, browse_queries)
+_MODULES = (problems, graph_queries, search_queries, profile_queries, quality_queries, source_queries, browse_queries, question_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import extract, frameworks, quality
@@ -68,9 +69,20 @@ def smells(spark: SparkSession, root: str) -> DataFrame:
 
 
 def line_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Lines and blank lines per file."""
-    n = extract.numbered_lines(_files(spark, root)).distinct()
-    return n.groupBy("repo_id", "path").agg(F.count("*").alias("lines"), F.count_if(F.trim("text") == "").alias("blank"))
+    return extract.line_counts(_files(spark, root))
+
+
+def endpoints(spark: SparkSession, root: str) -> DataFrame:
+    return extract.endpoints(_files(spark, root))
+
+
+def entities(spark: SparkSession, root: str) -> DataFrame:
+    return frameworks.entities(load(spark, root, "symbol_bodies"))
+
+
+def entity_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """Entity classes per repository and kind."""
+    return frameworks.entities(load(spark, root, "symbol_bodies")).select("sym_id", "repo_id", "kind").distinct().groupBy("repo_id", "kind").agg(F.count("*").alias("classes"))
 
 
 def detected_frameworks(spark: SparkSession, root: str) -> DataFrame:
@@ -84,7 +96,40 @@ def unlabelled_symbols(spark: SparkSession, root: str) -> DataFrame:
     return s.join(found, "sym_id", "left").groupBy("repo_id", "framework").agg(F.count("*").alias("symbols"), F.count("rule").alias("by_rule"))
 
 
-QUERIES = (detected_frameworks, unlabelled_symbols, dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
+def external_modules_of_code(spark: SparkSession, root: str) -> DataFrame:
+    """Imported modules of each repository, split into its own (relative ones) and others: repo_id, module, internal, files."""
+    i = extract.imports(_files(spark, root)).select("repo_id", "path", "module").distinct()
+    return i.groupBy("repo_id", "module", F.col("module").startswith(".").alias("internal")).agg(F.count("*").alias("files"))
+
+
+def signatures(spark: SparkSession, root: str) -> DataFrame:
+    """Declarations with parameters, return type, modifiers, decorators and doc; lists joined by a blank."""
+    s = extract.signatures(_files(spark, root))
+    return s.select("repo_id", "path", "line", "type", "name", *[F.array_join(c, " ").alias(c) for c in ("params", "modifiers", "decorators")], "return_type", "doc")
+
+
+def signature_agreement(spark: SparkSession, root: str) -> DataFrame:
+    return extract.signature_agreement(extract.signatures(_files(spark, root)), load(spark, root, "symbols"))
+
+
+def endpoint_summary(spark: SparkSession, root: str) -> DataFrame:
+    return extract.endpoint_summary(_files(spark, root))
+
+
+def most_complex(spark: SparkSession, root: str) -> DataFrame:
+    """The 20 functions with the highest score of at least 20; ties by symbol."""
+    m = quality.source_metrics(load(spark, root, "symbols"), _files(spark, root)).where("score >= 20")
+    return m.orderBy(F.desc("score"), "sym_id").limit(20).select("sym_id", "repo_id", "name", "score", "rating")
+
+
+def dead_code_report(spark: SparkSession, root: str) -> DataFrame:
+    """Dead symbols of each repository: their number and the first 50 by path, line and symbol."""
+    d = dead_code(spark, root)
+    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy("path", "line", "sym_id"))).where("rank <= 50")
+    return ranked.join(d.groupBy("repo_id").agg(F.count("*").alias("all_dead")), "repo_id").select("repo_id", "rank", "sym_id", "name", "path", "all_dead")
+
+
+QUERIES = (external_modules_of_code, signatures, signature_agreement, endpoints, endpoint_summary, entities, entity_kinds, most_complex, dead_code_report, detected_frameworks, unlabelled_symbols, dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
 
 
 def _q(text: str) -> str:
@@ -92,7 +137,13 @@ def _q(text: str) -> str:
 
 
 _L = r"""l AS (SELECT DISTINCT repo_id, path, i AS line, parts[i] AS text FROM (SELECT repo_id, path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT DISTINCT repo_id, path, string_split(replace(replace(content, E'\r\n', E'\n'), E'\r', E'\n'), E'\n') AS parts FROM files WHERE content <> '' AND path IS NOT NULL)))"""
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), {_q(e)}) AND regexp_matches(text, {_q(p)}) THEN {{}}" for _, e, _, p in extract.DECLARATIONS) + " END"
+
+
+def _kind(values: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(path), {_q(e)}) AND regexp_matches(text, {_q(p)}) THEN {v}" for (_, e, _, p), v in zip(extract.DECLARATIONS, values, strict=True)) + " END"
+
+
+_NAME_OF = _kind([f"regexp_extract(text, {_q(p)}, 1)" for _, _, _, p in extract.DECLARATIONS])
 _FROM, _IMPORT, _SCRIPT = r"^\s*from\s+([\w.]+)\s+import\s+(.+)$", r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*$", r"^\s*import\s+(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\})?\s*from\s+[\"']([^\"']+)[\"']"
 
 
@@ -126,9 +177,42 @@ _CODE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(reg
 _FIND = " UNION ALL ".join(f"SELECT repo_id, path, line, {i} AS rule, {_q(c)} AS category, {_q(s)} AS severity, {_q(d)} AS description FROM x WHERE regexp_matches(text, {_q(p)}, 'i')" for i, (c, s, d, p) in enumerate(extract.FINDINGS))
 _FINDINGS = rf"""{_L}, x AS (SELECT * FROM l WHERE NOT regexp_matches(trim(text), '^(#|//|\*)')), h AS ({_FIND}), n AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, line, category ORDER BY rule) AS n FROM h WHERE NOT (category = 'unsafe_code' AND regexp_matches(lower(path), 'test|spec'))),
   g AS (SELECT repo_id, path, line, category, severity, description FROM n WHERE n = 1)"""
-_FW = "CASE " + " ".join("WHEN regexp_matches(lower(path), " + _q(e) + ")" + (f" AND regexp_matches(body, {_q(t)})" if t else "") + (f" AND regexp_matches(name, {_q(n)})" if n else "") + f" THEN '{label}'" for label, e, t, n in frameworks.FRAMEWORK_RULES) + " END"
+def _fits(rule: tuple) -> str:
+    tests = [] if rule[1] is None else [f"NOT regexp_matches(name, {_q(rule[1][1:])})" if rule[1].startswith("!") else f"regexp_matches(name, {_q(rule[1])})"]
+    return " AND ".join(tests + [f"regexp_matches(body, {_q(p)})" for p in frameworks.body_patterns(rule)])
+
+
+_FW = "CASE WHEN body IS NULL THEN NULL " + " ".join(
+    f"WHEN regexp_matches(lower(path), {_q(ext)})" + (f" AND type IN ({', '.join(map(_q, kinds))})" if kinds else "") + " THEN CASE " + " ".join(f"WHEN {_fits(r)} THEN {_q(r[0])}" for r in rules) + " END"
+    for ext, kinds, rules in frameworks.RULES
+) + " END"
 _D = f"fw AS (SELECT DISTINCT sym_id, {_FW} AS framework FROM symbol_bodies), g AS (SELECT * FROM fw WHERE framework IS NOT NULL)"
+_NEXT = r"((contains(replace(path, '\', '/'), '/api/') OR contains('/' || replace(path, '\', '/'), '/app/')) AND contains(path, 'route.'))"
+
+
+def _endpoint(framework: str, ext: str, pattern: str, method: str | int, route: int) -> str:
+    routes_ = f"regexp_extract_all(text, {_q(pattern)}, {route})"
+    methods = f"list_transform({routes_}, lambda x: {_q(method)})" if isinstance(method, str) else f"list_transform(regexp_extract_all(text, {_q(pattern)}, {method}), lambda x: upper(x))"
+    return f"SELECT repo_id, path, line, unnest({methods}) AS method, unnest({routes_}) AS route, '{framework}' AS framework FROM x WHERE regexp_matches(lower(path), {_q(ext)}) AND NOT {_NEXT}"
+
+
+_NAMED = f"list_distinct(regexp_extract_all(upper(regexp_extract(text, {_q(extract._FLASK_METHODS)}, 1)), '(GET|POST|PUT|DELETE|PATCH)', 1))"
+_PAGE = "regexp_extract(replace(path, '\\', '/'), 'pages(/.*?)\\.(?:ts|js|tsx|jsx)', 1)"
+_APP = "regexp_extract(replace(path, '\\', '/'), '(?:src/)?app(/.*)/route\\.(?:ts|js|tsx|jsx)', 1)"
+_ROUTES = f"""{_L}, x AS (SELECT * FROM l WHERE NOT regexp_matches(trim(text), '^(?:#|//)')), ro AS (SELECT DISTINCT repo_id, path, line, CASE method WHEN 'REQUEST' THEN 'GET' ELSE method END AS method, route, framework FROM (
+  {" UNION ALL ".join(_endpoint(*e) for e in extract.ENDPOINTS)}
+  UNION ALL SELECT repo_id, path, line, unnest(CASE WHEN len({_NAMED}) > 0 THEN {_NAMED} ELSE ['GET'] END), regexp_extract(text, {_q(extract._FLASK_ROUTE)}, 1), 'flask' FROM x WHERE ends_with(lower(path), '.py') AND regexp_matches(text, {_q(extract._FLASK_ROUTE)}) AND NOT {_NEXT}
+  UNION ALL SELECT repo_id, path, line, unnest(regexp_extract_all(text, {_q(extract._NEXT_EXPORT)}, 1)), CASE WHEN {_APP} <> '' THEN {_APP} WHEN {_PAGE} = '/index' THEN '/' WHEN {_PAGE} <> '' THEN regexp_replace({_PAGE}, '/index$', '') ELSE replace(path, '\\', '/') END, 'nextjs' FROM x WHERE {_NEXT}))"""
+_ENDPOINTS = f"{_ROUTES}, ep AS (SELECT repo_id, path, method, route, min(line) AS line, arg_min(framework, (line, framework)) AS framework FROM ro GROUP BY 1, 2, 3, 4)"
+_ENTITY = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), {_q(e)}) AND " + (f"regexp_matches(body, {_q(t)})" if t else f"regexp_matches(name, {_q(n)})") + f" THEN '{k}'" for k, e, t, n in frameworks.ENTITY_RULES) + " ELSE 'unknown' END"
+_ENTITIES = f"en AS (SELECT DISTINCT sym_id, repo_id, path, name, {_ENTITY} AS kind FROM symbol_bodies WHERE type = 'class' AND body <> '' AND regexp_matches(lower(path), '\\.(?:js|jsx|ts|tsx|py|java)$'))"
 SQL = {
+    "routes": f"WITH {_ROUTES} SELECT * FROM ro",
+    "endpoints": f"WITH {_ENDPOINTS} SELECT * FROM ep",
+    "endpoint_summary": f"WITH {_ENDPOINTS} SELECT repo_id, count(*) AS endpoints, string_agg(DISTINCT framework, ' ' ORDER BY framework) AS frameworks FROM ep GROUP BY 1",
+    "entity_kinds": f"WITH {_ENTITIES} SELECT repo_id, kind, count(*) AS classes FROM (SELECT DISTINCT sym_id, repo_id, kind FROM en) GROUP BY 1, 2",
+    "external_modules_of_code": f"WITH {_I} SELECT repo_id, module, starts_with(module, '.') AS internal, count(DISTINCT path) AS files FROM i WHERE module IS NOT NULL GROUP BY 1, 2",
+    "most_complex": f"WITH {_M} SELECT sym_id, repo_id, name, score, rating FROM r WHERE score >= 20 ORDER BY score DESC, sym_id LIMIT 20",
     "detected_frameworks": f"WITH {_D} SELECT * FROM g",
     "unlabelled_symbols": f"WITH {_D}, s AS (SELECT DISTINCT sym_id, repo_id, framework FROM symbols) SELECT s.repo_id, s.framework, count(*) AS symbols, count(d.sym_id) AS by_rule FROM s LEFT JOIN (SELECT DISTINCT sym_id FROM g) d ON d.sym_id = s.sym_id GROUP BY 1, 2",
     "dead_code": rf"""WITH {_I}, u AS (SELECT repo_id, split_part(dst, '.', -1) AS name FROM calls WHERE dst <> '' UNION SELECT repo_id, unnest(string_split(imported, ' ')) FROM i WHERE module IS NOT NULL)
@@ -138,11 +222,11 @@ SQL = {
     "exact_duplicates": rf"""WITH b AS (SELECT DISTINCT sym_id, repo_id, path, md5(code) AS fingerprint FROM (SELECT sym_id, repo_id, path, {_CODE} AS code FROM symbol_bodies WHERE type IN ('function', 'method')) WHERE length(code) >= 80)
       SELECT fingerprint, count(DISTINCT sym_id) AS members, count(DISTINCT (repo_id, path)) AS files, count(DISTINCT repo_id) AS repositories FROM b GROUP BY 1 HAVING count(DISTINCT sym_id) > 1""",
     "doc_coverage": r"""WITH s AS (SELECT DISTINCT sym_id, repo_id, regexp_extract(path, '(\.[^./\\]+)$', 1) AS ext, coalesce(trim(doc), '') <> '' AS has FROM symbols) SELECT repo_id, ext, count(*) AS symbols, count(*) FILTER (has) AS documented, round(count(*) FILTER (has) * 100.0 / count(*), 1) AS percent FROM s GROUP BY 1, 2""",
-    "declarations": f"WITH {_L} SELECT DISTINCT repo_id, path, line, " + _KIND.format(*[_q(t) for _, _, t, _ in extract.DECLARATIONS]) + " AS type, " + _KIND.format(*[f"regexp_extract(text, {_q(p)}, 1)" for _, _, _, p in extract.DECLARATIONS]) + " AS name FROM l WHERE " + _KIND.format(*["1"] * len(extract.DECLARATIONS)) + " = 1",
+    "declarations": f"WITH {_L}, d AS (SELECT DISTINCT repo_id, path, line, {_kind([_q(t) for _, _, t, _ in extract.DECLARATIONS])} AS type, {_NAME_OF} AS name FROM l) SELECT * FROM d WHERE type IS NOT NULL AND NOT list_contains({extract.NOT_NAMES}, name)",
     "imports": f"WITH {_I} SELECT repo_id, path, line, module, imported FROM i WHERE module IS NOT NULL",
     "called_names": r"SELECT DISTINCT sym_id, callee FROM (SELECT sym_id, name, unnest(regexp_extract_all(body, '(\w+)\s*\(', 1)) AS callee FROM symbol_bodies WHERE body <> '') WHERE callee <> coalesce(name, '')",
     "findings": f"WITH {_FINDINGS} SELECT * FROM g",
     "findings_summary": f"WITH {_FINDINGS} SELECT category, severity, count(*) AS n, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS rank FROM g GROUP BY 1, 2",
-    "smells": " UNION ALL ".join(f"SELECT DISTINCT repo_id, path, {_q(n)} AS smell, {_q(s)} AS severity, len(regexp_extract_all(content, {_q(p)})) AS hits FROM files WHERE content <> '' AND path IS NOT NULL AND regexp_matches(content, {_q(p)})" for n, s, p in extract.SMELLS),
-    "line_counts": f"WITH {_L} SELECT repo_id, path, count(*) AS lines, count(*) FILTER (trim(text) = '') AS blank FROM l GROUP BY 1, 2",
+    "smells": r"WITH t AS (SELECT DISTINCT repo_id, path, replace(replace(content, E'\r\n', E'\n'), E'\r', E'\n') AS text FROM files WHERE content <> '' AND path IS NOT NULL) " + " UNION ALL ".join(f"SELECT DISTINCT repo_id, path, {_q(n)} AS smell, {_q(s)} AS severity, len(regexp_extract_all(text, {_q('(?im)' + p)})) AS hits FROM t WHERE regexp_matches(text, {_q('(?im)' + p)})" for n, s, p in extract.SMELLS),
+    "line_counts": r"""SELECT DISTINCT repo_id, path, len(string_split(t, E'\n')) AS lines, len(list_filter(string_split(t, E'\n'), lambda x: trim(x) = '')) AS blank FROM (SELECT repo_id, path, replace(replace(content, E'\r\n', E'\n'), E'\r', E'\n') AS t FROM files WHERE content <> '' AND path IS NOT NULL)""",
 }

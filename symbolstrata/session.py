@@ -26,16 +26,25 @@ def local_session(cores: str = "8", app: str = "symbolstrata", **conf: str) -> S
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession, use: str) -> str:
+    """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is made. Checkpoint files outlive the executors that wrote them.
+    Only a local session without one (tests) gets a temporary folder; on a cluster that would break, so it raises.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"spark-{use}-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and read it from there; the files outlive the executors that wrote them."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
@@ -47,6 +56,24 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: Rows of one key that a task of a split join gets at most, about; narrow sides of up to BROADCAST_ROWS rows are broadcast.
+SPLIT_ROWS, BROADCAST_ROWS = 20_000, 2_000_000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Inner join whose hot keys don't meet in one task: keys with more than ``split_rows`` rows on the right are parted there
+    by a hash of the row, and the left rows go to each part. The keys' rows are counted first, pre-aggregated."""
+    hot = right.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > split_rows)
+    hot = cut_lineage(hot.select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return left.join(right, keys)
+    hot = small_side(hot, BROADCAST_ROWS)
+    parts = F.coalesce("_parts", F.lit(1))
+    parted = right.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*right.columns), parts).cast("int")).drop("_parts")
+    copied = left.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return copied.join(parted, [*keys, "_part"]).drop("_part")
+
+
 _shipped: dict[str, str] = {}
 
 

@@ -68,3 +68,18 @@ def dependency_warnings(dependencies: DataFrame) -> DataFrame:
     loose = v.isin("*", "latest", "")
     plain = v.rlike(r"^(http:|git:|git\+)")
     return dependencies.where(loose | plain).select("repo_id", "path", "name", F.when(plain, "high").otherwise("medium").alias("severity"), F.when(plain, "comes from an address").otherwise("no fixed version").alias("message"))
+
+
+def project_warnings(files: DataFrame) -> DataFrame:
+    """What a repository's top files leave open: repo_id, package, severity, message.
+
+    A ``.env`` that no ``.gitignore`` names is high, a ``package.json`` without a lock file medium.
+    """
+    is_ = lambda p: F.col("path") == p
+    has = lambda p: F.coalesce(F.max(is_(p)), F.lit(False))
+    top = files.where("path in ('.env', '.gitignore', 'package.json', 'package-lock.json', 'yarn.lock')").groupBy("repo_id").agg(
+        has(".env").alias("env"), has("package.json").alias("package"), (has("package-lock.json") | has("yarn.lock")).alias("locked"), has(".gitignore").alias("ignores"), F.coalesce(F.max(is_(".gitignore") & F.col("content").contains(".env")), F.lit(False)).alias("hidden")
+    )
+    env = F.when(F.col("env") & ~F.col("hidden"), F.struct(F.lit(".env").alias("package"), F.lit("high").alias("severity"), F.when(F.col("ignores"), ".env is not in .gitignore").otherwise(".env without a .gitignore").alias("message")))
+    lock = F.when(F.col("package") & ~F.col("locked"), F.struct(F.lit("lockfile").alias("package"), F.lit("medium").alias("severity"), F.lit("no lock file").alias("message")))
+    return top.select("repo_id", F.explode(F.array_compact(F.array(env, lock))).alias("w")).select("repo_id", "w.*")

@@ -8,25 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the session's checkpoint folder, which all executors share."""
-    import tempfile
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def ingest(spark: SparkSession, source: str, schema: StructType, keys: list[str], columns: list[str]) -> DataFrame:
+def ingest(spark: SparkSession, source: str, schema: StructType, keys: list[str], columns: list[str], at: str = "loaded_at", late: str = "30 days") -> DataFrame:
     """All deliveries below ``source`` read as a stream until none is left, one row per key, written and read again.
 
-    The state holds one entry per key. Nulls in keys make keys of their own.
+    The state holds the keys of the last ``late`` of event time (``at``), so it doesn't grow with the stream; a key that comes
+    again after that is written once more and made one where the rows are read. Nulls in keys make keys of their own; rows
+    with a null ``at`` are taken as of 1970.
     """
-    folder = shared_folder(spark)
-    stream = spark.readStream.schema(schema).parquet(source).select(*columns).dropDuplicates(keys)
+    folder = f"{shared_folder(spark, 'stream').rstrip('/')}/{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).parquet(source).withColumn("_at", F.coalesce(at, F.lit("1970-01-01")).cast("timestamp"))
+    stream = rows.withWatermark("_at", late).dropDuplicatesWithinWatermark(keys).select(*columns)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
-    return spark.read.schema(StructType([f for f in schema if f.name in columns])).parquet(f"{folder}/rows")
+    return spark.read.schema(StructType([f for f in schema if f.name in columns])).parquet(f"{folder}/rows").dropDuplicates(keys)
 
 
 def coalesced(events: DataFrame, window: str = "1 second", late: str = "10 minutes") -> DataFrame:
