@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, small_side, split_join
 
 #: Least length of a shared span, in characters.
 SPAN = 200
@@ -27,6 +27,8 @@ SPAN = 200
 GRAM = 100
 #: A shard with more distinct stretches than this is not put into one task; its spans are matched by hash instead.
 SHARD_STRETCHES = 2_000
+#: Members of a class that a task of the expansion into pairs gets on one side at most.
+CLASS_PART = 1_000
 #: Sides up to this many narrow rows (16 to 24 bytes each) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -314,11 +316,14 @@ def shared_spans(records: DataFrame, span: int = SPAN, gram: int = GRAM, shard_s
     repeated rows change nothing; empty input gives an empty result. The result is checkpointed.
     """
     cut = records.select("kind", "id", "file", "text").where(F.length("text") >= span)
-    found = cut.mapInPandas(_anchor_rows(span, gram), "anchor long, kind int, id long, file long, pos int, stretch long, size int")
+    found = cut_lineage(cut.mapInPandas(_anchor_rows(span, gram), "anchor long, kind int, id long, file long, pos int, stretch long, size int"))
     shared = found.groupBy("anchor").agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a <> b").select("anchor")
     hits = cut_lineage(found.join(small_side(cut_lineage(shared), broadcast_rows), "anchor").distinct())
     stretches = hits.groupBy("anchor", "stretch").agg(F.min(F.struct("kind", "id", "pos", "size")).alias("r"), F.min("file").alias("a"), F.max("file").alias("b"))
-    stretches = stretches.select("anchor", "stretch", "r.*", "a", "b", F.count("*").over(W.partitionBy("anchor")).alias("shard"))
+    stretches = cut_lineage(stretches.select("anchor", "stretch", "r.*", "a", "b"))
+    # counted before the join, so the stretches of a hot anchor (what follows one licence header) don't meet in a task
+    shards = stretches.groupBy("anchor").agg(F.count("*").alias("shard"))
+    stretches = split_join(shards, stretches, ["anchor"])
     # a stretch alone in its shard needs no text: its records are copies of each other there
     alone = stretches.where(f"shard = 1 and size >= {span} and a <> b").select("anchor", "stretch", F.xxhash64("anchor", "stretch").alias("class"), F.lit(0).alias("start"), F.col("size").alias("stop"))
     wanted = cut_lineage(stretches.where("shard > 1").select("anchor", "stretch", "kind", "id", "pos", "shard"))
@@ -337,7 +342,7 @@ def shared_spans(records: DataFrame, span: int = SPAN, gram: int = GRAM, shard_s
 def linked_pairs(spans: DataFrame) -> DataFrame:
     """Pairs (kind, id_a, id_b) with id_a < id_b of records from different files that share a span, from shared_spans().
 
-    Classes with the same members are expanded once. The result has a row for every pair, as asked of p2_found; in a
+    Classes with the same members are expanded once, large ones by parts in many tasks. The result has a row for every pair, as asked of p2_found; in a
     group of copies these are many by nature, and only this last step grows so.
     """
     members = cut_lineage(spans.select("class", "kind", "id", "file").distinct())
@@ -347,7 +352,7 @@ def linked_pairs(spans: DataFrame) -> DataFrame:
     kept = members.join(once, "class", "left_semi")
     a = kept.select("class", "kind", F.col("id").alias("id_a"), F.col("file").alias("file_a"))
     b = kept.select("class", F.col("id").alias("id_b"), F.col("file").alias("file_b"))
-    return a.join(b, "class").where("id_a < id_b and file_a <> file_b").select("kind", "id_a", "id_b").distinct()
+    return split_join(a, b, ["class"], CLASS_PART).where("id_a < id_b and file_a <> file_b").select("kind", "id_a", "id_b").distinct()
 
 
 def shared_characters(spans: DataFrame) -> DataFrame:
