@@ -70,6 +70,11 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(load(spark, root, "documents"), load(spark, root, "mix_targets"))[1]
 
 
+def p7_shares_all(spark: SparkSession, root: str) -> DataFrame:
+    """The shares of a mix as large as all documents of listed sources: short ones are used up to their cap."""
+    return mixing.mix(load(spark, root, "documents"), load(spark, root, "mix_targets"), "all")[1]
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.cut_documents(load(spark, root, "documents")).select("doc_id")
 
@@ -79,7 +84,7 @@ def p8_sources(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared_chars, p3_found, p3_pairs, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_sources)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared_chars, p3_found, p3_pairs, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_all, p8_found, p8_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

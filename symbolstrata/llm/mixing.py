@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import BROADCAST_ROWS, cut_lineage, small_side
 from .sizes import VOCABULARY, with_tokens
 from .truncation import source_name
 
@@ -64,18 +64,20 @@ def _level(seed: int, last: bool):
 def targets_and_supply(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: target_share, max_repeats, its documents and tokens (0 if it has none)."""
     t = targets.where("target_share > 0 and max_repeats > 0").groupBy(source_name().alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
-    supply = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
-    return t.join(F.broadcast(supply), "source", "left").fillna(0, ["documents", "tokens"])  # a row for each source name
+    # only listed sources are counted: a row at most for each row of the targets
+    supply = sized.join(small_side(t.select("source"), BROADCAST_ROWS), "source", "left_semi").groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+    return t.join(supply, "source", "left").fillna(0, ["documents", "tokens", "longest"])
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, seed: int = 7, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, vocabulary: str = VOCABULARY, seed: int = 7, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """(copies, report): how often each document is used, and the shares reached beside the targets.
 
     copies has doc_id, source, tokens, copies (1 .. max_repeats). report has a row for each listed source: source,
-    target_share, max_repeats, documents, tokens, mixed_documents, mixed_tokens, actual_share, most_copies, met (whether
-    the share of ``total_tokens`` could be supplied). ``total_tokens`` is the size of the mix; by default the largest
-    with which every listed source that has documents reaches its share. A larger one uses short sources up to their
-    cap and reports the shares that this leaves. Texts without a listed source and blank ones are not used. Sources
+    target_share, max_repeats, documents, tokens, goal_tokens (the share of ``total_tokens``), mixed_documents,
+    mixed_tokens, actual_share (of all mixed tokens), most_copies, met (whether actual_share is the target, but for the
+    length of one document). A source that is short or missing makes the shares of the others larger, so those aren't met either. ``total_tokens`` is the size of the mix; by default the largest
+    with which every listed source that has documents reaches its share, ``"all"`` is the tokens of all documents of
+    listed sources. A larger one uses short sources up to their cap and reports the shares that this leaves. Texts without a listed source and blank ones are not used. Sources
     are told apart without case and blanks. Empty tables give an empty mix.
     """
     own = documents.select("doc_id", source_name().alias("source"), "text")
@@ -83,10 +85,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     plan = cut_lineage(targets_and_supply(sized, targets))
     if total_tokens is None:
         total_tokens = plan.where("tokens > 0").agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).first()[0] or 0
+    elif total_tokens == "all":
+        total_tokens = plan.agg(F.sum("tokens")).first()[0] or 0
     goal = F.least(F.col("target_share") * F.lit(float(total_tokens)), (F.col("max_repeats") * F.col("tokens")).cast("double"))
     plan = plan.withColumn("goal", goal)
     rates = plan.where("tokens > 0").select("source", (F.col("goal") / F.col("tokens")).alias("rate"))
-    each = sized.join(F.broadcast(rates), "source")  # a row for each listed source
+    each = sized.join(small_side(rates, BROADCAST_ROWS), "source")  # a row for each listed source
     each = each.withColumn("sure", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("share", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
     count = max(1, sized.count())
     level = each.where("share > 1e-9").select("doc_id", "source", "tokens", "share")
@@ -105,7 +109,11 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     sure = each.where("sure > 0").select("doc_id", "source", "tokens", F.col("sure").alias("copies"))
     copies = sure.unionByName(whole.withColumn("copies", F.lit(1))).groupBy("doc_id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies"))
     used = copies.groupBy("source").agg(F.count("*").alias("mixed_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
-    report = plan.join(F.broadcast(used), "source", "left").fillna(0, ["mixed_documents", "mixed_tokens", "most_copies"])
+    report = plan.join(used, "source", "left").fillna(0, ["mixed_documents", "mixed_tokens", "most_copies"])
     report = report.withColumn("all", F.sum("mixed_tokens").over(W.partitionBy()))  # a row for each listed source
-    report = report.select("source", "target_share", "max_repeats", "documents", "tokens", "mixed_documents", "mixed_tokens", F.round(F.col("mixed_tokens") / F.col("all"), 6).alias("actual_share"), "most_copies", ((F.col("tokens") > 0) & (F.col("goal") >= 0.999999 * F.col("target_share") * float(total_tokens))).alias("met"))
+    share = F.col("mixed_tokens") / F.col("all")
+    met = (F.col("mixed_tokens") > 0) & (F.abs(share - F.col("target_share")) <= F.col("longest") / F.col("all"))
+    report = report.select(
+        "source", "target_share", "max_repeats", "documents", "tokens", F.round(F.col("target_share") * F.lit(float(total_tokens))).cast("long").alias("goal_tokens"), "mixed_documents", "mixed_tokens", F.round(share, 6).alias("actual_share"), "most_copies", F.coalesce(met, F.lit(False)).alias("met")
+    )
     return copies, report
