@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .sizes import VOCABULARY, with_tokens
 
+#: Sequences that couldn't be emptied after which no more are tried; it costs fill, never an item.
+MISSES = 20
 #: Documents per block (a task packs one block at a time) and the cost's two weights.
 BLOCK_DOCUMENTS, LINEAR, QUADRATIC = 4_000, 1.0, 1.0 / 2048
 
@@ -56,7 +58,7 @@ def _dissolve(sizes: np.ndarray, where: np.ndarray, room: np.ndarray, capacity:
         held.setdefault(j, []).append(i)
     misses = 0
     for j in sorted(held, key=lambda j: (-room[j], j)):
-        if misses >= 20 or capacity - room[j] > int(room.sum() - room[j]):
+        if misses >= MISSES or capacity - room[j] > int(room.sum() - room[j]):
             break
         trial, moves = room.copy(), []
         trial[j] = -1
@@ -115,8 +117,9 @@ def containers(documents: DataFrame, budgets: DataFrame, vocabulary: str = VOCAB
 
 
 def fill_report(assigned: DataFrame) -> DataFrame:
-    """Per budget: containers, tokens, share of the capacity used, and the spread of the containers' costs (max / mean)."""
+    """Per budget: containers, the fewest that any packing could need, tokens, share of the capacity used, and the spread of the containers' costs (max / mean)."""
     each = assigned.groupBy("budget_name", "capacity_tokens", "container_id").agg(F.sum("piece_tokens").alias("used"), F.sum(LINEAR * F.col("piece_tokens") + QUADRATIC * F.col("piece_tokens") * F.col("piece_tokens")).alias("cost"))
+    least = F.ceil(F.sum("used") / F.first("capacity_tokens"))  # no packing needs fewer
     return each.groupBy("budget_name", "capacity_tokens").agg(
-        F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / (F.count("*") * F.first("capacity_tokens")), 6).alias("fill"), F.round(F.max("cost") / F.avg("cost"), 4).alias("cost_spread")
+        F.count("*").alias("containers"), least.alias("least_containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / (F.count("*") * F.first("capacity_tokens")), 6).alias("fill"), F.round(F.max("cost") / F.avg("cost"), 4).alias("cost_spread")
     )
