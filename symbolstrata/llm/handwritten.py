@@ -162,41 +162,42 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ext = [p[p.rfind(".") :].lower() if p and "." in p else "" for p in batch["path"]]
         parts = [parted(content, e) for content, e in zip(batch["content"], ext, strict=True)]
         rows = []
-        for file, (text, code, comments), stream in zip(batch["content_id"].tolist(), parts, tokens.of([code for _, code, _ in parts]), strict=True):
+        for repo, path, file, (text, code, comments), stream in zip(batch["repo_id"], batch["path"], batch["content_id"].tolist(), parts, tokens.of([code for _, code, _ in parts]), strict=True):
             words = stream[0]
-            rows.append((file, own_sign(text, code, comments, stream), any(_COPIED.search(c) for line, c in comments if line < 3), fingerprints(words[words > 0])))
-        yield pd.DataFrame(rows, columns=["content_id", "sign", "says_copied", "prints"])
+            rows.append((repo, path, file, own_sign(text, code, comments, stream), any(_COPIED.search(c) for line, c in comments if line < 3), fingerprints(words[words > 0])))
+        yield pd.DataFrame(rows, columns=["repo_id", "path", "content_id", "sign", "says_copied", "prints"])
+
+
+def _marked(files: DataFrame, similarity: float, repositories: int) -> DataFrame:
+    """repo_id, path, kind of the files with a finding."""
+    ext = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"(\.[^.]*)$", 1))
+    seen = files.select("repo_id", "path", F.xxhash64("content", ext).alias("content_id"), "content").where("content <> ''")
+    told = cut_lineage(seen.mapInPandas(_features, "repo_id string, path string, content_id long, sign string, says_copied boolean, prints array<long>"))
+    prints = told.select("content_id", F.xxhash64("repo_id").alias("repo"), F.explode("prints").alias("print"))
+    spread = prints.groupBy("print").agg(F.count_distinct("repo").alias("n")).where("n >= 2")
+    spread = small_side(cut_lineage(spread), BROADCAST_ROWS)
+    # every file with a content adds all its prints, so the shares are those of the content
+    known = prints.select("content_id", "print").join(spread, "print", "left").groupBy("content_id").agg((F.count_if(F.col("n") >= repositories) / F.count("*")).alias("wide"), (F.count("n") / F.count("*")).alias("twice"))
+    known = known.where(F.col("twice") >= similarity)
+    copied = (F.col("wide") >= similarity) | (F.col("says_copied") & (F.col("twice") >= similarity))
+    kind = F.when((F.size("prints") >= LEAST_PRINTS) & copied, "vendored").when(F.col("sign") != "", F.col("sign"))
+    marked = told.join(known, "content_id", "left").select("repo_id", "path", kind.alias("kind")).where("kind is not null")
+    return marked.groupBy("repo_id", "path").agg(F.max("kind").alias("kind"))
 
 
 def judge_files(files: DataFrame, similarity: float = SIMILARITY, repositories: int = REPOSITORIES) -> DataFrame:
     """Every file with its finding: repo_id, path, kind.
 
     kind is ``vendored`` (at least ``similarity`` of its fingerprints occur in ``repositories`` or more repositories, or in
-    two and the file says where it comes from), ``generated``, ``minified``, ``data`` or null for hand-written files. A content is
-    read once, however many files hold it. Repeated deliveries of (repo_id, path) are one file. Files with null or
-    empty content, or null keys, are hand-written until known better, and so are those with fewer than ``LEAST_PRINTS``
-    fingerprints unless their shape tells more; an empty table gives an empty result. Names of folders and files are no evidence.
+    two and the file says where it comes from), ``generated``, ``minified``, ``data`` or null for hand-written files.
+    Repeated deliveries of (repo_id, path) are one file. Files with null or empty content, or null keys, are hand-written
+    until known better, and so are those with fewer than ``LEAST_PRINTS`` fingerprints unless their shape tells more; an
+    empty table gives an empty result. Names of folders and files are no evidence.
     """
-    ext = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"(\.[^.]*)$", 1))
-    seen = files.select("repo_id", "path", "content").where("content <> ''").withColumn("content_id", F.xxhash64("content", ext))
-    holders = cut_lineage(seen.select("repo_id", "path", "content_id").distinct())
-    once = seen.groupBy("content_id").agg(F.first("content").alias("content"), F.min("path").alias("path"))
-    told = cut_lineage(once.mapInPandas(_features, "content_id long, sign string, says_copied boolean, prints array<long>"))
-    # per content the repositories that hold it, then per fingerprint those of its contents: hot contents and prints shrink first
-    repos = holders.select("content_id", F.xxhash64("repo_id").alias("repo")).distinct()
-    prints = told.select("content_id", F.explode("prints").alias("print"))
-    spread = prints.join(repos, "content_id").select("print", "repo").distinct().groupBy("print").agg(F.count("*").alias("n")).where("n >= 2")
-    spread = small_side(cut_lineage(spread), BROADCAST_ROWS)
-    known = prints.join(spread, "print").groupBy("content_id").agg(F.count_if(F.col("n") >= repositories).alias("wide"), F.count("*").alias("twice"))
-    all_ = F.size("prints")
-    copied = (F.col("wide") >= similarity * all_) | (F.col("says_copied") & (F.col("twice") >= similarity * all_))
-    kind = F.when((all_ >= LEAST_PRINTS) & copied, "vendored").when(F.col("sign") != "", F.col("sign"))
-    judged = told.join(known, "content_id", "left").select("content_id", kind.alias("kind")).where("kind is not null")
-    marked = holders.join(judged, "content_id").groupBy("repo_id", "path").agg(F.max("kind").alias("kind"))
-    every = files.select("repo_id", "path").distinct()
+    marked, every = _marked(files, similarity, repositories), files.select("repo_id", "path").distinct()
     return every.join(marked, every["repo_id"].eqNullSafe(marked["repo_id"]) & every["path"].eqNullSafe(marked["path"]), "left").select(every["repo_id"], every["path"], "kind")
 
 
-def not_handwritten(files: DataFrame, **parameters) -> DataFrame:
+def not_handwritten(files: DataFrame, similarity: float = SIMILARITY, repositories: int = REPOSITORIES) -> DataFrame:
     """Files not written by hand: repo_id, path; see judge_files()."""
-    return judge_files(files, **parameters).where("kind is not null").select("repo_id", "path")
+    return _marked(files, similarity, repositories).select("repo_id", "path")
