@@ -47,7 +47,7 @@ def parse_hunks(diffs: DataFrame) -> DataFrame:
           named_struct('path', cast(null as string), 'out', cast(array() as array<struct<path: string, start: int, count: int>>)),
           (a, x) -> if(startswith(x, '+++ '),
             named_struct('path', regexp_extract(x, '^[+][+][+] (?:b/)?([^\\t]+)', 1), 'out', a.out),
-            named_struct('path', a.path, 'out', if(x rlike '{head}' and a.path <> '/dev/null',
+            named_struct('path', a.path, 'out', if(x rlike '{head}' and not (a.path <=> '/dev/null'),
               concat(a.out, array(named_struct('path', a.path, 'start', cast(regexp_extract(x, '{head}', 1) as int), 'count', if(regexp_extract(x, '{head}', 2) = '', 1, cast(nullif(regexp_extract(x, '{head}', 2), '') as int))))), a.out))),
           a -> a.out)""")
     return diffs.where("diff <> ''").select("repo_id", F.explode(folded).alias("h")).select("repo_id", "h.path", "h.start", (F.col("h.start") + F.col("h.count")).alias("end")).distinct()

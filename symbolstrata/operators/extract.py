@@ -132,19 +132,39 @@ def declarations(files: DataFrame) -> DataFrame:
     return likely.select("repo_id", "path", "line", kind.alias("type"), name.alias("name")).where("type is not null").where(~F.col("name").isin(NOT_NAMES)).distinct()
 
 
+#: Import lines: Python ``from`` and ``import``; scripts and Dart (default, namespace, named, module).
+FROM, IMPORT = r"^\s*from\s+([\w.]+)\s+import\s+(.+)$", r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*$"
+SCRIPT = r"^\s*import\s+(?:type\s+)?(?:(\w+)\s*,?\s*)?(?:\*\s+as\s+(\w+)\s*)?(?:\{([^}]*)\})?\s*(?:from\s+)?[\"']([^\"']+)[\"']"
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """repo_id, path, line, module, imported (names joined by a blank) of Python and script import lines."""
+    """repo_id, path, line, module, imported (names joined by a blank) of Python, script and Dart import lines.
+
+    An import for its side effects alone brings no names; a namespace brings its own.
+    """
     text = F.regexp_replace("text", r"\s+#.*$", "")
-    rows = numbered_lines(files).where(F.col("text").rlike(r"^\s*(?:import|from)\b")).withColumn("text", text)
-    frm, imp = r"^\s*from\s+([\w.]+)\s+import\s+(.+)$", r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*$"
-    script = r"^\s*import\s+(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\})?\s*from\s+[\"']([^\"']+)[\"']"
+    rows = numbered_lines(unique_contents(files)).where(F.col("text").rlike(r"^\s*(?:import|from)\b")).withColumn("text", text)
     names = lambda c: F.array_join(F.filter(F.transform(F.split(F.translate(c, "()", ""), ","), lambda p: F.trim(F.regexp_replace(p, r"\s+as\s+\w+", ""))), lambda p: p != ""), " ")
     python = F.lower("path").endswith(".py")
-    module = F.when(python & F.col("text").rlike(frm), F.regexp_extract("text", frm, 1)).when(python & F.col("text").rlike(imp), F.regexp_extract("text", imp, 1)).when(~python & F.col("text").rlike(script), F.regexp_extract("text", script, 3))
-    found = F.when(python & F.col("text").rlike(frm), names(F.regexp_extract("text", frm, 2))).when(python, F.element_at(F.split(F.regexp_extract("text", imp, 1), r"\."), -1)).otherwise(names(F.concat_ws(",", F.regexp_extract("text", script, 1), F.regexp_extract("text", script, 2))))
+    part = lambda pattern, group: F.regexp_extract("text", pattern, group)
+    module = F.when(python & F.col("text").rlike(FROM), part(FROM, 1)).when(python & F.col("text").rlike(IMPORT), part(IMPORT, 1)).when(~python & F.col("text").rlike(SCRIPT), part(SCRIPT, 4))
+    found = F.when(python & F.col("text").rlike(FROM), names(part(FROM, 2))).when(python, F.element_at(F.split(part(IMPORT, 1), r"\."), -1)).otherwise(names(F.concat_ws(",", part(SCRIPT, 1), part(SCRIPT, 2), part(SCRIPT, 3))))
     return rows.select("repo_id", "path", "line", module.alias("module"), found.alias("imported")).where("module is not null").distinct()
 
 
+# ---- fixed values: starts of lines by which a package's sources declare a public name ----
+PACKAGED = [("function", r"^(?:def|function)\s+([A-Za-z]\w*)"), ("class", r"^class\s+([A-Za-z]\w*)"), ("variable", r"^const\s+([A-Za-z]\w*)\s*=")]
+
+
+def package_symbols(files: DataFrame) -> DataFrame:
+    """Public names that lines of an installed package's sources declare without indentation: repo_id, path, line, type, name; private ones (``_``) are left out."""
+    kind, name = F.when(F.lit(False), F.lit(None).cast("string")), F.when(F.lit(False), F.lit(None).cast("string"))
+    for what, pattern in PACKAGED:
+        kind, name = kind.when(F.col("text").rlike(pattern), what), name.when(F.col("text").rlike(pattern), F.regexp_extract("text", pattern, 1))
+    rows = numbered_lines(unique_contents(files)).where(F.col("text").rlike(r"^(?:def|function|class|const)\s"))
+    return rows.select("repo_id", "path", "line", kind.alias("type"), name.alias("name")).where("type is not null").distinct()
+
+
 # ---- fixed values: what a script line exports, in order; the first rule that fits decides ----
 EXPORTS = [
     ("function", r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"),

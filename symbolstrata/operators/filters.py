@@ -35,8 +35,8 @@ def ignored_by_default(path: Column) -> Column:
     return F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, IGNORED_FOLDERS))) | ends
 
 
-#: Repositories whose patterns are broadcast at most.
-BROADCAST_ROWS = 100_000
+#: Repositories whose patterns are broadcast at most; ignore rules likewise.
+BROADCAST_ROWS, RULE_ROWS = 100_000, 500_000
 
 
 def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -75,7 +75,8 @@ def gitignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     rx = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(rx, r"\*\*/", "\u0001"), r"\*\*", "\u0002"), r"\*", "[^/]*"), r"\?", "[^/]"), "\u0001", "(?:.*/)?")
     rx = F.regexp_replace(rx, "\u0002", ".*")
     rx = F.concat(F.when(top, "^").otherwise("(?:^|/)"), rx, F.when(body.endswith("/"), "/").otherwise("(?:/|$)"))
-    ruled = paths.join(r.select("repo_id", "ordinal", "keep", rx.alias("rx")), "repo_id").where(F.expr("path rlike rx"))
+    # up to RULE_ROWS rules go to the paths, so a large repository isn't one task
+    ruled = paths.join(small_side(r.select("repo_id", "ordinal", "keep", rx.alias("rx")), RULE_ROWS), "repo_id").where(F.expr("path rlike rx"))
     last = ruled.groupBy("repo_id", "path").agg(F.max_by("keep", "ordinal").alias("keep"))
     return last.where(~F.col("keep")).select("repo_id", "path")
 

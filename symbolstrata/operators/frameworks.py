@@ -144,10 +144,10 @@ ENTITY_RULES = [
     ("sequelize", _JS, "(?i)sequelize", None),
     ("sequelize", _JS, None, "Model"),
     ("prisma", _JS, "(?i)prisma|@Model", None),
-    ("sqlmodel", _PY, "SQLModel|Base", None),
+    ("sqlmodel", _PY, "SQLModel|\\bBase\\b", None),
     ("sqlalchemy", _PY, "Flask|SQLAlchemy", None),
     ("django", _PY, "Django|models\\.Model", None),
-    ("pydantic", _PY, "Pydantic", None),
+    ("pydantic", _PY, "[Pp]ydantic|BaseModel", None),
     ("jpa", _JAVA, "@Entity|@Table", None),
 ]
 
@@ -189,14 +189,14 @@ def detected_frameworks(bodies: DataFrame) -> DataFrame:
 def entities(bodies: DataFrame) -> DataFrame:
     """Classes as stored records: sym_id, repo_id, path, name, kind (``unknown`` without a sign of a library), fields (names joined by a blank).
 
-    Fields are the names that the class body assigns or declares with a type.
+    Fields are the names that the class body itself (indented once) assigns or declares with a type.
     """
     kind = F.when(F.lit(False), F.lit(None).cast("string"))
     for label, ext, text, named in ENTITY_RULES:
         test = F.lower("path").rlike(ext)
         test = test & F.col("body").rlike(text) if text else test & F.col("name").rlike(named)
         kind = kind.when(test, label)
-    field = F.lit(r"(?m)^\s+(?:(?:public|private|protected|readonly|static|final)\s+)*(\w+)\s*(?::[^=\n(]+)?(?:=\s*[^=\s>]|[;!?]?\s*:\s*\w)")
+    field = F.lit(r"(?m)^(?: {2,4}|\t)(?:(?:public|private|protected|readonly|static|final)\s+)*(\w+)\s*(?::[^=\n(]+)?(?:=\s*[^=\s>]|[;!?]?\s*:\s*\w)")
     fields = F.array_join(F.array_distinct(F.regexp_extract_all("body", field, F.lit(1))), " ")
     rows = bodies.where("type = 'class' and body <> ''").where(F.lower("path").rlike(r"\.(?:js|jsx|ts|tsx|py|java)$"))
     return rows.select("sym_id", "repo_id", "path", "name", F.coalesce(kind, F.lit("unknown")).alias("kind"), fields.alias("fields")).distinct()

@@ -110,10 +110,22 @@ def snippet_lines(windows: DataFrame, files: DataFrame) -> DataFrame:
     f = files.where("content <> '' and path is not null").groupBy("repo_id", "path").agg(F.min("content").alias("content"))
     by_file = windows.groupBy("repo_id", "path").agg(F.collect_list(F.struct("name", "first_line", "last_line")).alias("w"))
     j = f.join(by_file, ["repo_id", "path"]).withColumn("all", lines(F.col("content"))).drop("content")
-    cut = F.expr("transform(filter(w, x -> x.first_line <= size(all)), x -> struct(x.name, x.first_line, x.last_line, array_join(slice(all, x.first_line, x.last_line - x.first_line + 1), '\n') as snippet))")
+    cut = F.expr("transform(filter(w, x -> x.first_line <= size(all)), x -> struct(x.name, x.first_line, x.last_line, array_join(slice(all, x.first_line, least(x.last_line, size(all)) - x.first_line + 1), '\n') as snippet))")
     return j.select("repo_id", "path", F.explode(cut).alias("x")).select("repo_id", "path", "x.*")
 
 
+def bodies_to_next(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """The stretch of its file that stands for each symbol: sym_id, repo_id, path, body.
+
+    From two lines above the symbol's line to the line before the next symbol of the file (lines of the same symbol's deliveries
+    are one), to the end of the file for the last. Symbols without a line, and files without a text, give none.
+    """
+    s = symbols.where("line >= 1 and path is not null").select("sym_id", "repo_id", "path", "line").distinct()
+    following = F.min("line").over(W.partitionBy("repo_id", "path").orderBy("line").rangeBetween(1, W.unboundedFollowing))
+    windows = s.withColumn("next", following).select("repo_id", "path", F.col("sym_id").alias("name"), F.greatest(F.col("line") - 2, F.lit(1)).alias("first_line"), F.coalesce(F.col("next") - 1, F.lit((1 << 31) - 1)).alias("last_line"))
+    return snippet_lines(windows, files).select(F.col("name").alias("sym_id"), "repo_id", "path", F.col("snippet").alias("body"))
+
+
 def top_caller_savings(edges: DataFrame, symbols: DataFrame, files: DataFrame, k: int = 3) -> DataFrame:
     """What a look at each repository's ``k`` busiest callers costs beside all its files: repo_id, rank, name, callees, context_tokens, saved_percent.
 

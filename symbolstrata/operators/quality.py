@@ -103,8 +103,8 @@ def exact_duplicates(bodies: DataFrame, least_characters: int = 80) -> DataFrame
 def near_duplicates(bodies: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per function: sym_id, class_id, copies, links.
 
-    A class holds the functions with the same set of ``words``-word shingles of normalised code; copies is their number,
-    links the number of other classes with a Jaccard similarity of at least ``similarity``. Exact: two sets that alike
+    A class holds the functions with the same set of ``words``-word shingles of normalised code and is named by its smallest
+    sym_id; copies is the number of its functions, links the number of other classes with a Jaccard similarity of at least ``similarity``. Exact: two sets that alike
     share one of their rarest shingles (prefix filter), and candidates are verified. Functions without shingles are left out.
     """
     b = bodies.where("type in ('function', 'method')").select("sym_id", F.regexp_extract_all(normal_code(F.col("body")), F.lit(r"(\w+)"), F.lit(1)).alias("w")).where(F.size("w") >= words)
@@ -132,8 +132,8 @@ def near_duplicates(bodies: DataFrame, words: int = 5, similarity: float = 0.8)
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
     links = linked.select(F.col("a").alias("class_id")).unionByName(linked.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("links"))
-    copies = members.groupBy("class_id").agg(F.count("*").alias("copies"))
-    return members.join(copies, "class_id").join(links, "class_id", "left").select("sym_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    copies = members.groupBy("class_id").agg(F.count("*").alias("copies"), F.min("sym_id").alias("first"))
+    return members.join(copies, "class_id").join(links, "class_id", "left").select("sym_id", F.col("first").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def doc_coverage(symbols: DataFrame) -> DataFrame:

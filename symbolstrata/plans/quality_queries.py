@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import extract, frameworks, quality
+from ..operators import extract, filters, frameworks, quality
 from ..tables import load
 
 
@@ -65,7 +65,13 @@ def findings_summary(spark: SparkSession, root: str) -> DataFrame:
 
 
 def smells(spark: SparkSession, root: str) -> DataFrame:
-    return extract.smells(_files(spark, root))
+    """Doubtful code in Python and script files outside folders of installed or built files."""
+    scripts = F.lower("path").rlike(r"\.(?:py|js|ts|jsx|tsx)$")
+    return extract.smells(_files(spark, root).where(scripts & filters.scanned(F.col("path"))))
+
+
+def package_symbols(spark: SparkSession, root: str) -> DataFrame:
+    return extract.package_symbols(_files(spark, root))
 
 
 def line_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -129,7 +135,7 @@ def dead_code_report(spark: SparkSession, root: str) -> DataFrame:
     return ranked.join(d.groupBy("repo_id").agg(F.count("*").alias("all_dead")), "repo_id").select("repo_id", "rank", "sym_id", "name", "path", "all_dead")
 
 
-QUERIES = (external_modules_of_code, signatures, signature_agreement, endpoints, endpoint_summary, entities, entity_kinds, most_complex, dead_code_report, detected_frameworks, unlabelled_symbols, dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
+QUERIES = (package_symbols, external_modules_of_code, signatures, signature_agreement, endpoints, endpoint_summary, entities, entity_kinds, most_complex, dead_code_report, detected_frameworks, unlabelled_symbols, dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
 
 
 def _q(text: str) -> str:
@@ -144,7 +150,7 @@ def _kind(values: list[str]) -> str:
 
 
 _NAME_OF = _kind([f"regexp_extract(text, {_q(p)}, 1)" for _, _, _, p in extract.DECLARATIONS])
-_FROM, _IMPORT, _SCRIPT = r"^\s*from\s+([\w.]+)\s+import\s+(.+)$", r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*$", r"^\s*import\s+(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\})?\s*from\s+[\"']([^\"']+)[\"']"
+_FROM, _IMPORT, _SCRIPT = extract.FROM, extract.IMPORT, extract.SCRIPT
 
 
 def _names(text: str) -> str:
@@ -153,9 +159,9 @@ def _names(text: str) -> str:
 
 _I = rf"""{_L}, il AS (SELECT repo_id, path, line, regexp_replace(text, '\s+#.*$', '') AS text, ends_with(lower(path), '.py') AS py FROM l WHERE regexp_matches(text, '^\s*(?:import|from)\b')),
   i AS (SELECT DISTINCT repo_id, path, line, CASE WHEN py AND regexp_matches(text, {_q(_FROM)}) THEN regexp_extract(text, {_q(_FROM)}, 1) WHEN py AND regexp_matches(text, {_q(_IMPORT)}) THEN regexp_extract(text, {_q(_IMPORT)}, 1)
-      WHEN NOT py AND regexp_matches(text, {_q(_SCRIPT)}) THEN regexp_extract(text, {_q(_SCRIPT)}, 3) END AS module,
+      WHEN NOT py AND regexp_matches(text, {_q(_SCRIPT)}) THEN regexp_extract(text, {_q(_SCRIPT)}, 4) END AS module,
     CASE WHEN py AND regexp_matches(text, {_q(_FROM)}) THEN {_names(f"regexp_extract(text, {_q(_FROM)}, 2)")} WHEN py THEN split_part(regexp_extract(text, {_q(_IMPORT)}, 1), '.', -1)
-      ELSE {_names(f"regexp_extract(text, {_q(_SCRIPT)}, 1) || ',' || regexp_extract(text, {_q(_SCRIPT)}, 2)")} END AS imported FROM il)"""
+      ELSE {_names(f"regexp_extract(text, {_q(_SCRIPT)}, 1) || ',' || regexp_extract(text, {_q(_SCRIPT)}, 2) || ',' || regexp_extract(text, {_q(_SCRIPT)}, 3)")} END AS imported FROM il)"""
 _ENTRY = f"""coalesce(framework, '') <> '' OR list_contains({quality.ENTRY_NAMES}, lower(name)) OR coalesce(type, '') = 'class' OR contains(lower(coalesce(path, '')), 'test') OR contains(lower(coalesce(path, '')), 'spec')
   OR list_contains({quality.LIFECYCLE}, name) OR (starts_with(name, '__') AND ends_with(name, '__')) OR starts_with(name, 'get_') OR starts_with(name, 'post_') OR starts_with(name, 'handle_')"""
 
@@ -221,12 +227,18 @@ SQL = {
     "complexity_ratings": f"WITH {_M} SELECT repo_id, rating, count(*) AS symbols, max(score) AS highest FROM r GROUP BY 1, 2",
     "exact_duplicates": rf"""WITH b AS (SELECT DISTINCT sym_id, repo_id, path, md5(code) AS fingerprint FROM (SELECT sym_id, repo_id, path, {_CODE} AS code FROM symbol_bodies WHERE type IN ('function', 'method')) WHERE length(code) >= 80)
       SELECT fingerprint, count(DISTINCT sym_id) AS members, count(DISTINCT (repo_id, path)) AS files, count(DISTINCT repo_id) AS repositories FROM b GROUP BY 1 HAVING count(DISTINCT sym_id) > 1""",
+    "near_duplicates": rf"""WITH w AS (SELECT DISTINCT sym_id, regexp_extract_all({_CODE}, '\w+') AS w FROM symbol_bodies WHERE type IN ('function', 'method')), s AS (SELECT sym_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
+      m AS (SELECT DISTINCT sym_id, md5(array_to_string(s, '|')) AS c, s FROM s), k AS (SELECT c, any_value(s) AS s, any_value(len(s)) AS n, count(*) AS copies, min(sym_id) AS class_id FROM m GROUP BY 1), u AS (SELECT c, n, unnest(s) AS x FROM k),
+      p AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM u a JOIN u b ON a.x = b.x AND a.c <> b.c AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 GROUP BY 1, 2, 3, 4), l AS (SELECT a AS c, count(*) AS links FROM p WHERE shared >= 0.8 * (na + nb - shared) - 1e-9 GROUP BY 1)
+      SELECT m.sym_id, k.class_id, k.copies, coalesce(l.links, 0) AS links FROM m JOIN k ON k.c = m.c LEFT JOIN l ON l.c = m.c""",
     "doc_coverage": r"""WITH s AS (SELECT DISTINCT sym_id, repo_id, regexp_extract(path, '(\.[^./\\]+)$', 1) AS ext, coalesce(trim(doc), '') <> '' AS has FROM symbols) SELECT repo_id, ext, count(*) AS symbols, count(*) FILTER (has) AS documented, round(count(*) FILTER (has) * 100.0 / count(*), 1) AS percent FROM s GROUP BY 1, 2""",
     "declarations": f"WITH {_L}, d AS (SELECT DISTINCT repo_id, path, line, {_kind([_q(t) for _, _, t, _ in extract.DECLARATIONS])} AS type, {_NAME_OF} AS name FROM l) SELECT * FROM d WHERE type IS NOT NULL AND NOT list_contains({extract.NOT_NAMES}, name)",
     "imports": f"WITH {_I} SELECT repo_id, path, line, module, imported FROM i WHERE module IS NOT NULL",
     "called_names": r"SELECT DISTINCT sym_id, callee FROM (SELECT sym_id, name, unnest(regexp_extract_all(body, '(\w+)\s*\(', 1)) AS callee FROM symbol_bodies WHERE body <> '') WHERE callee <> coalesce(name, '')",
     "findings": f"WITH {_FINDINGS} SELECT * FROM g",
     "findings_summary": f"WITH {_FINDINGS} SELECT category, severity, count(*) AS n, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS rank FROM g GROUP BY 1, 2",
-    "smells": r"WITH t AS (SELECT DISTINCT repo_id, path, replace(replace(content, E'\r\n', E'\n'), E'\r', E'\n') AS text FROM files WHERE content <> '' AND path IS NOT NULL) " + " UNION ALL ".join(f"SELECT DISTINCT repo_id, path, {_q(n)} AS smell, {_q(s)} AS severity, len(regexp_extract_all(text, {_q('(?im)' + p)})) AS hits FROM t WHERE regexp_matches(text, {_q('(?im)' + p)})" for n, s, p in extract.SMELLS),
+    "smells": r"WITH t AS (SELECT DISTINCT repo_id, path, replace(replace(content, E'\r\n', E'\n'), E'\r', E'\n') AS text FROM files WHERE content <> '' AND regexp_matches(lower(path), '\.(?:py|js|ts|jsx|tsx)$') AND NOT list_has_any(string_split(regexp_replace(replace(path, '\', '/'), '^\./', ''), '/'), " + str(filters.SCAN_FOLDERS) + ")) " + " UNION ALL ".join(f"SELECT DISTINCT repo_id, path, {_q(n)} AS smell, {_q(s)} AS severity, len(regexp_extract_all(text, {_q('(?im)' + p)})) AS hits FROM t WHERE regexp_matches(text, {_q('(?im)' + p)})" for n, s, p in extract.SMELLS),
     "line_counts": r"""SELECT DISTINCT repo_id, path, len(string_split(t, E'\n')) AS lines, len(list_filter(string_split(t, E'\n'), lambda x: trim(x) = '')) AS blank FROM (SELECT repo_id, path, replace(replace(content, E'\r\n', E'\n'), E'\r', E'\n') AS t FROM files WHERE content <> '' AND path IS NOT NULL)""",
 }
+SQL["dead_code_report"] = f"WITH d AS ({SQL['dead_code']}), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path NULLS FIRST, line NULLS FIRST, sym_id) AS rank, count(*) OVER (PARTITION BY repo_id) AS all_dead FROM d) SELECT repo_id, rank, sym_id, name, path, all_dead FROM r WHERE rank <= 50"
+SQL["package_symbols"] = f"WITH {_L}, k AS (SELECT DISTINCT repo_id, path, line, CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{k}'" for k, p in extract.PACKAGED) + " END AS type, CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN regexp_extract(text, {_q(p)}, 1)" for _, p in extract.PACKAGED) + " END AS name FROM l) SELECT * FROM k WHERE type IS NOT NULL"

@@ -9,7 +9,7 @@ from .. import settings
 from ..operators import diff, extract, filters, frameworks, graph, lookup, profile, search
 from ..sources import manifests
 from ..tables import load
-from . import quality_queries, search_queries
+from . import browse_queries, quality_queries, search_queries, source_queries
 from .source_queries import snippet_windows
 
 _QUESTION = "how does the search index work"
@@ -51,7 +51,7 @@ def explanation_context(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scoped_search(spark: SparkSession, root: str) -> DataFrame:
-    return search.scoped_search(load(spark, root, "symbols"), "src/:merge").select("sym_id", "repo_id", "path", "name", "type")
+    return search.scoped_search(load(spark, root, "symbols"), "pkg/:merge").select("sym_id", "repo_id", "path", "name", "type")
 
 
 def search_with_imports(spark: SparkSession, root: str) -> DataFrame:
@@ -107,6 +107,12 @@ def snippet_lines(spark: SparkSession, root: str) -> DataFrame:
     return s.select("repo_id", "path", "name", "first_line", F.length("snippet").alias("characters"), F.md5("snippet").alias("fingerprint")).distinct()
 
 
+def rebuilt_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """The stretch of its file that stands for each symbol, by its length and hash."""
+    b = lookup.bodies_to_next(*_t(spark, root, "symbols", "files"))
+    return b.select("sym_id", "repo_id", "path", F.length("body").alias("characters"), F.md5("body").alias("fingerprint")).distinct()
+
+
 def top_caller_savings(spark: SparkSession, root: str) -> DataFrame:
     return lookup.top_caller_savings(_edges(spark, root), *_t(spark, root, "symbols", "files"))
 
@@ -148,8 +154,8 @@ def participants(spark: SparkSession, root: str) -> DataFrame:
 
 
 def entity_relations(spark: SparkSession, root: str) -> DataFrame:
-    """Relations between classes whose names hold Map, Node or Table, as the methods' names tell."""
-    return graph.entity_relations(load(spark, root, "symbols"), ("map", "node", "table"))
+    """Relations between classes, all taken as entities, as their methods' names tell."""
+    return graph.entity_relations(load(spark, root, "symbols"), ("",))
 
 
 def most_called(spark: SparkSession, root: str) -> DataFrame:
@@ -206,7 +212,103 @@ def monorepo_patterns(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = (
     concept_files, concept_flows, answer_symbols, explanation_context, scoped_search, search_with_imports, flow_by_file, symbol_code, symbol_cards, first_matching_file, matching_starts, across_repositories, search_payload, faceted_symbols, api_docs,
-    largest_modules, snippet_lines, top_caller_savings, content_roles, layer_totals, reasoned_entry_points, output_recommendations, symbol_files, importing_files, participants, entity_relations, most_called, top_level_flows, shortest_cycles, changed_paths,
+    largest_modules, snippet_lines, rebuilt_bodies, top_caller_savings, content_roles, layer_totals, reasoned_entry_points, output_recommendations, symbol_files, importing_files, participants, entity_relations, most_called, top_level_flows, shortest_cycles, changed_paths,
     dry_run_sample, gitignored, merged_workspace, manifest_dependencies, dependency_warnings, monorepo_patterns,
 )
-SQL: dict[str, str] = {}
+_E = "e AS (SELECT DISTINCT repo_id, src, dst FROM calls WHERE src <> '' AND dst <> '')"
+_FE = r"fe AS (SELECT * FROM (SELECT DISTINCT repo_id, regexp_replace(replace(src_path, '\', '/'), '^\./', '') AS src, regexp_replace(replace(dst_path, '\', '/'), '^\./', '') AS dst FROM file_deps WHERE src_path <> '' AND dst_path <> '') WHERE src <> dst)"
+_CLEAN = r"regexp_replace(replace({0}, '\', '/'), '^\./', '')"
+_LOW_DOC = "lower(coalesce(doc, ''))"
+
+
+def _points(words: list[str], parts: list[tuple[str, int]]) -> str:
+    return " + ".join(f"CASE WHEN contains({text}, '{w}') THEN {n} ELSE 0 END" for w in words for text, n in parts)
+
+
+_CONCEPT_FILES = "cf AS (" + " UNION ALL ".join(
+    f"SELECT repo_id, '{c}' AS concept, path, max(own) AS own, max(best) AS best FROM (SELECT repo_id, path, {_points(words, [('lower(path)', 2)])} AS own, 0 AS best FROM ap UNION ALL SELECT repo_id, path, 0, {_points(words, [('lower(coalesce(name, {0}))'.format(chr(39) * 2), 3), (_LOW_DOC, 1)])} FROM asy) GROUP BY 1, 3 HAVING max(own) > 0 OR max(best) > 0"
+    for c, words in search.CONCEPTS.items()
+) + ")"
+_INDEX = "ci AS (" + search_queries.SQL["concept_index"] + ")"
+_WORDS = [w for w in search.query_words("how does the gateway merge a bucket") if w not in search.STOP_WORDS and len(w) > 2]
+_POINTS = "CASE concept " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in search.concept_points(_QUESTION).items()) + " END"
+_HITS = " + ".join(f"CASE WHEN contains(lower(name), '{w}') THEN 1 ELSE 0 END" for w in search.query_words(_QUESTION) if len(w) > 2)
+_ENTRY = ", ".join(f"'{x}'" for x in profile.ENTRY_FILES)
+_ROLE_PATH = "CASE WHEN regexp_matches(p, '/(cli|manage)\\.py$') THEN 0 " + " ".join(f"WHEN {' OR '.join(f'''contains(p, '{n}')''' for n in needles)} THEN {i}" for i, (_, needles) in enumerate(profile.ROLES)) + " ELSE 6 END"
+_FRONT = "CASE WHEN framework IS NULL OR framework = '' THEN NULL " + " ".join(f"WHEN contains(lower(framework), '{n}') THEN '{n}'" for n in profile.FRAMEWORKS) + " ELSE lower(framework) END"
+_ROLES = rf"""{quality_queries._ROUTES}, {quality_queries._ENTITIES}, fr AS (SELECT DISTINCT repo_id, path FROM symbols WHERE list_contains({[str(x) for x in profile.FRONTEND]}, {_FRONT})),
+  cr AS (SELECT f.repo_id, f.path, ['cli', 'api', 'data', 'ui', 'services', 'infra', 'core'][1 + least({_ROLE_PATH}, CASE WHEN EXISTS (FROM ro WHERE ro.repo_id = f.repo_id AND ro.path = f.path) THEN 1 ELSE 6 END,
+    CASE WHEN EXISTS (FROM en WHERE en.repo_id = f.repo_id AND en.path = f.path AND kind <> 'unknown') THEN 2 ELSE 6 END, CASE WHEN EXISTS (FROM fr WHERE fr.repo_id = f.repo_id AND fr.path = f.path) THEN 3 ELSE 6 END)] AS role
+    FROM (SELECT DISTINCT repo_id, path, '/' || lower({_CLEAN.format('path')}) AS p FROM files WHERE path IS NOT NULL) f)"""
+_FIRST = "row_number() OVER (PARTITION BY repo_id, {0} ORDER BY {1})"
+SQL: dict[str, str] = {
+    "concept_files": f"""WITH ap AS (SELECT repo_id, path FROM files WHERE path IS NOT NULL UNION SELECT repo_id, path FROM symbols WHERE path IS NOT NULL), asy AS (SELECT DISTINCT repo_id, path, name, doc FROM symbols WHERE path IS NOT NULL), {_CONCEPT_FILES},
+      r AS (SELECT repo_id, concept, path, CASE WHEN own > 0 THEN own ELSE best END AS score FROM cf), k AS (SELECT *, row_number() OVER (PARTITION BY repo_id, concept ORDER BY score DESC, path) AS rank FROM r) SELECT * FROM k WHERE rank <= 10""",
+    "concept_flows": f"""WITH {_INDEX}, {_E}, d AS (SELECT *, {_FIRST.format('src', 'dst')} AS i FROM e), g AS (SELECT repo_id, src, string_agg(dst, ' ' ORDER BY dst) AS shown FROM d WHERE i <= 5 GROUP BY 1, 2)
+      SELECT ci.repo_id, concept, rank, name, shown FROM ci JOIN g ON g.repo_id = ci.repo_id AND g.src = ci.name WHERE rank <= 5""",
+    "answer_symbols": f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY coalesce(path, ''), ordinal NULLS FIRST, sym_id) AS i FROM symbols WHERE {' OR '.join(f"contains(lower(name), '{w}')" for w in _WORDS)}),
+      k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name) AS rank FROM m WHERE i = 1) SELECT repo_id, rank, name, type, coalesce(path, '') AS path, left(coalesce(doc, ''), 100) AS doc FROM k WHERE rank <= 10""",
+    "explanation_context": f"""WITH {_INDEX}, {_E}, q AS (SELECT repo_id, concept, sum({_HITS}) + any_value({_POINTS}) AS score FROM ci WHERE rank <= 10 GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, concept) AS place FROM q WHERE score > 0),
+      a AS (SELECT repo_id, dst AS name, string_agg(src, ' ' ORDER BY src) AS callers FROM (SELECT *, {_FIRST.format('dst', 'src')} AS i FROM e) WHERE i <= 4 GROUP BY 1, 2), b AS (SELECT repo_id, src AS name, string_agg(dst, ' ' ORDER BY dst) AS callees FROM (SELECT *, {_FIRST.format('src', 'dst')} AS i FROM e) WHERE i <= 4 GROUP BY 1, 2),
+      s AS (SELECT sym_id, min(coalesce(path, '')) AS path FROM symbols GROUP BY 1)
+      SELECT ci.repo_id, ci.concept, place, rank, ci.sym_id, ci.name, s.path, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM ci JOIN p ON p.repo_id = ci.repo_id AND p.concept = ci.concept AND place <= 3 JOIN s ON s.sym_id = ci.sym_id
+      LEFT JOIN a ON a.repo_id = ci.repo_id AND a.name = ci.name LEFT JOIN b ON b.repo_id = ci.repo_id AND b.name = ci.name WHERE rank <= 8""",
+    "scoped_search": "SELECT DISTINCT sym_id, repo_id, path, name, type FROM symbols WHERE contains(lower(path), 'pkg/') AND contains(lower(name), 'merge')",
+    "search_with_imports": f"WITH {quality_queries._I} SELECT DISTINCT repo_id, path, name, type FROM symbols WHERE contains(lower(name), 'beacon') UNION SELECT repo_id, path, module, 'import' FROM i WHERE contains(lower(module), 'beacon')",
+    "flow_by_file": f"""WITH {_E}, w AS (SELECT * FROM e WHERE contains(lower(src), 'merge') OR contains(lower(src), 'filter')), n AS (SELECT repo_id, src AS name, count(*) AS calls FROM w GROUP BY 1, 2),
+      g AS (SELECT repo_id, src AS name, string_agg(dst, ' ' ORDER BY dst) AS shown FROM (SELECT *, {_FIRST.format('src', 'dst')} AS i FROM w) WHERE i <= 3 GROUP BY 1, 2),
+      f AS (SELECT repo_id, name, min(path) AS path FROM symbols WHERE name <> '' AND path IS NOT NULL GROUP BY 1, 2), o AS (SELECT n.repo_id, coalesce(f.path, 'unknown') AS path, n.name, calls, shown FROM n JOIN g USING (repo_id, name) LEFT JOIN f USING (repo_id, name))
+      SELECT repo_id, path, name, calls, shown FROM (SELECT *, {_FIRST.format('path', 'name')} AS i FROM o) WHERE i <= 5""",
+    "symbol_code": """WITH s AS (SELECT DISTINCT sym_id, repo_id, path, name, type FROM symbols WHERE name <> ''), b AS (SELECT * FROM symbol_bodies WHERE body <> ''), o AS (SELECT sym_id, min(body) AS body FROM b GROUP BY 1),
+      t AS (SELECT repo_id, path, name, type, min((sym_id, body)) AS b FROM b GROUP BY 1, 2, 3, 4), a AS (SELECT repo_id, path, name, min((sym_id, body)) AS b FROM b GROUP BY 1, 2, 3)
+      SELECT * FROM (SELECT s.*, length(coalesce(o.body, t.b[2], a.b[2])) AS characters FROM s LEFT JOIN o ON o.sym_id = s.sym_id LEFT JOIN t ON t.repo_id = s.repo_id AND t.path = s.path AND t.name = s.name AND t.type = s.type LEFT JOIN a ON a.repo_id = s.repo_id AND a.path = s.path AND a.name = s.name) WHERE characters IS NOT NULL""",
+    "symbol_cards": f"""WITH {_E}, s AS (SELECT DISTINCT sym_id, repo_id, path, name, type, line, coalesce(len(params), 0) AS params FROM symbols WHERE contains(lower(name), 'merge')), c AS (SELECT repo_id, dst AS name, count(*) AS callers FROM e GROUP BY 1, 2),
+      g AS (SELECT repo_id, dst AS name, string_agg(src, ' ' ORDER BY src) AS called_by FROM (SELECT *, {_FIRST.format('dst', 'src')} AS i FROM e) WHERE i <= 5 GROUP BY 1, 2),
+      m AS (SELECT repo_id, path, class_name AS name, string_agg(DISTINCT name, ' ' ORDER BY name) AS members FROM symbols WHERE type = 'method' AND class_name <> '' AND name <> '' GROUP BY 1, 2, 3)
+      SELECT s.*, coalesce(callers, 0) AS callers, coalesce(called_by, '') AS called_by, coalesce(members, '') AS members FROM s LEFT JOIN c USING (repo_id, name) LEFT JOIN g USING (repo_id, name) LEFT JOIN m ON m.repo_id = s.repo_id AND m.path = s.path AND m.name = s.name AND s.type = 'class'""",
+    "first_matching_file": "WITH s AS (SELECT DISTINCT repo_id, path, sym_id, name, type, line FROM symbols WHERE contains(path, 'test')), f AS (SELECT repo_id, min(path) AS path FROM s GROUP BY 1) SELECT s.* FROM s JOIN f ON f.repo_id = s.repo_id AND f.path = s.path",
+    "matching_starts": "WITH n AS (SELECT DISTINCT repo_id, src AS name FROM calls WHERE dst <> '' AND contains(lower(src), 'load')), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name) AS i FROM n) SELECT repo_id, name FROM r WHERE i <= 3",
+    "across_repositories": "SELECT DISTINCT sym_id, repo_id, path, ordinal, name, type FROM symbols WHERE contains(lower(name), 'buffer') ORDER BY repo_id, path, ordinal, sym_id LIMIT 20",
+    "search_payload": """WITH s AS (SELECT DISTINCT sym_id, repo_id, path, ordinal, name, type, left(coalesce(doc, ''), 60) AS doc, coalesce(array_to_string(params[1:3], ' '), '') AS params FROM symbols WHERE name IS NOT NULL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path NULLS FIRST, ordinal NULLS FIRST, sym_id) AS rank FROM s) SELECT repo_id, rank, sym_id, path, name, type, doc, params FROM r WHERE rank <= 600""",
+    "faceted_symbols": "SELECT DISTINCT repo_id, path, sym_id, name, type FROM symbols WHERE type = 'function' AND (contains(lower(name), 'grid') OR contains(lower(path), 'grid'))",
+    "largest_modules": f"""WITH s AS (SELECT DISTINCT sym_id, repo_id, {_CLEAN.format('path')} AS path FROM symbols WHERE path <> ''), n AS (SELECT repo_id, split_part(path, '/', 1) AS module, count(*) AS symbols, count(DISTINCT path) AS files FROM s GROUP BY 1, 2 HAVING count(*) >= 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY symbols DESC, module) AS rank FROM n) SELECT repo_id, rank, module, symbols, files FROM r WHERE rank <= 15""",
+    "snippet_lines": r"""WITH s AS (SELECT DISTINCT sym_id, repo_id, path, ordinal, name, type, line, coalesce(len(calls), 0) AS n FROM symbols WHERE path IS NOT NULL AND line IS NOT NULL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY CASE WHEN coalesce(type, '') <> 'class' THEN 1 ELSE 0 END, -n, ordinal, sym_id) AS i FROM s), w AS (SELECT DISTINCT repo_id, path, name, greatest(line - 3, 1) AS first_line, line + 29 AS last_line FROM r WHERE i <= 5),
+      f AS (SELECT repo_id, path, string_split(replace(replace(min(content), E'\r\n', E'\n'), E'\r', E'\n'), E'\n') AS a FROM files WHERE content <> '' AND path IS NOT NULL GROUP BY 1, 2), t AS (SELECT w.*, array_to_string(a[first_line:last_line], E'\n') AS snippet FROM w JOIN f USING (repo_id, path) WHERE first_line <= len(a))
+      SELECT DISTINCT repo_id, path, name, first_line, length(snippet) AS characters, md5(snippet) AS fingerprint FROM t""",
+    "rebuilt_bodies": r"""WITH s AS (SELECT DISTINCT sym_id, repo_id, path, line FROM symbols WHERE line >= 1 AND path IS NOT NULL), n AS (SELECT *, min(line) OVER (PARTITION BY repo_id, path ORDER BY line RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM s),
+      f AS (SELECT repo_id, path, string_split(replace(replace(min(content), E'\r\n', E'\n'), E'\r', E'\n'), E'\n') AS a FROM files WHERE content <> '' AND path IS NOT NULL GROUP BY 1, 2),
+      b AS (SELECT sym_id, n.repo_id, n.path, array_to_string(a[greatest(line - 2, 1):coalesce(next - 1, len(a))], E'\n') AS body FROM n JOIN f ON f.repo_id = n.repo_id AND f.path = n.path WHERE greatest(line - 2, 1) <= len(a))
+      SELECT DISTINCT sym_id, repo_id, path, length(body) AS characters, md5(body) AS fingerprint FROM b""",
+    "top_caller_savings": f"""WITH {_E}, w AS (SELECT repo_id, sum(n // 4) AS raw FROM (SELECT repo_id, path, max(coalesce(length(content), 0)) AS n FROM files WHERE path IS NOT NULL GROUP BY 1, 2) GROUP BY 1), c AS (SELECT repo_id, src AS name, count(*) AS callees, sum(length(dst)) AS chars FROM e GROUP BY 1, 2),
+      t AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY callees DESC, name) AS rank FROM c), o AS (SELECT repo_id, name, sum(d + length(name)) AS own FROM (SELECT DISTINCT sym_id, repo_id, name, length(coalesce(doc, '')) AS d FROM symbols WHERE name <> '') GROUP BY 1, 2),
+      x AS (SELECT t.*, raw, greatest(1, (chars + coalesce(own, 0)) // 4) AS context_tokens FROM t LEFT JOIN o USING (repo_id, name) JOIN w ON w.repo_id = t.repo_id WHERE rank <= 3 AND raw > 0) SELECT repo_id, rank, name, callees, context_tokens, round((raw - context_tokens) * 100.0 / raw, 1) AS saved_percent FROM x""",
+    "content_roles": f"WITH {_ROLES} SELECT * FROM cr",
+    "layer_totals": f"""WITH {_ROLES}, a AS (SELECT repo_id, path, count(DISTINCT sym_id) AS n FROM symbols GROUP BY 1, 2), b AS (SELECT repo_id, path, count(DISTINCT (method, route)) AS n FROM ro GROUP BY 1, 2), c AS (SELECT repo_id, path, count(DISTINCT sym_id) AS n FROM en GROUP BY 1, 2)
+      SELECT cr.repo_id, role, count(*) AS files, sum(coalesce(a.n, 0)) AS symbols, sum(coalesce(b.n, 0)) AS routes, sum(coalesce(c.n, 0)) AS entities FROM cr LEFT JOIN a ON a.repo_id = cr.repo_id AND a.path = cr.path LEFT JOIN b ON b.repo_id = cr.repo_id AND b.path = cr.path LEFT JOIN c ON c.repo_id = cr.repo_id AND c.path = cr.path GROUP BY 1, 2""",
+    "reasoned_entry_points": rf"""WITH {quality_queries._ROUTES}, {_E}, s AS (SELECT DISTINCT repo_id, path, ordinal, sym_id, name, type FROM symbols WHERE name <> '' AND path IS NOT NULL AND coalesce(class_name, '') = ''), o AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY ordinal, sym_id) AS n FROM s WHERE type IN ('function', 'class') AND lower(split_part({_CLEAN.format('path')}, '/', -1)) IN ({_ENTRY})),
+      u AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY line, name) AS n FROM (SELECT DISTINCT repo_id, path, line, method || ' ' || route AS name FROM ro)), v AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY ordinal, sym_id) AS n FROM s WHERE type = 'function' AND NOT EXISTS (FROM e WHERE e.repo_id = s.repo_id AND e.dst = s.name)),
+      r AS (SELECT repo_id, path, name, min((turn, n, reason)) AS r FROM (SELECT repo_id, path, name, 0 AS turn, n, 'entry_file' AS reason FROM o WHERE n <= 3 UNION ALL SELECT repo_id, path, name, 1, n, 'api_route' FROM u WHERE n <= 5 UNION ALL SELECT repo_id, path, name, 2, n, 'top_level' FROM v WHERE n <= 8) GROUP BY 1, 2, 3),
+      p AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY r[1], r[2], name) AS i FROM r), z AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, r[1], r[2], name) AS place FROM p WHERE i <= 8) SELECT repo_id, place, name, path, r[3] AS reason FROM z WHERE place <= 12""",
+    "output_recommendations": f"""WITH {_ROLES}, n AS (SELECT repo_id, count(DISTINCT sym_id) AS n FROM symbols GROUP BY 1), h AS (SELECT repo_id FROM ro UNION SELECT repo_id FROM en WHERE kind <> 'unknown')
+      SELECT f.repo_id, 'docs diagrams report' || CASE WHEN h.repo_id IS NOT NULL THEN ' dashboard' ELSE '' END || CASE WHEN n BETWEEN 1 AND 500 THEN ' viz' ELSE '' END AS outputs FROM (SELECT DISTINCT repo_id FROM files WHERE repo_id IS NOT NULL) f LEFT JOIN n ON n.repo_id = f.repo_id LEFT JOIN h ON h.repo_id = f.repo_id""",
+    "symbol_files": "SELECT repo_id, name, min(path) AS first_path, max(path) AS last_path FROM symbols WHERE name <> '' AND path IS NOT NULL GROUP BY 1, 2",
+    "importing_files": f"""WITH {_E}, {_FE}, x AS (SELECT * FROM e WHERE src <> dst), d AS (SELECT repo_id, dst AS name, src AS "by" FROM x), r AS (SELECT * FROM d UNION SELECT d.repo_id, d.name, x.src FROM d JOIN x ON x.repo_id = d.repo_id AND x.dst = d."by" UNION SELECT repo_id, name, name FROM d),
+      l AS (SELECT repo_id, name AS "by", {_CLEAN.format('max(path)')} AS path FROM symbols WHERE name <> '' AND path IS NOT NULL GROUP BY 1, 2), a AS (SELECT DISTINCT r.repo_id, r.name, l.path FROM r JOIN l USING (repo_id, "by")),
+      i AS (SELECT DISTINCT a.repo_id, a.name, fe.src AS path FROM a JOIN fe ON fe.repo_id = a.repo_id AND fe.dst = a.path WHERE NOT contains(lower(a.path), 'test') AND NOT contains(lower(a.path), 'spec'))
+      SELECT repo_id, name, count(*) AS importing_files FROM (SELECT * FROM i EXCEPT SELECT * FROM a) GROUP BY 1, 2""",
+    "participants": f"""WITH RECURSIVE {_E}, d AS (SELECT *, {_FIRST.format('src', 'dst')} AS i FROM e WHERE src <> dst), t AS (SELECT DISTINCT repo_id, name AS seed FROM symbols WHERE sym_id % 100 = 0 AND name <> ''),
+      w AS (SELECT repo_id, seed, seed AS name, 0 AS distance FROM t UNION SELECT w.repo_id, w.seed, d.dst, w.distance + 1 FROM w JOIN d ON d.repo_id = w.repo_id AND d.src = w.name AND d.i <= CASE WHEN w.distance = 0 THEN 10 ELSE 3 END WHERE w.distance < 4),
+      n AS (SELECT repo_id, seed, name, min(distance) AS distance FROM w GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, seed ORDER BY distance, name) AS place FROM n) SELECT * FROM r WHERE place <= 15""",
+    "entity_relations": """WITH s AS (SELECT DISTINCT repo_id, name, type, class_name, path FROM symbols WHERE name <> ''), c AS (SELECT DISTINCT repo_id, name AS class_name, path FROM s WHERE type = 'class'), m AS (SELECT s.repo_id, s.class_name, s.name AS method FROM s JOIN c ON c.repo_id = s.repo_id AND c.path = s.path AND c.class_name = s.class_name WHERE s.type = 'method')
+      SELECT DISTINCT m.repo_id, m.class_name, o.class_name AS other, CASE WHEN contains(lower(method), 'many') OR contains(lower(method), 'list') OR contains(method, '[]') THEN 'many' ELSE 'one' END AS relation FROM m JOIN c o ON o.repo_id = m.repo_id AND o.class_name <> m.class_name AND contains(lower(method), lower(o.class_name))""",
+    "most_called": f"WITH {_E}, n AS (SELECT repo_id, dst AS name, count(*) AS callers FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY callers DESC, name) AS rank FROM n) SELECT repo_id, rank, name, callers FROM r WHERE rank <= 10",
+    "top_level_flows": f"""WITH {_E}, t AS (SELECT DISTINCT repo_id, src AS name FROM e WHERE NOT EXISTS (FROM e x WHERE x.repo_id = e.repo_id AND x.dst = e.src)), k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name) AS rank FROM t),
+      g AS (SELECT repo_id, src AS name, string_agg(dst, ' ' ORDER BY dst) AS shown FROM (SELECT *, {_FIRST.format('src', 'dst')} AS i FROM e) WHERE i <= 5 GROUP BY 1, 2) SELECT k.repo_id, rank, k.name, shown FROM k JOIN g USING (repo_id, name) WHERE rank <= 10""",
+    "shortest_cycles": f"WITH c AS ({browse_queries.SQL['call_cycles']}) SELECT repo_id, length, replace(path, ' > ', ' ') AS nodes FROM c ORDER BY length, repo_id, nodes LIMIT 50",
+    "changed_paths": f"SELECT repo_id, {_CLEAN.format('path')} AS path FROM files WHERE removed_at IS NOT NULL AND path <> '' UNION SELECT repo_id, {_CLEAN.format('file_path')} FROM snippets WHERE file_path <> '' UNION SELECT repo_id, {_CLEAN.format('src_path')} FROM file_deps WHERE src_path <> ''",
+    "dry_run_sample": f"WITH {source_queries._R}, k AS (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rank FROM r WHERE reason IS NULL) SELECT repo_id, rank, path FROM k WHERE rank <= 20",
+    "merged_workspace": f"WITH {_E} SELECT DISTINCT split_part(repo_id, '-', 1) AS repo_alias, split_part(repo_id, '-', 1) || ':' || src AS src, split_part(repo_id, '-', 1) || ':' || dst AS dst FROM e",
+}

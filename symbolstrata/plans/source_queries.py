@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import diff, extract, filters, graph, resolve
 from ..streaming import watch
 from ..tables import clean_path, load
+from . import quality_queries
 
 
 def ignore_reasons(spark: SparkSession, root: str) -> DataFrame:
@@ -94,7 +95,16 @@ _R = rf"""g AS (SELECT DISTINCT repo_id, replace(pattern, '\', '/') AS pattern,
 _HUNKS = rf"""c AS (SELECT DISTINCT s.sym_id, s.repo_id, {_P.format('s.path')} AS path, s.name FROM symbols s JOIN snippets h ON h.repo_id = s.repo_id AND {_P.format('h.file_path')} = {_P.format('s.path')} AND s.line BETWEEN h.start_line AND h.end_line)"""
 _K = rf"""f AS (SELECT DISTINCT repo_id, {_P.format('path')} AS path FROM files WHERE path <> ''), st AS (SELECT repo_id, path, regexp_replace(path, '\.[^./]+$', '') AS stem FROM f),
   k AS (SELECT DISTINCT repo_id, path, key FROM (SELECT repo_id, path, path AS key FROM st UNION ALL SELECT repo_id, path, stem FROM st UNION ALL SELECT repo_id, path, replace(stem, '/', '.') FROM st UNION ALL SELECT repo_id, path, regexp_replace(stem, '/(__init__|index)$', '') FROM st WHERE regexp_matches(stem, '/(__init__|index)$')))"""
+_C = rf"""{quality_queries._I}, {_K}, im AS (SELECT DISTINCT repo_id, {_P.format('path')} AS path, module, imported FROM i WHERE module IS NOT NULL),
+  ca AS (SELECT DISTINCT repo_id, path, module, imported, unnest(CASE WHEN starts_with(module, './') OR starts_with(module, '../') THEN [regexp_replace(regexp_replace(path, '[^/]*$', '') || regexp_replace(module, '^\./', ''), '[^/]+/\.\./', '', 'g')]
+      WHEN starts_with(module, '.') THEN [regexp_replace(array_to_string(string_split(path, '/')[1:greatest(len(string_split(path, '/')) - greatest(length(regexp_extract(module, '^(\.+)', 1)), 1), 0)], '/') || '/' || replace(regexp_replace(module, '^\.+', ''), '.', '/'), '^/|/$', '', 'g')]
+      ELSE [regexp_replace(module, '^@/', 'src/'), replace(regexp_replace(module, '^@/', 'src/'), '.', '/')] END) AS key FROM im)"""
 SQL = {
+    "resolved_dependencies": f"WITH {_C} SELECT DISTINCT ca.repo_id, ca.path AS src_path, k.path AS dst_path FROM ca JOIN k ON k.repo_id = ca.repo_id AND k.key = ca.key WHERE ca.path <> k.path",
+    "external_modules": f"WITH {_C} SELECT repo_id, module, count(*) AS files FROM (SELECT DISTINCT repo_id, path, module FROM im WHERE NOT EXISTS (FROM ca JOIN k ON k.repo_id = ca.repo_id AND k.key = ca.key WHERE ca.repo_id = im.repo_id AND ca.path = im.path AND ca.module = im.module)) GROUP BY 1, 2",
+    "type_map": rf"""WITH {_C}, h AS (SELECT DISTINCT ca.repo_id, ca.path, k.path AS dst, unnest(string_split(imported, ' ')) AS name FROM ca JOIN k ON k.repo_id = ca.repo_id AND k.key = ca.key WHERE ca.path <> k.path),
+      o AS (SELECT DISTINCT repo_id, {_P.format('path')} AS dst, name, type, line FROM symbols WHERE name <> '' AND coalesce(class_name, '') = ''), x AS (SELECT h.repo_id, h.path, o.name, o.dst, o.line, o.type FROM h JOIN o ON o.repo_id = h.repo_id AND o.dst = h.dst AND (o.name = h.name OR h.name = '*')),
+      r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, name ORDER BY dst DESC, line DESC NULLS LAST, type DESC NULLS LAST) AS n FROM x) SELECT repo_id, path AS imported_in, name, dst AS defined_in, type, line FROM r WHERE n = 1""",
     "ignore_reasons": f"WITH {_R} SELECT * FROM r",
     "dry_run": f"WITH {_R} SELECT coalesce(reason, 'indexed') AS reason, count(*) AS files FROM r GROUP BY 1",
     "module_keys": f"WITH {_K} SELECT * FROM k",

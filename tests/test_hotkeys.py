@@ -9,8 +9,8 @@ def test_counts(spark):
     words = ["hot"] * 500 + [f"k{i % 97}" for i in range(400)] + ["", None, "ä", " "]
     df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "key string, n int").repartition(7)
     want = Counter(w for w in words if w)
-    for block, fan in ((65_536, 16), (10, 3)):
-        assert {r["key"]: r["n"] for r in H.dense_counts(df, "key", block, fan).collect()} == want
+    for block, scatter, fan in ((65_536, 262_144, 16), (10, 12, 2), (200, 30, 3)):
+        assert {r["key"]: r["n"] for r in H.dense_counts(df, "key", block, scatter, fan).collect()} == want
 
 
 def test_empty(spark):

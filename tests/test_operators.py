@@ -92,7 +92,7 @@ def test_imports_routes_findings(spark):
         ("s.js", "import D, { e as f, g } from './t'\napp.post('/x', h)\neval(x)"), ("S.java", "@GetMapping(\"/m\")"), ("test_u.py", "eval(x)"),
     )
     assert {(r["module"], r["imported"]) for r in extract.imports(f).collect()} == {(".b", "x y"), ("os.path", "path"), ("q", "one two"), ("./t", "D e g")}
-    assert {(r["method"], r["route"]) for r in extract.routes(f).collect()} == {("GET", "/p"), ("GET", "/q"), ("POST", "/x"), ("GET", "/m")}
+    assert {(r["method"], r["route"]) for r in extract.routes(f).collect()} == {("POST", "/p"), ("GET", "/q"), ("POST", "/x"), ("GET", "/m")}
     assert {(r["path"], r["line"], r["category"]) for r in extract.findings(f).collect()} == {("pkg/a.py", 4, "secret"), ("s.js", 3, "unsafe_code")}
 
 
@@ -122,6 +122,9 @@ def test_snapshots_and_hunks(spark):
     assert {r["path"] for r in diff.to_index(a, b).collect()} == {"mod", "new"}
     d = spark.createDataFrame([("r", "--- a/x.py\n+++ b/x.py\n@@ -1,2 +3,4 @@ def\n+a\n@@ -9 +20 @@\n--- a/y\n+++ b/y\n@@ -0,0 +1,2 @@")], "repo_id string, diff string")
     assert rows(diff.parse_hunks(d)) == {("r", "x.py", 3, 7), ("r", "x.py", 20, 21), ("r", "y", 1, 3)}
+    two = spark.createDataFrame([("r", "+++ b/x.py\n@@ -1 +1 @@\n@@ -5 +6,2 @@"), ("r", "+++ b/a b.py\r\n@@ -1 +3 @@\r\n@@ -9,2 +9,0 @@"), ("r", "+++ /dev/null\n@@ -1 +0,0 @@"), ("r", None), ("r", "@@ -1 +1 @@")], "repo_id string, diff string")
+    assert rows(diff.parse_hunks(two)) == {("r", "x.py", 1, 2), ("r", "x.py", 6, 8), ("r", "a b.py", 3, 4), ("r", "a b.py", 9, 9), ("r", None, 1, 2)}
+    assert rows(diff.changed_paths(spark.createDataFrame([("r", "./a\\b")], "repo_id string, path string"), spark.createDataFrame([("r", "a/b"), ("r", None)], "repo_id string, path string"))) == {("r", "a/b")}
     s = spark.createDataFrame([(1, "r", "x.py", "f", 7), (2, "r", "x.py", "g", 8), (3, "r", "y", "h", None)], "sym_id long, repo_id string, path string, name string, line int")
     assert {r["name"] for r in diff.changed_symbols(s, diff.parse_hunks(d)).collect()} == {"f"}
 
@@ -151,7 +154,8 @@ def test_tree_bundle_and_stream(spark, tmp_path):
     tree.export_bundle({"files": got.drop("content")}, str(tmp_path / "bundle"))
     back = tree.import_bundle(spark, str(tmp_path / "bundle"), {"files": "repo_id string, path string, ext string, size_bytes long, sha256 string"})["files"]
     assert rows(back) == rows(got.drop("content"))
-    spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3)], "k string, v int").write.parquet(str(tmp_path / "in"))
+    late = [("a", 1, 1), ("a", 1, 400), ("b", 2, 90), (None, 3, 3), ("b", 2, None)]
+    spark.createDataFrame(late, "k string, v int, d int").selectExpr("k", "v", "timestamp_seconds(d * 86400) as loaded_at").write.parquet(str(tmp_path / "in"))
     out = watch.ingest(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, ["k"], ["k", "v"])
     assert rows(out) == {("a", 1), ("b", 2), (None, 3)}
 
@@ -199,7 +203,7 @@ def test_frameworks_and_entities(spark):
         "sym_id long, repo_id string, path string, name string, type string, body string",
     )
     assert rows(frameworks.detected_frameworks(b)) == {(1, "react-component"), (2, "react-hook"), (3, "fastapi-endpoint"), (4, "spring-controller")}
-    assert {(r["name"], r["kind"], r["fields"]) for r in frameworks.entities(b).collect()} == {("P", "pydantic", "a b")}
+    assert {(r["name"], r["kind"], r["fields"]) for r in frameworks.entities(b).collect()} == {("P", "pydantic", "a b"), ("C", "unknown", "")}
     assert frameworks.entities(b.limit(0)).count() == 0
 
 
@@ -277,5 +281,5 @@ def test_outline_and_concept_points(spark):
     s = spark.createDataFrame([(1, "r", "p", 0, "f", "function", 5), (1, "r", "p", 0, "f", "function", 5), (2, "r", "p", None, None, None, None)], "sym_id long, repo_id string, path string, ordinal int, name string, type string, line int")
     assert rows(search.outline(s)) == {(1, "r", "p", 0, "f", 12, 4), (2, "r", "p", None, "?", 13, 0)}
     points = search.concept_points("error handling of the cache")
-    assert (points["error_handling"], points["caching"], points["search"]) == (18, 8, 0)
-    assert search.concept_points("search it")["search"] == 21
+    assert (points["error_handling"], points["caching"], points["search"]) == (18, 0, 0)
+    assert (search.concept_points("search it")["search"], search.concept_points("Cache invalidation?")["caching"]) == (13, 8)
