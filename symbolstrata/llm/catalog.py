@@ -46,6 +46,13 @@ def p2_shared_chars(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_characters(spans.shared_spans(_records(spark, root))).select(_table_name(), "id", "shared_chars", "shared_stretches")
 
 
+def p2_remaining(spark: SparkSession, root: str) -> DataFrame:
+    """What is left of the records that share spans once these are taken out."""
+    records = _records(spark, root)
+    left = spans.without_shared(records, spans.shared_spans(records))
+    return left.select(_table_name(), "id", F.length("text").alias("remaining_chars"), F.col("removed").alias("removed_chars"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return docpairs.described_symbols(load(spark, root, "symbols"), load(spark, root, "symbol_bodies"), load(spark, root, "files"))
 
@@ -84,9 +91,20 @@ def p8_sources(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared_chars, p3_found, p3_pairs, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_all, p8_found, p8_sources)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_shared_chars, p2_remaining, p3_found, p3_pairs, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_all, p8_found, p8_sources)}
+
+
+_GRAMS = """r AS (SELECT DISTINCT 'symbol_bodies' AS t, sym_id AS id, repo_id, path, body AS x FROM symbol_bodies WHERE length(body) >= 200 UNION ALL SELECT DISTINCT 'snippets', snippet_id, repo_id, file_path, content FROM snippets WHERE length(content) >= 200),
+  g AS (SELECT t, id, repo_id, path, i, substr(x, i, 200) AS s FROM (SELECT *, unnest(range(1, length(x) - 198)) AS i FROM r)), many AS (SELECT t, s FROM g GROUP BY 1, 2 HAVING count(DISTINCT (repo_id, path)) > 1),
+  m AS (SELECT DISTINCT g.* FROM g JOIN many ON many.t = g.t AND many.s = g.s)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: fingerprints, automata, parsing, packing and rounding are tested by brute force in tests/llm."""
-    return {}
+    """Shared spans by all their 200-grams; fingerprints, parsing, packing, rounding and cut texts are tested by brute force in tests/llm."""
+    return {
+        "p2_found": f"WITH {_GRAMS} SELECT DISTINCT a.t AS record_table, a.id AS id_a, b.id AS id_b FROM m a JOIN m b ON a.t = b.t AND a.s = b.s AND a.id < b.id AND (a.repo_id, a.path) IS DISTINCT FROM (b.repo_id, b.path)",
+        "p2_shared_chars": f"""WITH {_GRAMS}, p AS (SELECT DISTINCT t, id, i FROM m), o AS (SELECT *, i - lag(i) OVER (PARTITION BY t, id ORDER BY i) AS gap FROM p)
+          SELECT t AS record_table, id, sum(coalesce(least(200, gap), 200)) AS shared_chars, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) AS shared_stretches FROM o GROUP BY 1, 2""",
+        "p2_remaining": f"""WITH {_GRAMS}, p AS (SELECT DISTINCT t, id, i FROM m), o AS (SELECT *, i - lag(i) OVER (PARTITION BY t, id ORDER BY i) AS gap FROM p), c AS (SELECT t, id, sum(coalesce(least(200, gap), 200)) AS n FROM o GROUP BY 1, 2)
+          SELECT DISTINCT c.t AS record_table, c.id, length(r.x) - n AS remaining_chars, n AS removed_chars FROM c JOIN r ON r.t = c.t AND r.id = c.id""",
+    }

@@ -357,9 +357,28 @@ def linked_pairs(spans: DataFrame) -> DataFrame:
 
 def shared_characters(spans: DataFrame) -> DataFrame:
     """Per record (kind, id): number of its characters inside spans that another file also has, and of such stretches."""
+    return _islands(spans).groupBy("kind", "id").agg(F.sum(F.col("stop") - F.col("start")).alias("shared_chars"), F.count("*").alias("shared_stretches"))
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """The merged stretches of each record (kind, id) that other files also have: start, stop; touching ones are one."""
     parts = spans.select("kind", "id", "start", "stop").distinct()
     by = W.partitionBy("kind", "id").orderBy("start", "stop")
     before = F.max("stop").over(by.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.greatest(F.col("stop") - F.greatest(F.coalesce(before, F.col("start")), F.col("start")), F.lit(0))
-    parts = parts.withColumn("fresh", fresh).withColumn("opens", (before.isNull() | (F.col("start") > before)).cast("int"))
-    return parts.groupBy("kind", "id").agg(F.sum("fresh").alias("shared_chars"), F.sum("opens").alias("shared_stretches"))
+    opens = parts.withColumn("opens", (before.isNull() | (F.col("start") > before)).cast("int"))
+    marked = opens.withColumn("island", F.sum("opens").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy("kind", "id", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+
+
+def without_shared(records: DataFrame, spans: DataFrame) -> DataFrame:
+    """The texts of the records that share spans with those taken out: kind, id, text, removed (characters).
+
+    Every maximal stretch that another file also has goes, in all its places; records that share nothing are not in the
+    result. A record's stretches are a list no longer than its text allows; repeated rows of a record count once.
+    """
+    lists = _islands(spans).groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"))
+    texts = records.where("text is not null").groupBy("kind", "id").agg(F.first("text").alias("text"))
+    left = F.expr("""concat_ws('', transform(sequence(0, size(cut)), k ->
+        substring(text, if(k = 0, 0, cut[k - 1].stop) + 1, if(k = size(cut), length(text), cut[k].start) - if(k = 0, 0, cut[k - 1].stop))))""")
+    removed = F.aggregate("cut", F.lit(0), lambda a, x: a + x["stop"] - x["start"])
+    return texts.join(lists, ["kind", "id"]).select("kind", "id", left.alias("text"), removed.alias("removed"))

@@ -48,6 +48,24 @@ def test_pairs_and_characters(spark, shard):
     assert {(r["kind"], r["id"]): r["shared_chars"] for r in S.shared_characters(found).collect()} == chars
 
 
+def test_what_is_left(spark):
+    records = corpus(7)
+    df = spark.createDataFrame([(*r, "clash", 1) for r in records], SCHEMA)
+    found = S.shared_spans(df, span=20, gram=9)
+    left = {(r["kind"], r["id"]): r for r in S.without_shared(df, found).collect()}
+    assert {k: r["removed"] for k, r in left.items()} == brute(records, 20)[1]
+    texts = {r[:2]: r[3] for r in records}
+    assert all(len(r["text"]) == len(texts[k]) - r["removed"] for k, r in left.items())
+    assert S.without_shared(df.limit(0), found).count() == 0
+
+
+def test_large_classes_are_expanded_by_parts(spark, monkeypatch):
+    records = corpus(5)
+    df = spark.createDataFrame([(*r, "clash", 1) for r in records], SCHEMA)
+    monkeypatch.setattr(S, "CLASS_PART", 2)
+    assert {tuple(r) for r in S.linked_pairs(S.shared_spans(df, span=20, gram=9)).collect()} == brute(records, 20)[0]
+
+
 def test_shuffled_instead_of_broadcast(spark):
     records = corpus(9)
     df = spark.createDataFrame([(*r, "clash", 1) for r in records], SCHEMA)
