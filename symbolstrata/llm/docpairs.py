@@ -1,14 +1,16 @@
 """Functions paired with their documentation (problem 3).
 
-Method: signatures are found by regular expressions, bodies are delimited by the indentation or by a stack of brackets, and
-the comment that ends directly above a declaration (by line distance, over decorators and the like) or opens its body is
-attached. Files are parsed where they lie; the pairs meet their symbols by repository, path, name and line.
+Method: signatures are found by regular expressions, bodies are delimited by the indentation or by a stack of brackets or
+of end keywords, and the comment that ends directly above a declaration (by line distance, over decorators and the like)
+or opens its body is attached. Files are parsed where they lie; the pairs meet their symbols by repository, path, name
+and line.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -136,76 +138,95 @@ def comment_above(lines: list[str], at: int, ext: str) -> str:
     return ""
 
 
-def docstring(lines: list[str], at: int) -> str:
-    """The string that opens the body of the Python definition on line ``at``, or nothing."""
-    depth, i = 0, at
-    while i < len(lines) and i < at + 60:  # to the end of the header
-        depth += sum(lines[i].count(c) for c in "([{") - sum(lines[i].count(c) for c in ")]}")
-        if depth <= 0 and lines[i].split("#")[0].rstrip().endswith(":"):
-            break
-        i += 1
-    i += 1
-    while i < len(lines) and not lines[i].strip():
-        i += 1
-    if i >= len(lines):
-        return ""
-    m = _OPENING.match(lines[i])
-    if not m:
-        return ""
-    quote = m[1]
-    rest = lines[i][m.end() :]
-    if len(quote) == 1:
-        return rest.split(quote)[0] if rest.rstrip().endswith(quote) else ""
-    out = []
-    while True:
-        if quote in rest:
-            out.append(rest.split(quote)[0])
-            return "\n".join(x.strip() for x in out).strip()
-        out.append(rest)
-        i += 1
-        if i >= len(lines):
-            return "\n".join(x.strip() for x in out).strip()
-        rest = lines[i]
-
-
-def body_end(lines: list[str], at: int, ext: str) -> int:
-    """The line after the body of the declaration on line ``at``: by indentation in Python, else by a stack of brackets."""
-    if ext == ".py":
-        indent = len(lines[at]) - len(lines[at].lstrip())
-        end = at + 1
-        while end < len(lines):
-            x = lines[end]
-            if x.strip() and len(x) - len(x.lstrip()) <= indent and not x.lstrip().startswith((")", "]", "}")):
-                break
-            end += 1
-        while end > at + 1 and not lines[end - 1].strip():
-            end -= 1
-        return end
-    stack: list[str] = []
-    opened = False
-    for i in range(at, len(lines)):
-        code = re.sub(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|//.*$', "", lines[i])
-        for c in code:
-            if c in "{([":
-                stack.append(c)
-                opened |= c == "{"
-            elif c in "})]" and stack:
-                stack.pop()
-        if not stack and (opened or code.rstrip().endswith(";")):
-            return i + 1
-    return len(lines)
-
-
-def declared(text: str, ext: str) -> Iterator[tuple[int, str, list[str], str, str]]:
-    """Functions and methods of a source text: line (1-based), name, parameter names, description, code."""
-    lines = _plain(text)
-    for i, line in enumerate(lines):
-        if "(" not in line and "=>" not in line:
-            continue
-        name = signature(line)
-        if name is None:
-            continue
-        yield i + 1, name, _parameters(line), described(lines, i, ext), "\n".join(lines[i : body_end(lines, i, ext)])
+# ---- fixed values: strings and comments by family of languages; openers and closers of a stack ----
+_STRING = r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`'
+_ASIDE = {"#": re.compile(rf"{_STRING}|\#[^\n]*", re.S), "/": re.compile(rf"{_STRING}|/\*.*?(?:\*/|\Z)|//[^\n]*", re.S)}
+_END_EXT = frozenset((".rb", ".lua", ".ex", ".exs", ".jl"))
+_OPENS = re.compile(r"^\s*(?:(?:local|private|public|protected)\s+)?(?:def|defp|defmodule|class|module|function|if|unless|case|while|until|for|begin)\b|=\s*(?:if|unless|case|begin|function)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|\bfunction\s*\([^)]*\)\s*$")
+_ENDS = re.compile(r"(?<![\w.:])end\b(?![?!:])")
+
+
+class Source:
+    """A source text by lines, with what stands in strings and comments blanked where its structure is read."""
+
+    def __init__(self, text: str, ext: str):
+        self.lines, self.ext = _plain(text), ext
+
+    @cached_property
+    def code(self) -> list[str]:
+        """The lines without strings and comments; as many as there are lines."""
+        aside = _ASIDE["#" if self.ext in _HASH_EXT or self.ext in _END_EXT else "/"]
+        return aside.sub(lambda m: "\n" * m[0].count("\n") or " ", "\n".join(self.lines)).split("\n")
+
+    @cached_property
+    def depth(self) -> list[int]:
+        """How many brackets, or blocks that an end keyword closes, are open after each line."""
+        out, depth = [], 0
+        for x in self.code:
+            if self.ext in _END_EXT:
+                depth += len(_OPENS.findall(x)) - len(_ENDS.findall(x))
+            else:
+                depth += sum(map(x.count, "([{")) - sum(map(x.count, ")]}"))
+            out.append(depth)
+        return out
+
+    def header_end(self, at: int) -> int:
+        """The last line of the header of the Python definition on line ``at``."""
+        before = self.depth[at - 1] if at else 0
+        return next((i for i in range(at, len(self.code)) if self.depth[i] <= before and self.code[i].rstrip().endswith(":")), at)
+
+    def body_end(self, at: int) -> int:
+        """The line after the body of the declaration on line ``at``: by indentation in Python, else where its stack is empty again."""
+        code = self.code
+        if self.ext == ".py":
+            indent = len(self.lines[at]) - len(self.lines[at].lstrip())
+            end = at + 1
+            while end < len(code):
+                x = code[end]
+                if x.strip() and len(x) - len(x.lstrip()) <= indent and not x.lstrip().startswith((")", "]", "}")):
+                    break
+                end += 1
+            while end > at + 1 and not self.lines[end - 1].strip():
+                end -= 1
+            return end
+        before, opened = self.depth[at - 1] if at else 0, False
+        for i in range(at, len(code)):
+            opened |= self.ext in _END_EXT or "{" in code[i]
+            if self.depth[i] <= before and (opened or code[i].rstrip().endswith(";")):
+                return i + 1
+        return len(code)
+
+    def docstring(self, at: int) -> str:
+        """The string that opens the body of the Python definition on line ``at``, or nothing."""
+        lines = self.lines
+        i = self.header_end(at) + 1
+        while i < len(lines) and not lines[i].strip():
+            i += 1
+        m = _OPENING.match(lines[i]) if i < len(lines) else None
+        if not m:
+            return ""
+        quote = m[1]
+        rest = lines[i][m.end() :]
+        if len(quote) == 1:
+            return rest.split(quote)[0] if rest.rstrip().endswith(quote) else ""
+        out = []
+        while quote not in rest and i + 1 < len(lines):
+            out.append(rest)
+            i += 1
+            rest = lines[i]
+        out.append(rest.split(quote)[0])
+        return "\n".join(x.strip() for x in out).strip()
+
+    def described(self, at: int) -> str:
+        inside = self.docstring(at) if self.ext == ".py" else ""
+        above = comment_above(self.lines, at, self.ext)
+        return "\n".join(x for x in (inside, above) if x)
+
+    def declared(self) -> Iterator[tuple[int, str]]:
+        """Line (0-based) and name of each function or method."""
+        for i, line in enumerate(self.lines):
+            if ("(" in line or "=>" in line or self.ext in _END_EXT) and (name := signature(line)) is not None:
+                yield i, name
 
 
 def _parameters(line: str) -> list[str]:
@@ -213,31 +234,20 @@ def _parameters(line: str) -> list[str]:
     return re.findall(r"[\w$]+", m[1]) if m else []
 
 
-def described(lines: list[str], at: int, ext: str) -> str:
-    inside = docstring(lines, at) if ext == ".py" else ""
-    above = comment_above(lines, at, ext)
-    return "\n".join(x for x in (inside, above) if x)
-
-
 def _ext(path: str | None) -> str:
     return path[path.rfind(".") :].lower() if path and "." in path else ""
 
 
-def _from_files(code: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for repo, path, content in zip(batch["repo_id"], batch["path"], batch["content"], strict=True):
-                ext = _ext(path)
-                lines = _plain(content)
-                for i, line in enumerate(lines):
-                    if ("(" in line or "=>" in line) and (name := signature(line)) is not None:
-                        text = described(lines, i, ext)
-                        if text and says_something(text, name, _parameters(line)):
-                            rows.append((repo, path, i + 1, name, text if code else None, "\n".join(lines[i : body_end(lines, i, ext)]) if code else None))
-            yield pd.DataFrame(rows, columns=["repo_id", "path", "line", "name", "description", "code"])
-
-    return run
+def _from_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for repo, path, content in zip(batch["repo_id"], batch["path"], batch["content"], strict=True):
+            source = Source(content, _ext(path))
+            for i, name in source.declared():
+                text = source.described(i)
+                if text and says_something(text, name, _parameters(source.lines[i])):
+                    rows.append((repo, path, i + 1, name, text, "\n".join(source.lines[i : source.body_end(i)])))
+        yield pd.DataFrame(rows, columns=["repo_id", "path", "line", "name", "description", "code"])
 
 
 def _from_symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,31 +260,32 @@ def _from_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for key, path, name, body in zip(batch["sym_id"].tolist(), batch["path"], batch["name"], batch["body"], strict=True):
-            lines = _plain(body)
-            at = next((i for i, x in enumerate(lines[:6]) if name and name in x and signature(x) == name), None)
+            if not name:
+                continue
+            source = Source(body, _ext(path))
+            at = next((i for i, x in enumerate(source.lines) if name in x and signature(x) == name), None)
             if at is None:
                 continue
-            text = described(lines, at, _ext(path))
-            if text and says_something(text, name, _parameters(lines[at])):
-                rows.append((key, text))
-        yield pd.DataFrame(rows, columns=["sym_id", "description"])
+            text = source.described(at)
+            if text and says_something(text, name, _parameters(source.lines[at])):
+                rows.append((key, text, "\n".join(source.lines[at : source.body_end(at)])))
+        yield pd.DataFrame(rows, columns=["sym_id", "description", "code"])
 
 
 _SPOKEN = "repo_id string, path string, line int, name string, description string, code string"
 
 
-def _descriptions(symbols: DataFrame, bodies: DataFrame, files: DataFrame, code: bool) -> DataFrame:
+def _descriptions(symbols: DataFrame, bodies: DataFrame, files: DataFrame) -> DataFrame:
     wanted = symbols.where("type in ('function', 'method')")
     own = wanted.where("trim(doc) <> ''").select("sym_id", "name", "doc", "params").mapInPandas(_from_symbols, "sym_id long, description string")
-    inner = bodies.where("type in ('function', 'method') and body <> ''").select("sym_id", "path", "name", "body").mapInPandas(_from_bodies, "sym_id long, description string")
-    spoken = files.select("repo_id", "path", "content").where("content <> ''").mapInPandas(_from_files(code), _SPOKEN)
-    spoken = spoken.dropDuplicates(["repo_id", "path", "line", "name"])
+    inner = bodies.where("type in ('function', 'method') and body <> ''").select("sym_id", "path", "name", "body").mapInPandas(_from_bodies, "sym_id long, description string, code string")
+    spoken = files.select("repo_id", "path", "content").where("content <> ''").mapInPandas(_from_files, _SPOKEN)
+    spoken = spoken.groupBy("repo_id", "path", "line", "name").agg(F.first("description").alias("description"), F.first("code").alias("code"))
     outer = wanted.select("sym_id", "repo_id", "path", "line", "name").distinct().join(spoken, ["repo_id", "path", "line", "name"]).select("sym_id", "description", "code")
-    none = F.lit(None).cast("string")
     return (
         outer.withColumn("rank", F.lit(0))
-        .unionByName(own.withColumn("code", none).withColumn("rank", F.lit(1)))
-        .unionByName(inner.withColumn("code", none).withColumn("rank", F.lit(2)))
+        .unionByName(own.withColumn("code", F.lit(None).cast("string")).withColumn("rank", F.lit(1)))
+        .unionByName(inner.withColumn("rank", F.lit(2)))
     )
 
 
@@ -284,7 +295,7 @@ def described_symbols(symbols: DataFrame, bodies: DataFrame, files: DataFrame) -
     Repeated deliveries count once. Null texts, names and paths give no description; an empty table gives none. A comment
     on another line than the symbol's declares is not taken, nor are comments inside bodies or at the head of a file.
     """
-    return _descriptions(symbols, bodies, files, False).select("sym_id").distinct()
+    return _descriptions(symbols, bodies, files).select("sym_id").distinct()
 
 
 def code_description_pairs(symbols: DataFrame, bodies: DataFrame, files: DataFrame) -> DataFrame:
@@ -293,7 +304,7 @@ def code_description_pairs(symbols: DataFrame, bodies: DataFrame, files: DataFra
     The description from the source is preferred to that of the index, which may be cut; the code is the declaration and
     its body from the file, or the body of ``bodies`` where the file has no such declaration.
     """
-    best = _descriptions(symbols, bodies, files, True).groupBy("sym_id").agg(F.min(F.struct("rank", "description", "code")).alias("b"))
+    best = _descriptions(symbols, bodies, files).groupBy("sym_id").agg(F.min(F.struct("rank", "description", "code")).alias("b"), F.min(F.when(F.col("code").isNotNull(), F.struct("rank", "code"))).alias("c"))
     names = symbols.groupBy("sym_id").agg(F.min(F.struct("repo_id", "path", "name")).alias("s"))
     code = bodies.groupBy("sym_id").agg(F.min("body").alias("body"))
-    return best.join(names, "sym_id").join(code, "sym_id", "left").select("sym_id", "s.repo_id", "s.path", "s.name", "b.description", F.coalesce("b.code", "body").alias("code"))
+    return best.join(names, "sym_id").join(code, "sym_id", "left").select("sym_id", "s.repo_id", "s.path", "s.name", "b.description", F.coalesce("c.code", "body").alias("code"))

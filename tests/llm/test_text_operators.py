@@ -50,6 +50,19 @@ def test_pairs(spark):
     assert docpairs.described_symbols(none, bodies.limit(0), files.limit(0)).count() == 0
 
 
+def test_bodies_by_their_stacks():
+    ruby = "class A\n  # Adds up.\n  def add(a, b)\n    if a then\n      x = 'end'\n    end\n    items.each do |i|\n      puts i if i\n    end\n    a\n  end\n\n  def two()\n    2 # end\n  end\nend\n"
+    script = "/* f(x) { */\nfunction a(x) {\n  const t = `}\n}`; // }\n  return '}';\n}\nconst b = (y) => y;\n"
+    python = 'def f(\n    a,\n    b=(1,\n       2),\n):\n    s = """\nno end\n"""\n    return s\n\n\nx = 1\n'
+    ends = lambda text, ext: [(n, i, docpairs.Source(text, ext).body_end(i)) for i, n in docpairs.Source(text, ext).declared()]
+    assert ends(ruby, ".rb") == [("add", 2, 11), ("two", 12, 15)]
+    assert ends(script, ".js") == [("a", 1, 6), ("b", 6, 7)]
+    assert ends(python, ".py") == [("f", 0, 9)]
+    assert docpairs.Source(ruby, ".rb").described(2) == "Adds up."
+    long = "def g(\n" + "".join(f"    a{i},\n" for i in range(200)) + "):\n    '''Sums them.'''\n"
+    assert docpairs.Source(long, ".py").described(0) == "Sums them."
+
+
 def test_packing_keeps_every_token(spark, data):
     docs = spark.createDataFrame([(i, "word " * (i * 7 % 400 + 1), 1) for i in range(300)] + [(900, None, 1), (901, " \n", 1), (902, "x " * 9000, 1), (5, "again", 1)], "doc_id long, text string, block int")
     budgets = spark.createDataFrame([("s", 256), ("s", 256), ("l", 2048), ("bad", None), ("zero", 0)], "budget_name string, capacity_tokens int")
@@ -100,10 +113,14 @@ def test_mix(spark):
         assert c.doc_id.is_unique and set(c.source) <= set(cap) and all(x <= cap[s] for s, x in zip(c.source, c.copies, strict=True))
         r = report.toPandas().set_index("source")
         assert abs(r.actual_share.sum() - 1) < 1e-4 and r.loc["none", "mixed_tokens"] == 0 and not r.loc["none", "met"]
+        near = 69 / r.mixed_tokens.sum()  # the longest document
+        assert all(m == (t > 0 and abs(a - g) <= near) for a, g, t, m in zip(r.actual_share, r.target_share, r.mixed_tokens, r.met, strict=True))
         if total is None:
             assert all(abs(r.loc[s, "actual_share"] - t) < 0.03 for s, t in (("wiki", 0.5), ("issues", 0.4), ("adr", 0.1)))
         else:
             assert not r.loc["adr", "met"] and r.loc["adr", "most_copies"] == 3
+    everything = mixing.mix(docs, targets, "all")[1].toPandas().set_index("source")
+    assert everything.loc["adr", "mixed_tokens"] == 3 * everything.loc["adr", "tokens"] and everything.goal_tokens.sum() >= everything.tokens.sum()
     copies, report = mixing.mix(docs.limit(0), targets)
     assert copies.count() == 0 and report.count() == 4
 
