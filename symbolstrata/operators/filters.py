@@ -39,23 +39,28 @@ def ignored_by_default(path: Column) -> Column:
 BROADCAST_ROWS, RULE_ROWS = 100_000, 500_000
 
 
-def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
+def pattern_hits(files: DataFrame, patterns: DataFrame, parts: bool = True) -> DataFrame:
     """Distinct (repo_id, path) that a pattern of its repository fits: as a part of the path, or as a glob.
 
+    Without ``parts`` (for what is included) as a glob only, of the whole path or of what stands after any folder.
+
     A repository's patterns become one row, globs one expression, so a file meets them all at once and a large repository
     isn't one task: up to BROADCAST_ROWS repositories their rows go to the files.
     """
     f = files.where("path is not null").select("repo_id", "path").distinct().withColumn("p", clean_path(F.col("path")))
     g = patterns.where("pattern <> ''").select("repo_id", F.translate("pattern", "\\", "/").alias("pattern")).distinct().withColumn("glob", glob_pattern(F.col("pattern")))
     g = g.groupBy("repo_id").agg(F.array_sort(F.collect_list("pattern")).alias("parts"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("(?:"), "glob", F.lit(")")))), "|").alias("globs"))
-    return f.join(small_side(g, BROADCAST_ROWS), "repo_id").where(F.exists("parts", lambda x: F.col("p").contains(x)) | F.expr("p rlike globs")).select("repo_id", "path")
+    whole = F.expr("p rlike globs")
+    # a glob starts at ^; what stands after a folder is met by letting any folders come first
+    fits = F.exists("parts", lambda x: F.col("p").contains(x)) | whole if parts else whole | F.expr("p rlike replace(globs, '(?:^', '(?:^.*/')")
+    return f.join(small_side(g, BROADCAST_ROWS), "repo_id").where(fits).select("repo_id", "path")
 
 
 def ignore_reasons(files: DataFrame, excludes: DataFrame, includes: DataFrame | None = None, include_tests: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
     """repo_id, path, reason (default, excluded, not_included, test, too_large, or null for files to index)."""
     f = files.where("path is not null").groupBy("repo_id", "path").agg(F.max("size_bytes").alias("size_bytes"))
     out = f.join(pattern_hits(files, excludes).withColumn("ex", F.lit(True)), ["repo_id", "path"], "left")
-    out = out.join(pattern_hits(files, includes).withColumn("inc", F.lit(True)), ["repo_id", "path"], "left") if includes is not None else out.withColumn("inc", F.lit(True))
+    out = out.join(pattern_hits(files, includes, parts=False).withColumn("inc", F.lit(True)), ["repo_id", "path"], "left") if includes is not None else out.withColumn("inc", F.lit(True))
     test = F.lit(not include_tests) & clean_path(F.col("path")).rlike(TEST_PATTERN)
     reason = F.when(ignored_by_default(F.col("path")), "default").when(F.col("ex"), "excluded").when(F.col("inc").isNull(), "not_included").when(test, "test").when(F.col("size_bytes") > max_bytes, "too_large")
     return out.select("repo_id", "path", reason.alias("reason"))

@@ -93,6 +93,13 @@ def trace_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataF
     return done
 
 
+def trace_report(edges: DataFrame, seeds: DataFrame, per_start: int = 5, most: int = 50) -> DataFrame:
+    """The first paths of each start (by length and names), ``per_start`` of them and ``most`` of a repository: repo_id, start, place, path (array)."""
+    paths = trace_paths(edges, seeds)
+    mine = paths.withColumn("_i", F.row_number().over(W.partitionBy("repo_id", "start").orderBy(F.size("path"), F.array_join("path", " > ")))).where(F.col("_i") <= per_start)
+    return mine.withColumn("place", F.row_number().over(W.partitionBy("repo_id").orderBy("start", "_i"))).where(F.col("place") <= most).select("repo_id", "start", "place", "path")
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, callees: int = 10) -> DataFrame:
     """Two steps out of each seed, the first ``callees`` names (in order) of every step: repo_id, seed, depth, src, dst."""
     ranked = edges.withColumn("n", F.row_number().over(W.partitionBy("repo_id", "src").orderBy("dst"))).where(F.col("n") <= callees).drop("n")

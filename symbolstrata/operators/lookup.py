@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import body_ends, lines
 from ..tables import clean_path
 
 
@@ -126,6 +126,20 @@ def bodies_to_next(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return snippet_lines(windows, files).select(F.col("name").alias("sym_id"), "repo_id", "path", F.col("snippet").alias("body"))
 
 
+def bodies_by_layout(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Where the body of each symbol ends by the layout of its file: sym_id, repo_id, path, line, last_line.
+
+    By indentation in Python, by brackets elsewhere; strings and comments don't count. A file is read once for all its symbols;
+    symbols without a line, or past the end of the file, and files without a text, give none.
+    """
+    s = symbols.where("line >= 1 and path is not null").select("sym_id", "repo_id", "path", "line").distinct()
+    f = files.where("content <> '' and path is not null").groupBy("repo_id", "path").agg(F.min("content").alias("content"))
+    by_file = s.groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(F.struct("line", "sym_id"))).alias("s"))
+    j = f.join(by_file, ["repo_id", "path"]).withColumn("ends", body_ends("content", "path", F.col("s.line"))).drop("content")
+    each = j.select("repo_id", "path", F.explode(F.arrays_zip("s", "ends")).alias("x"))
+    return each.select("x.s.sym_id", "repo_id", "path", "x.s.line", F.col("x.ends").alias("last_line")).where("last_line is not null")
+
+
 def top_caller_savings(edges: DataFrame, symbols: DataFrame, files: DataFrame, k: int = 3) -> DataFrame:
     """What a look at each repository's ``k`` busiest callers costs beside all its files: repo_id, rank, name, callees, context_tokens, saved_percent.
 

@@ -100,12 +100,11 @@ def exact_duplicates(bodies: DataFrame, least_characters: int = 80) -> DataFrame
     return g.groupBy("fingerprint").agg(F.count_distinct("sym_id").alias("members"), F.count_distinct("repo_id", "path").alias("files"), F.count_distinct("repo_id").alias("repositories")).where("members > 1")
 
 
-def near_duplicates(bodies: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per function: sym_id, class_id, copies, links.
+def _duplicate_classes(bodies: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Functions with their class (sym_id, class_id) and the classes that alike (a, b, similarity), each pair once.
 
-    A class holds the functions with the same set of ``words``-word shingles of normalised code and is named by its smallest
-    sym_id; copies is the number of its functions, links the number of other classes with a Jaccard similarity of at least ``similarity``. Exact: two sets that alike
-    share one of their rarest shingles (prefix filter), and candidates are verified. Functions without shingles are left out.
+    Exact: two sets that alike share one of their rarest shingles (prefix filter), sizes and places bound what they can share,
+    and what is left is verified. Hot shingles are joined by parts.
     """
     b = bodies.where("type in ('function', 'method')").select("sym_id", F.regexp_extract_all(normal_code(F.col("body")), F.lit(r"(\w+)"), F.lit(1)).alias("w")).where(F.size("w") >= words)
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.element_at("w", (i + k + 1).cast("int")) for k in range(words)])))
@@ -130,12 +129,32 @@ def near_duplicates(bodies: DataFrame, words: int = 5, similarity: float = 0.8)
     pairs = first.where(1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= least).select("a", "b")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    linked = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+    alike = shared / (F.size("sa") + F.size("sb") - shared)
+    linked = both.where(alike >= similarity - 1e-9).select("a", "b", alike.alias("similarity"))
+    return members, linked
+
+
+def near_duplicates(bodies: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per function: sym_id, class_id, copies, links.
+
+    A class holds the functions with the same set of ``words``-word shingles of normalised code and is named by its smallest
+    sym_id; copies is the number of its functions, links the number of other classes with a Jaccard similarity of at
+    least ``similarity``. Functions without shingles are left out; repeated rows and null bodies change nothing.
+    """
+    members, linked = _duplicate_classes(bodies, words, similarity)
     links = linked.select(F.col("a").alias("class_id")).unionByName(linked.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("links"))
     copies = members.groupBy("class_id").agg(F.count("*").alias("copies"), F.min("sym_id").alias("first"))
     return members.join(copies, "class_id").join(links, "class_id", "left").select("sym_id", F.col("first").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def duplicate_links(bodies: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The links between classes of near duplicates: class_a < class_b (named as in near_duplicates), similarity (six places)."""
+    members, linked = _duplicate_classes(bodies, words, similarity)
+    named = cut_lineage(members.groupBy("class_id").agg(F.min("sym_id").alias("first")))
+    out = linked.join(named.toDF("a", "fa"), "a").join(named.toDF("b", "fb"), "b")
+    return out.select(F.least("fa", "fb").alias("class_a"), F.greatest("fa", "fb").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def doc_coverage(symbols: DataFrame) -> DataFrame:
     """Per repository and extension: symbols, those with a doc, percent rounded to one place."""
     s = symbols.select("sym_id", "repo_id", extension(F.col("path")).alias("ext"), (F.coalesce(F.trim("doc"), F.lit("")) != "").alias("has")).distinct()

@@ -139,6 +139,11 @@ def context_search(symbols: DataFrame, edges: DataFrame, query: str, k: int = 5)
     return ranked.where(F.col("rank") <= k).select("repo_id", "rank", "sym_id", "name", "type", "path", "line", "callers", "score")
 
 
+def fuzzy_best(symbols: DataFrame, query: str, k: int = 20, threshold: float = 0.5) -> DataFrame:
+    """The ``k`` names most like the query, see fuzzy_search; ties by name."""
+    return fuzzy_search(symbols, query, threshold).orderBy(F.desc("score"), "name").limit(k)
+
+
 def fuzzy_search(symbols: DataFrame, query: str, threshold: float = 0.5) -> DataFrame:
     """Distinct symbol names like the query: name, score, symbols. Equal 1.0, part 0.9, all words 0.8, initials 0.75, else the ratio."""
     q = query.lower()

@@ -36,6 +36,11 @@ def near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     return quality.near_duplicates(load(spark, root, "symbol_bodies"))
 
 
+def duplicate_links(spark: SparkSession, root: str) -> DataFrame:
+    """Links between classes of near duplicates, the most alike first."""
+    return quality.duplicate_links(load(spark, root, "symbol_bodies")).orderBy(F.desc("similarity"), "class_a", "class_b")
+
+
 def doc_coverage(spark: SparkSession, root: str) -> DataFrame:
     return quality.doc_coverage(load(spark, root, "symbols"))
 
@@ -135,7 +140,7 @@ def dead_code_report(spark: SparkSession, root: str) -> DataFrame:
     return ranked.join(d.groupBy("repo_id").agg(F.count("*").alias("all_dead")), "repo_id").select("repo_id", "rank", "sym_id", "name", "path", "all_dead")
 
 
-QUERIES = (package_symbols, external_modules_of_code, signatures, signature_agreement, endpoints, endpoint_summary, entities, entity_kinds, most_complex, dead_code_report, detected_frameworks, unlabelled_symbols, dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
+QUERIES = (duplicate_links, package_symbols, external_modules_of_code, signatures, signature_agreement, endpoints, endpoint_summary, entities, entity_kinds, most_complex, dead_code_report, detected_frameworks, unlabelled_symbols, dead_code, complexity, complexity_ratings, exact_duplicates, near_duplicates, doc_coverage, declarations, imports, called_names, routes, findings, findings_summary, smells, line_counts)
 
 
 def _q(text: str) -> str:
@@ -212,6 +217,9 @@ _ROUTES = f"""{_L}, x AS (SELECT * FROM l WHERE NOT regexp_matches(trim(text), '
 _ENDPOINTS = f"{_ROUTES}, ep AS (SELECT repo_id, path, method, route, min(line) AS line, arg_min(framework, (line, framework)) AS framework FROM ro GROUP BY 1, 2, 3, 4)"
 _ENTITY = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), {_q(e)}) AND " + (f"regexp_matches(body, {_q(t)})" if t else f"regexp_matches(name, {_q(n)})") + f" THEN '{k}'" for k, e, t, n in frameworks.ENTITY_RULES) + " ELSE 'unknown' END"
 _ENTITIES = f"en AS (SELECT DISTINCT sym_id, repo_id, path, name, {_ENTITY} AS kind FROM symbol_bodies WHERE type = 'class' AND body <> '' AND regexp_matches(lower(path), '\\.(?:js|jsx|ts|tsx|py|java)$'))"
+_NEAR = rf"""w AS (SELECT DISTINCT sym_id, regexp_extract_all({_CODE}, '\w+') AS w FROM symbol_bodies WHERE type IN ('function', 'method')), s AS (SELECT sym_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
+      m AS (SELECT DISTINCT sym_id, md5(array_to_string(s, '|')) AS c, s FROM s), k AS (SELECT c, any_value(s) AS s, any_value(len(s)) AS n, count(*) AS copies, min(sym_id) AS class_id FROM m GROUP BY 1), u AS (SELECT c, n, unnest(s) AS x FROM k),
+      p AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM u a JOIN u b ON a.x = b.x AND a.c <> b.c AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 GROUP BY 1, 2, 3, 4)"""
 SQL = {
     "routes": f"WITH {_ROUTES} SELECT * FROM ro",
     "endpoints": f"WITH {_ENDPOINTS} SELECT * FROM ep",
@@ -227,10 +235,9 @@ SQL = {
     "complexity_ratings": f"WITH {_M} SELECT repo_id, rating, count(*) AS symbols, max(score) AS highest FROM r GROUP BY 1, 2",
     "exact_duplicates": rf"""WITH b AS (SELECT DISTINCT sym_id, repo_id, path, md5(code) AS fingerprint FROM (SELECT sym_id, repo_id, path, {_CODE} AS code FROM symbol_bodies WHERE type IN ('function', 'method')) WHERE length(code) >= 80)
       SELECT fingerprint, count(DISTINCT sym_id) AS members, count(DISTINCT (repo_id, path)) AS files, count(DISTINCT repo_id) AS repositories FROM b GROUP BY 1 HAVING count(DISTINCT sym_id) > 1""",
-    "near_duplicates": rf"""WITH w AS (SELECT DISTINCT sym_id, regexp_extract_all({_CODE}, '\w+') AS w FROM symbol_bodies WHERE type IN ('function', 'method')), s AS (SELECT sym_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
-      m AS (SELECT DISTINCT sym_id, md5(array_to_string(s, '|')) AS c, s FROM s), k AS (SELECT c, any_value(s) AS s, any_value(len(s)) AS n, count(*) AS copies, min(sym_id) AS class_id FROM m GROUP BY 1), u AS (SELECT c, n, unnest(s) AS x FROM k),
-      p AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM u a JOIN u b ON a.x = b.x AND a.c <> b.c AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 GROUP BY 1, 2, 3, 4), l AS (SELECT a AS c, count(*) AS links FROM p WHERE shared >= 0.8 * (na + nb - shared) - 1e-9 GROUP BY 1)
+    "near_duplicates": f"""WITH {_NEAR}, l AS (SELECT a AS c, count(*) AS links FROM p WHERE shared >= 0.8 * (na + nb - shared) - 1e-9 GROUP BY 1)
       SELECT m.sym_id, k.class_id, k.copies, coalesce(l.links, 0) AS links FROM m JOIN k ON k.c = m.c LEFT JOIN l ON l.c = m.c""",
+    "duplicate_links": f"""WITH {_NEAR} SELECT least(x.class_id, y.class_id) AS class_a, greatest(x.class_id, y.class_id) AS class_b, round(shared / (na + nb - shared), 6) AS similarity FROM p JOIN k x ON x.c = p.a JOIN k y ON y.c = p.b WHERE p.a < p.b AND shared >= 0.8 * (na + nb - shared) - 1e-9""",
     "doc_coverage": r"""WITH s AS (SELECT DISTINCT sym_id, repo_id, regexp_extract(path, '(\.[^./\\]+)$', 1) AS ext, coalesce(trim(doc), '') <> '' AS has FROM symbols) SELECT repo_id, ext, count(*) AS symbols, count(*) FILTER (has) AS documented, round(count(*) FILTER (has) * 100.0 / count(*), 1) AS percent FROM s GROUP BY 1, 2""",
     "declarations": f"WITH {_L}, d AS (SELECT DISTINCT repo_id, path, line, {_kind([_q(t) for _, _, t, _ in extract.DECLARATIONS])} AS type, {_NAME_OF} AS name FROM l) SELECT * FROM d WHERE type IS NOT NULL AND NOT list_contains({extract.NOT_NAMES}, name)",
     "imports": f"WITH {_I} SELECT repo_id, path, line, module, imported FROM i WHERE module IS NOT NULL",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import settings
 from ..operators import diff, extract, filters, frameworks, graph, lookup, profile, search
 from ..sources import manifests
-from ..tables import load
+from ..tables import extension, load
 from . import browse_queries, quality_queries, search_queries, source_queries
 from .source_queries import snippet_windows
 
@@ -113,6 +113,14 @@ def rebuilt_bodies(spark: SparkSession, root: str) -> DataFrame:
     return b.select("sym_id", "repo_id", "path", F.length("body").alias("characters"), F.md5("body").alias("fingerprint")).distinct()
 
 
+def body_end_agreement(spark: SparkSession, root: str) -> DataFrame:
+    """Per extension: symbols with an end in the index whose body's end was found by layout, and how many agree."""
+    found = lookup.bodies_by_layout(*_t(spark, root, "symbols", "files"))
+    told = load(spark, root, "symbols").where("end_line is not null").select("sym_id", "end_line").distinct()
+    j = found.join(told, "sym_id")
+    return j.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("symbols"), F.count_if(F.col("last_line") == F.col("end_line")).alias("agree"))
+
+
 def top_caller_savings(spark: SparkSession, root: str) -> DataFrame:
     return lookup.top_caller_savings(_edges(spark, root), *_t(spark, root, "symbols", "files"))
 
@@ -172,6 +180,13 @@ def shortest_cycles(spark: SparkSession, root: str) -> DataFrame:
     return c.orderBy("length", "repo_id", "nodes").limit(50).select("repo_id", "length", "nodes")
 
 
+def trace_report(spark: SparkSession, root: str) -> DataFrame:
+    """The first paths from the first three calling names of each repository with ``load`` in them."""
+    edges = _edges(spark, root)
+    out = graph.trace_report(edges, lookup.matching_starts(edges, "load"))
+    return out.select("repo_id", "start", "place", F.array_join("path", " > ").alias("path"))
+
+
 def changed_paths(spark: SparkSession, root: str) -> DataFrame:
     """Paths that snippets, dependencies or removed files name, as one list of changes."""
     files, snippets, deps = _t(spark, root, "files", "snippets", "file_deps")
@@ -212,7 +227,7 @@ def monorepo_patterns(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = (
     concept_files, concept_flows, answer_symbols, explanation_context, scoped_search, search_with_imports, flow_by_file, symbol_code, symbol_cards, first_matching_file, matching_starts, across_repositories, search_payload, faceted_symbols, api_docs,
-    largest_modules, snippet_lines, rebuilt_bodies, top_caller_savings, content_roles, layer_totals, reasoned_entry_points, output_recommendations, symbol_files, importing_files, participants, entity_relations, most_called, top_level_flows, shortest_cycles, changed_paths,
+    largest_modules, snippet_lines, rebuilt_bodies, body_end_agreement, top_caller_savings, content_roles, layer_totals, reasoned_entry_points, output_recommendations, symbol_files, importing_files, participants, entity_relations, most_called, top_level_flows, shortest_cycles, trace_report, changed_paths,
     dry_run_sample, gitignored, merged_workspace, manifest_dependencies, dependency_warnings, monorepo_patterns,
 )
 _E = "e AS (SELECT DISTINCT repo_id, src, dst FROM calls WHERE src <> '' AND dst <> '')"
@@ -308,6 +323,11 @@ SQL: dict[str, str] = {
     "top_level_flows": f"""WITH {_E}, t AS (SELECT DISTINCT repo_id, src AS name FROM e WHERE NOT EXISTS (FROM e x WHERE x.repo_id = e.repo_id AND x.dst = e.src)), k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name) AS rank FROM t),
       g AS (SELECT repo_id, src AS name, string_agg(dst, ' ' ORDER BY dst) AS shown FROM (SELECT *, {_FIRST.format('src', 'dst')} AS i FROM e) WHERE i <= 5 GROUP BY 1, 2) SELECT k.repo_id, rank, k.name, shown FROM k JOIN g USING (repo_id, name) WHERE rank <= 10""",
     "shortest_cycles": f"WITH c AS ({browse_queries.SQL['call_cycles']}) SELECT repo_id, length, replace(path, ' > ', ' ') AS nodes FROM c ORDER BY length, repo_id, nodes LIMIT 50",
+    "trace_report": f"""WITH RECURSIVE {_E}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name) AS i FROM (SELECT DISTINCT repo_id, src AS name FROM e WHERE contains(lower(src), 'load'))) WHERE i <= 3), callers AS (SELECT DISTINCT repo_id, src FROM e),
+      p(repo_id, start, path, at_, depth, ends) AS (SELECT repo_id, name, [name], name, 0, false FROM t UNION ALL SELECT p.repo_id, p.start, list_append(p.path, e.dst), e.dst, p.depth + 1, c.src IS NULL FROM p JOIN e ON e.repo_id = p.repo_id AND e.src = p.at_
+        LEFT JOIN callers c ON c.repo_id = e.repo_id AND c.src = e.dst WHERE NOT p.ends AND p.depth < 5 AND NOT list_contains(p.path, e.dst)),
+      d AS (SELECT repo_id, start, array_to_string(path, ' > ') AS path, row_number() OVER (PARTITION BY repo_id, start ORDER BY len(path), array_to_string(path, ' > ')) AS i FROM p WHERE ends),
+      r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY start, i) AS place FROM d WHERE i <= 5) SELECT repo_id, start, place, path FROM r WHERE place <= 50""",
     "changed_paths": f"SELECT repo_id, {_CLEAN.format('path')} AS path FROM files WHERE removed_at IS NOT NULL AND path <> '' UNION SELECT repo_id, {_CLEAN.format('file_path')} FROM snippets WHERE file_path <> '' UNION SELECT repo_id, {_CLEAN.format('src_path')} FROM file_deps WHERE src_path <> ''",
     "dry_run_sample": f"WITH {source_queries._R}, k AS (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rank FROM r WHERE reason IS NULL) SELECT repo_id, rank, path FROM k WHERE rank <= 20",
     "merged_workspace": f"WITH {_E} SELECT DISTINCT split_part(repo_id, '-', 1) AS repo_alias, split_part(repo_id, '-', 1) || ':' || src AS src, split_part(repo_id, '-', 1) || ':' || dst AS dst FROM e",

@@ -37,6 +37,10 @@ def fuzzy_search(spark: SparkSession, root: str) -> DataFrame:
     return search.fuzzy_search(_symbols(spark, root), "normalizeMeter")
 
 
+def fuzzy_best(spark: SparkSession, root: str) -> DataFrame:
+    return search.fuzzy_best(_symbols(spark, root), "normalizeMeter")
+
+
 def idf_table(spark: SparkSession, root: str) -> DataFrame:
     idf = search.inverse_frequencies(search.symbol_tokens(_symbols(spark, root)))
     return idf.select("token", "documents", F.round("idf", 6).alias("idf"))
@@ -50,7 +54,7 @@ def concept_index(spark: SparkSession, root: str) -> DataFrame:
     return search.concept_index(_symbols(spark, root))
 
 
-QUERIES = (symbol_search, file_scoped_search, regex_search, subsequence_search, context_search, fuzzy_search, idf_table, tfidf_search, concept_index)
+QUERIES = (symbol_search, file_scoped_search, regex_search, subsequence_search, context_search, fuzzy_search, fuzzy_best, idf_table, tfidf_search, concept_index)
 _S = "s AS (SELECT DISTINCT sym_id, repo_id, path, ordinal, name, type, line, params, calls, class_name, doc, framework FROM symbols)"
 
 

@@ -204,3 +204,42 @@ def test_lookups_take_nulls_and_nothing(spark, authored, data):
             assert df.count() >= 0
     assert {r["name"] for r in search.scoped_search(load(spark, authored, "symbols"), "API/:").collect()} == {"Item", "manyPages", "a"}
     assert {r["name"] for r in search.answer_symbols(load(spark, authored, "symbols"), "how does the page work").collect()} == {"Page", "Pages", "manyPages"}
+
+
+def test_names_of_nodes_and_included_globs(spark):
+    from symbolstrata.functions.text import identifier
+    from symbolstrata.operators import filters
+
+    df = spark.createDataFrame([("a.b-c",), ("9x",), ("x" * 60,), (None,)], "t string")
+    assert [r[0] for r in df.select(identifier(df["t"])).collect()] == ["a_b_c", "n9x", "x" * 50, None]
+    f = spark.createDataFrame([("r", "src/a.py", 1), ("r", "deep/src/b.py", 1), ("r", "c.py", 1), ("r", "lib2/src/d.js", 1), ("q", "x.py", 1)], "repo_id string, path string, size_bytes long")
+    inc = spark.createDataFrame([("r", "src/*.py"), ("r", None)], "repo_id string, pattern string")
+    got = {(r["repo_id"], r["path"]): r["reason"] for r in filters.ignore_reasons(f, inc.limit(0), inc).collect()}
+    assert got == {("r", "src/a.py"): None, ("r", "deep/src/b.py"): None, ("r", "c.py"): "not_included", ("r", "lib2/src/d.js"): "not_included", ("q", "x.py"): "not_included"}
+
+
+def test_duplicate_links_against_brute_force(spark):
+    import random
+
+    from symbolstrata.operators import quality
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 30)}" for _ in range(40)] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = "zz"
+        rows.append((i, "r", "p", "function", " ".join(words)))
+    rows += [(100, "r", "p", "function", None), (101, "r", "p", "function", "a b"), rows[0]]
+    sets = {}
+    for i, *_, body in rows:
+        w = re.findall(r"\w+", body or "")
+        w = [re.sub(r"\d+", "NUM", x) for x in w]
+        s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        if s:
+            sets.setdefault(s, set()).add(i)
+    names = {s: min(ids) for s, ids in sets.items()}
+    want = {(min(names[a], names[b]), max(names[a], names[b]), round(len(a & b) / len(a | b), 6)) for a in sets for b in sets if a != b and len(a & b) / len(a | b) >= 0.8}
+    got = quality.duplicate_links(spark.createDataFrame(rows, "sym_id long, repo_id string, path string, type string, body string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
