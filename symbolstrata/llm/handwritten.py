@@ -9,6 +9,7 @@ runs of literals. What a file says of itself in comments only decides between th
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ WORDS, WINDOW, SIMILARITY, REPOSITORIES = 5, 4, 0.8, 3
 #: Fewer fingerprints than this (a few lines of imports) recur by chance and are no evidence of a copy.
 LEAST_PRINTS = 3
 #: Tokens of a shingle of the shape; share of its windows that the SHAPE most frequent repeated shingles must hold, share of distinct ones at most.
-#: Fewer distinct ones than FEW are enough by themselves.
+#: Fewer distinct ones than FEW are enough by themselves. Below BRIEF tokens windows are too few to tell; the shapes of lines do:
+#: of LINES or more the LINE_SHAPES most frequent ones must be ALIKE of all.
 SHAPE, REPEATED, DISTINCT, FEW = 12, 0.53, 0.62, 0.35
+BRIEF, LINES, LINE_SHAPES, ALIKE = 100, 8, 3, 0.95
 #: Literals that make a run; share of a file's tokens in runs. Characters to a token and letters to a name of minified code, its least tokens.
 RUN, IN_RUNS, TOKEN_CHARS, NAME_CHARS, LEAST_TOKENS = 8, 0.85, 2.2, 3.0, 60
 #: Between these and the limits above (for copies: two repositories) the file's own words decide; so they do below SHORT_SHAPE tokens.
@@ -50,6 +53,7 @@ _SLASH = re.compile(rf"(?P<s>{_STRING})|(?P<c>/\*.*?(?:\*/|\Z)|//[^\n]*)", re.S)
 _HASH = re.compile(rf"(?P<s>{_STRING})|(?P<c>\#[^\n]*)", re.S)
 _HASH_EXT = frozenset((".py", ".rb", ".sh", ".pl", ".r", ".yml", ".yaml", ".toml"))
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
+_NAMES, _NUMBERS, _BRINGS = re.compile(r"[^\W\d]\w*"), re.compile(r"\d[\w.]*"), re.compile(r"\s*(?:import|from|use|package|using|require|#include|export \* from)\b")
 _QUOTED = re.compile(r'"[^"\n]*"?|`[^`\n]*`?')
 _ROW = re.compile(r'\s*(?:(?:[-+]?(?:0[xXbB][0-9a-fA-F_]+|\d[\d._eE+-]*)|"[^"\n]*"|\'[^\'\n]*\'|\{[^{}\n]*\}|\([^()\n]*\)|\[[^\[\]\n]*\]|null|nil|None|true|false|True|False)\s*[,+;]?\s*)+[,;]?\s*')
 # ---- fixed values: words that keep their place in a shape, and those that are literals ----
@@ -134,6 +138,14 @@ def self_similarity(shape: np.ndarray, name: np.ndarray, literal: np.ndarray) ->
     return float(run.mean()), float(most[most > 1].sum() / len(h)), len(counts) / len(h)
 
 
+def lines_alike(code: str) -> bool:
+    """Whether nearly all lines of a code text, imports aside, have one of a few shapes."""
+    told = "\n".join(x for x in code.split("\n") if not _BRINGS.match(x))
+    shapes = Counter(x for x in map(str.strip, _NUMBERS.sub("0", _NAMES.sub("n", told)).split("\n")) if len(x) > 2)
+    common = [n for _, n in shapes.most_common(LINE_SHAPES)]
+    return shapes.total() >= LINES and common[0] > LINE_SHAPES and sum(common) >= ALIKE * shapes.total()
+
+
 def says_made(comments: list[tuple[int, str]]) -> bool:
     return any(_MADE.search(c) and not _DENIED.search(c) for c in (_QUOTED.sub("", c) for _, c in comments))
 
@@ -149,7 +161,8 @@ def own_sign(text: str, code: str, comments: list[tuple[int, str]], stream: tupl
     if runs >= IN_RUNS_STATED:  # a table inside code, or short rows: the characters of whole rows decide
         rows = sum(len(x) + 1 for x in text.split("\n") if _ROW.fullmatch(x))
         return "data" if rows >= 0.6 * len(text) else ""
-    if distinct <= FEW or (distinct <= DISTINCT and repeated >= REPEATED):
+    brief = len(shape) < BRIEF
+    if distinct <= FEW or (not brief and distinct <= DISTINCT and repeated >= REPEATED) or (len(shape) < 2 * BRIEF and lines_alike(code)):
         return "generated"
     if (repeated >= REPEATED_STATED or len(shape) < SHORT_SHAPE) and says_made(comments):
         return "generated"
@@ -179,8 +192,9 @@ def _marked(files: DataFrame, similarity: float, repositories: int) -> DataFrame
     # every file with a content adds all its prints, so the shares are those of the content
     known = prints.select("content_id", "print").join(spread, "print", "left").groupBy("content_id").agg((F.count_if(F.col("n") >= repositories) / F.count("*")).alias("wide"), (F.count("n") / F.count("*")).alias("twice"))
     known = known.where(F.col("twice") >= similarity)
-    copied = (F.col("wide") >= similarity) | (F.col("says_copied") & (F.col("twice") >= similarity))
-    kind = F.when((F.size("prints") >= LEAST_PRINTS) & copied, "vendored").when(F.col("sign") != "", F.col("sign"))
+    copied = (F.size("prints") >= LEAST_PRINTS) & ((F.col("wide") >= similarity) | (F.col("says_copied") & (F.col("twice") >= similarity)))
+    # a copy that says so and has no other copy in these tables comes last
+    kind = F.when(copied, "vendored").when(F.col("sign") != "", F.col("sign")).when(F.col("says_copied"), "stated")
     marked = told.join(known, "content_id", "left").select("repo_id", "path", kind.alias("kind")).where("kind is not null")
     return marked.groupBy("repo_id", "path").agg(F.max("kind").alias("kind"))
 
@@ -189,7 +203,8 @@ def judge_files(files: DataFrame, similarity: float = SIMILARITY, repositories:
     """Every file with its finding: repo_id, path, kind.
 
     kind is ``vendored`` (at least ``similarity`` of its fingerprints occur in ``repositories`` or more repositories, or in
-    two and the file says where it comes from), ``generated``, ``minified``, ``data`` or null for hand-written files.
+    two and the file says where it comes from), ``generated``, ``minified``, ``data``, ``stated`` (it says that it is a copy, of
+    which there is no other) or null for hand-written files.
     Repeated deliveries of (repo_id, path) are one file. Files with null or empty content, or null keys, are hand-written
     until known better, and so are those with fewer than ``LEAST_PRINTS`` fingerprints unless their shape tells more; an
     empty table gives an empty result. Names of folders and files are no evidence.
