@@ -78,18 +78,25 @@ def change_impact(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def trace_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     """Simple paths from the seeds (repo_id, name) that end at a name which calls nothing: repo_id, start, path (array).
 
-    Paths of up to ``max_depth`` + 1 names; those that would go on, or come back to themselves, are dropped.
+    Paths of up to ``max_depth`` + 1 names; those that would go on, or come back to themselves, are dropped. The last step
+    goes to ends only and the one before to their callers, so the many paths that the depth cuts off are not built.
     """
-    step = edges.select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to"))
-    calling = step.select("repo_id", "at").distinct().withColumn("calls", F.lit(True))
-    open_paths = seeds.select("repo_id", F.col("name").alias("start")).distinct().join(calling.withColumnRenamed("at", "start"), ["repo_id", "start"]).select("repo_id", "start", F.array("start").alias("path"), F.col("start").alias("at"))
+    ends = sinks(edges).withColumn("steps", F.lit(0))
+    before = edges.join(ends.select("repo_id", F.col("name").alias("dst")), ["repo_id", "dst"], "left_semi").select("repo_id", F.col("src").alias("name")).distinct().withColumn("steps", F.lit(1))
+    near = ends.unionByName(before).groupBy("repo_id", "name").agg(F.min("steps").alias("steps"))
+    step = edges.join(near.withColumnRenamed("name", "dst"), ["repo_id", "dst"], "left")
+    step = cut_lineage(step.select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to"), F.coalesce("steps", F.lit(2)).alias("steps")))
+    open_paths = seeds.select("repo_id", F.col("name").alias("start")).distinct().select("repo_id", "start", F.array("start").alias("path"), F.col("start").alias("at"))
     done = None
-    for _ in range(max_depth):
-        longer = open_paths.join(step, ["repo_id", "at"]).where(~F.array_contains("path", F.col("to")))
-        longer = longer.select("repo_id", "start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")).join(calling, ["repo_id", "at"], "left")
-        ended = longer.where("calls is null").select("repo_id", "start", "path")
+    for depth in range(1, max_depth + 1):
+        near_enough = step.where(F.col("steps") <= max_depth - depth) if max_depth - depth < 2 else step
+        longer = open_paths.join(near_enough, ["repo_id", "at"]).where(~F.array_contains("path", F.col("to")))
+        longer = longer.select("repo_id", "start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"), "steps")
+        if depth == max_depth - 2:
+            longer = cut_lineage(longer)  # the last, largest steps read this one instead of building it again
+        ended = longer.where("steps = 0").select("repo_id", "start", "path")
         done = ended if done is None else done.unionByName(ended)
-        open_paths = cut_lineage(longer.where("calls").drop("calls"))  # each step reads the last one, not all before
+        open_paths = longer.where("steps > 0").drop("steps")
     return done
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from ..session import cut_lineage, split_join
+from ..session import cut_lineage, split_join, spread
 from ..tables import clean_path, extension
 
 # ---- fixed values: names that nothing in the code calls although they are in use ----
@@ -95,7 +95,7 @@ def exact_duplicates(bodies: DataFrame, least_characters: int = 80) -> DataFrame
 
     Only groups of two symbols or more; null bodies and those shorter than ``least_characters`` are left out.
     """
-    b = bodies.where("type in ('function', 'method')").select("sym_id", "repo_id", "path", normal_code(F.col("body")).alias("code")).where(F.length("code") >= least_characters)
+    b = spread(bodies.where("type in ('function', 'method')").select("sym_id", "repo_id", "path", "body"), "sym_id").select("sym_id", "repo_id", "path", normal_code(F.col("body")).alias("code")).where(F.length("code") >= least_characters)
     g = b.select("sym_id", "repo_id", "path", F.md5("code").alias("fingerprint")).distinct()
     return g.groupBy("fingerprint").agg(F.count_distinct("sym_id").alias("members"), F.count_distinct("repo_id", "path").alias("files"), F.count_distinct("repo_id").alias("repositories")).where("members > 1")
 
@@ -106,7 +106,7 @@ def _duplicate_classes(bodies: DataFrame, words: int, similarity: float) -> tupl
     Exact: two sets that alike share one of their rarest shingles (prefix filter), sizes and places bound what they can share,
     and what is left is verified. Hot shingles are joined by parts.
     """
-    b = bodies.where("type in ('function', 'method')").select("sym_id", F.regexp_extract_all(normal_code(F.col("body")), F.lit(r"(\w+)"), F.lit(1)).alias("w")).where(F.size("w") >= words)
+    b = spread(bodies.where("type in ('function', 'method')").select("sym_id", "body"), "sym_id").select("sym_id", F.regexp_extract_all(normal_code(F.col("body")), F.lit(r"(\w+)"), F.lit(1)).alias("w")).where(F.size("w") >= words)
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.element_at("w", (i + k + 1).cast("int")) for k in range(words)])))
     b = b.select("sym_id", F.array_sort(shingles).alias("set")).withColumn("class_id", F.xxhash64("set"))
     members = cut_lineage(b.select("sym_id", "class_id").distinct())

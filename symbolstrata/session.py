@@ -48,6 +48,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str, keep: bool = False) -> DataFrame:
+    """``df``, a scan, in as many partitions as the session has cores if its files give fewer; else as it is.
+
+    Tables of a few files or row groups would otherwise leave the work on them to a few tasks. ``keys`` tell rows apart;
+    with ``keep`` the spread rows are written once for several readers.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    wide = df.repartition(cores, *keys)
+    return cut_lineage(wide) if keep else wide
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if its counted rows are at most ``max_rows``; beyond that Spark shuffles it.
 
