@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, small_side, spread
 
 #: Tokens of context.
 CONTEXT = 6
@@ -263,8 +263,26 @@ def unmarked_values(documents: DataFrame) -> DataFrame:
 
 
 def distinct_values(values: DataFrame) -> DataFrame:
-    """key, value: equal values are made one before the shuffle."""
-    return values.groupBy("key").agg(F.first("value").alias("value"))
+    """key, value: equal values are made one. Only those that occur again are shuffled, pre-aggregated; the others stay where they are."""
+    again = cut_lineage(values.groupBy("key").count().where("count > 1").select("key"))
+    again = small_side(again, BROADCAST_ROWS)
+    once = values.join(again, "key", "left_anti").select("key", "value")
+    return once.unionByName(values.join(again, "key", "left_semi").groupBy("key").agg(F.first("value").alias("value")))
+
+
+def sharing_heads(distinct: DataFrame) -> DataFrame:
+    """Those of the distinct values of SHORT characters or more that can be a strict prefix of another one or have one: key, value.
+
+    Hashed prefixes of SHORT, 2 SHORT, 4 SHORT, ... characters: a value and its extension share the longest that the value
+    has, so a prefix that no two values share, or that is no value's longest, brings nobody in. Values bring a narrow row for each
+    doubling of their length.
+    """
+    head = F.expr(f"transform(filter(sequence(0, 40), k -> {SHORT}L * shiftleft(1L, k) <= length(value)), k -> xxhash64(k, left(value, cast({SHORT}L * shiftleft(1L, k) as int))))")
+    heads = distinct.where(F.length("value") >= SHORT).select("key", F.posexplode(head).alias("k", "head"), (F.size(head) - 1).alias("last"))
+    heads = cut_lineage(heads.select("key", "head", (F.col("k") == F.col("last")).alias("longest")))
+    shared = heads.groupBy("head").agg(F.count("*").alias("n"), F.max("longest").alias("longest")).where("n > 1 and longest").select("head")
+    wanted = heads.join(small_side(cut_lineage(shared), BROADCAST_ROWS), "head", "left_semi").select("key").distinct()
+    return distinct.join(small_side(cut_lineage(wanted), BROADCAST_ROWS), "key", "left_semi")
 
 
 def short_prefixes(distinct: DataFrame) -> DataFrame:
@@ -286,12 +304,13 @@ def short_prefixes(distinct: DataFrame) -> DataFrame:
 def strict_prefixes(distinct: DataFrame, range_key: int = RANGE_KEY, long_key: int = LONG_KEY, hot_prefix: int = HOT_PREFIX) -> DataFrame:
     """key of the distinct values (key, value) that are a strict prefix of another one; short ones only inside a word.
 
-    They are range-partitioned and sorted, so each task gets a like share and a value's extensions follow it directly; the
+    Values that share a hashed prefix as far as it goes (``sharing_heads``) are range-partitioned and sorted, so each task gets
+    a like share and a value's extensions follow it directly; the
     edges of the partitions, two values each, are matched in a second small step. The ranges are drawn from the first
     ``range_key`` characters, so the sample that Spark takes to the driver has no long texts in it; only values that share
     these with more than ``hot_prefix`` others are told apart by ``long_key`` characters.
     """
-    values = distinct.where(F.length("value") >= SHORT)
+    values = sharing_heads(distinct)
     start = F.xxhash64(F.left("value", F.lit(range_key)))
     hot = values.groupBy(start.alias("start")).count().where(F.col("count") > hot_prefix)
     # at most one start for each hot_prefix values
@@ -334,8 +353,8 @@ def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: f
     are no cases; copies of one text count once and are judged alike; an empty
     table gives an empty result.
     """
-    values = unmarked_values(documents.select("doc_id", "text").where("trim(text) <> ''"))
-    distinct = cut_lineage(distinct_values(values))
+    values = unmarked_values(spread(documents.select("doc_id", "text").where("trim(text) <> ''"), "doc_id", keep=True))
+    distinct = distinct_values(values)
     texts = distinct.select(F.col("key").alias("doc_id"), F.col("value").alias("text"))
     kept = kept_words(texts)
     counts = texts.select("text").mapInPandas(_patterns(kept), "key long, name string, ends long, goes long").groupBy("key", "name").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
