@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # ---- fixed values: words and phrases that make a description say nothing ----
 _FILLER = frozenset(
     "a an the this that these those it its of for to in on by with from and or is are be as at function functions method methods func procedure routine constructor "
@@ -277,9 +279,9 @@ _SPOKEN = "repo_id string, path string, line int, name string, description strin
 
 def _descriptions(symbols: DataFrame, bodies: DataFrame, files: DataFrame) -> DataFrame:
     wanted = symbols.where("type in ('function', 'method')")
-    own = wanted.where("trim(doc) <> ''").select("sym_id", "name", "doc", "params").mapInPandas(_from_symbols, "sym_id long, description string")
-    inner = bodies.where("type in ('function', 'method') and body <> ''").select("sym_id", "path", "name", "body").mapInPandas(_from_bodies, "sym_id long, description string, code string")
-    spoken = files.select("repo_id", "path", "content").where("content <> ''").mapInPandas(_from_files, _SPOKEN)
+    own = spread(wanted.where("trim(doc) <> ''").select("sym_id", "name", "doc", "params"), "sym_id").mapInPandas(_from_symbols, "sym_id long, description string")
+    inner = spread(bodies.where("type in ('function', 'method') and body <> ''").select("sym_id", "path", "name", "body"), "sym_id").mapInPandas(_from_bodies, "sym_id long, description string, code string")
+    spoken = spread(files.select("repo_id", "path", "content").where("content <> ''"), "repo_id", "path").mapInPandas(_from_files, _SPOKEN)
     spoken = spoken.groupBy("repo_id", "path", "line", "name").agg(F.first("description").alias("description"), F.first("code").alias("code"))
     outer = wanted.select("sym_id", "repo_id", "path", "line", "name").distinct().join(spoken, ["repo_id", "path", "line", "name"]).select("sym_id", "description", "code")
     return (

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, small_side, spread
 
 #: Words of a shingle, fingerprints per winnowing window, share of a file's fingerprints that must recur, in how many repositories.
 WORDS, WINDOW, SIMILARITY, REPOSITORIES = 5, 4, 0.8, 3
@@ -185,12 +185,12 @@ def _marked(files: DataFrame, similarity: float, repositories: int) -> DataFrame
     """repo_id, path, kind of the files with a finding."""
     ext = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"(\.[^.]*)$", 1))
     seen = files.select("repo_id", "path", F.xxhash64("content", ext).alias("content_id"), "content").where("content <> ''")
-    told = cut_lineage(seen.mapInPandas(_features, "repo_id string, path string, content_id long, sign string, says_copied boolean, prints array<long>"))
+    told = cut_lineage(spread(seen, "repo_id", "path").mapInPandas(_features, "repo_id string, path string, content_id long, sign string, says_copied boolean, prints array<long>"))
     prints = told.select("content_id", F.xxhash64("repo_id").alias("repo"), F.explode("prints").alias("print"))
-    spread = prints.groupBy("print").agg(F.count_distinct("repo").alias("n")).where("n >= 2")
-    spread = small_side(cut_lineage(spread), BROADCAST_ROWS)
+    recurring = prints.groupBy("print").agg(F.count_distinct("repo").alias("n")).where("n >= 2")
+    recurring = small_side(cut_lineage(recurring), BROADCAST_ROWS)
     # every file with a content adds all its prints, so the shares are those of the content
-    known = prints.select("content_id", "print").join(spread, "print", "left").groupBy("content_id").agg((F.count_if(F.col("n") >= repositories) / F.count("*")).alias("wide"), (F.count("n") / F.count("*")).alias("twice"))
+    known = prints.select("content_id", "print").join(recurring, "print", "left").groupBy("content_id").agg((F.count_if(F.col("n") >= repositories) / F.count("*")).alias("wide"), (F.count("n") / F.count("*")).alias("twice"))
     known = known.where(F.col("twice") >= similarity)
     copied = (F.size("prints") >= LEAST_PRINTS) & ((F.col("wide") >= similarity) | (F.col("says_copied") & (F.col("twice") >= similarity)))
     # a copy that says so and has no other copy in these tables comes last

@@ -9,6 +9,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Ranks of a byte-level BPE for tiktoken and the pattern that cuts texts into words for it. Both are parameters.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,4 +52,4 @@ def with_tokens(documents: DataFrame, columns: list[str], vocabulary: str = VOCA
             yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
-    return documents.select(*columns, "text").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", tokens long")
+    return spread(documents.select(*columns, "text"), *columns).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", tokens long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, small_side, split_join
+from ..session import cut_lineage, small_side, split_join, spread
 
 #: Least length of a shared span, in characters.
 SPAN = 200
@@ -316,7 +316,7 @@ def shared_spans(records: DataFrame, span: int = SPAN, gram: int = GRAM, shard_s
     repeated rows change nothing; empty input gives an empty result. The result is checkpointed.
     """
     cut = records.select("kind", "id", "file", "text").where(F.length("text") >= span)
-    found = cut_lineage(cut.mapInPandas(_anchor_rows(span, gram), "anchor long, kind int, id long, file long, pos int, stretch long, size int"))
+    found = cut_lineage(spread(cut, "kind", "id").mapInPandas(_anchor_rows(span, gram), "anchor long, kind int, id long, file long, pos int, stretch long, size int"))
     shared = found.groupBy("anchor").agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a <> b").select("anchor")
     hits = cut_lineage(found.join(small_side(cut_lineage(shared), broadcast_rows), "anchor").distinct())
     stretches = hits.groupBy("anchor", "stretch").agg(F.min(F.struct("kind", "id", "pos", "size")).alias("r"), F.min("file").alias("a"), F.max("file").alias("b"))
