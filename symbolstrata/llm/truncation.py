@@ -277,8 +277,10 @@ def sharing_heads(distinct: DataFrame) -> DataFrame:
     has, so a prefix that no two values share, or that is no value's longest, brings nobody in. Values bring a narrow row for each
     doubling of their length.
     """
-    head = F.expr(f"transform(filter(sequence(0, 40), k -> {SHORT}L * shiftleft(1L, k) <= length(value)), k -> xxhash64(k, left(value, cast({SHORT}L * shiftleft(1L, k) as int))))")
-    heads = distinct.where(F.length("value") >= SHORT).select("key", F.posexplode(head).alias("k", "head"), (F.size(head) - 1).alias("last"))
+    long = distinct.select("key", "value", F.length("value").alias("n")).where(F.col("n") >= SHORT)
+    long = long.select("key", "value", F.floor(F.log2(F.col("n") / SHORT) + 1e-9).cast("int").alias("last"))
+    head = F.expr(f"transform(sequence(0, last), k -> xxhash64(k, left(value, shiftleft({SHORT}, k))))")
+    heads = long.select("key", "last", F.posexplode(head).alias("k", "head"))
     heads = cut_lineage(heads.select("key", "head", (F.col("k") == F.col("last")).alias("longest")))
     shared = heads.groupBy("head").agg(F.count("*").alias("n"), F.max("longest").alias("longest")).where("n > 1 and longest").select("head")
     wanted = heads.join(small_side(cut_lineage(shared), BROADCAST_ROWS), "head", "left_semi").select("key").distinct()
@@ -310,7 +312,7 @@ def strict_prefixes(distinct: DataFrame, range_key: int = RANGE_KEY, long_key: i
     ``range_key`` characters, so the sample that Spark takes to the driver has no long texts in it; only values that share
     these with more than ``hot_prefix`` others are told apart by ``long_key`` characters.
     """
-    values = sharing_heads(distinct)
+    values = cut_lineage(sharing_heads(distinct))
     start = F.xxhash64(F.left("value", F.lit(range_key)))
     hot = values.groupBy(start.alias("start")).count().where(F.col("count") > hot_prefix)
     # at most one start for each hot_prefix values
