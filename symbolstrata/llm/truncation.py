@@ -355,8 +355,8 @@ def cut_documents(documents: DataFrame, rare_end: float = RARE_END, rare_word: f
     are no cases; copies of one text count once and are judged alike; an empty
     table gives an empty result.
     """
-    values = unmarked_values(spread(documents.select("doc_id", "text").where("trim(text) <> ''"), "doc_id", keep=True))
-    distinct = distinct_values(values)
+    values = unmarked_values(spread(documents.select("doc_id", "text").where("trim(text) <> ''"), "doc_id"))
+    distinct = cut_lineage(distinct_values(values))  # read by every step
     texts = distinct.select(F.col("key").alias("doc_id"), F.col("value").alias("text"))
     kept = kept_words(texts)
     counts = texts.select("text").mapInPandas(_patterns(kept), "key long, name string, ends long, goes long").groupBy("key", "name").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
